@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm import packing, quality, sharding, tokens
-from homeward.llm.common import table
+from homeward.llm import packing, quality, sharding, simhash, tokens, winnow
+from homeward.llm.common import Scratch, table
 
 
 def vocabulary(name: str) -> str:
@@ -15,6 +15,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_fingerprints(table(spark, sf_dir, "documents"), Scratch(spark, "winnow"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
     found = tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text", path)
@@ -28,6 +32,10 @@ def op6_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text")
 
 
+def op7_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(spark, table(spark, sf_dir, "documents"))
 
@@ -36,5 +44,5 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op6_quality_llr, op8_minimax_shards, op10_best_two_fit)}
+QUERIES = {f.__name__: f for f in (op4_winnowing, op5_byte_bpe, op6_quality_llr, op7_simhash_gray, op8_minimax_shards, op10_best_two_fit)}
 ORACLE_SQL: dict[str, str] = {}
