@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm import packing, quality, sharding, simhash, tokens, winnow
+from homeward.llm import packing, pii, quality, sharding, simhash, tokens, warc, winnow
 from homeward.llm.common import Scratch, table
 
 
@@ -15,6 +15,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Of the queries; a real run gets its own from whoever keeps secrets.
+PII_KEY = "homeward public test key"
+
+
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY).select("doc_id", "text", "n_values")
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_fingerprints(table(spark, sf_dir, "documents"), Scratch(spark, "winnow"))
 
@@ -40,9 +49,13 @@ def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_winnowing, op5_byte_bpe, op6_quality_llr, op7_simhash_gray, op8_minimax_shards, op10_best_two_fit)}
+QUERIES = {f.__name__: f for f in (op3_feistel_pseudonyms, op4_winnowing, op5_byte_bpe, op6_quality_llr, op7_simhash_gray, op8_minimax_shards, op9_arc_to_warc, op10_best_two_fit)}
 ORACLE_SQL: dict[str, str] = {}
