@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm import packing, pii, quality, sharding, simhash, tokens, warc, winnow
+from homeward.llm import lm, packing, pii, quality, sharding, simhash, tokens, warc, winnow
 from homeward.llm.common import Scratch, table
 
 
@@ -19,6 +19,10 @@ def vocabulary(name: str) -> str:
 PII_KEY = "homeward public test key"
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, PII_KEY).select("doc_id", "text", "n_values")
@@ -57,5 +61,5 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_feistel_pseudonyms, op4_winnowing, op5_byte_bpe, op6_quality_llr, op7_simhash_gray, op8_minimax_shards, op9_arc_to_warc, op10_best_two_fit)}
+QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op3_feistel_pseudonyms, op4_winnowing, op5_byte_bpe, op6_quality_llr, op7_simhash_gray, op8_minimax_shards, op9_arc_to_warc, op10_best_two_fit)}
 ORACLE_SQL: dict[str, str] = {}
