@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm import lm, packing, pii, quality, sharding, simhash, tokens, warc, winnow
+from homeward.llm import lm, packing, pii, quality, repeats, sharding, simhash, tokens, warc, winnow
 from homeward.llm.common import Scratch, table
 
 
@@ -15,6 +15,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Of the queries; a real run gets its own from whoever keeps secrets.
 PII_KEY = "homeward public test key"
 
@@ -61,5 +66,5 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op3_feistel_pseudonyms, op4_winnowing, op5_byte_bpe, op6_quality_llr, op7_simhash_gray, op8_minimax_shards, op9_arc_to_warc, op10_best_two_fit)}
+QUERIES = {f.__name__: f for f in (op1_deleted_interpolation, op2_bwt_repeats, op3_feistel_pseudonyms, op4_winnowing, op5_byte_bpe, op6_quality_llr, op7_simhash_gray, op8_minimax_shards, op9_arc_to_warc, op10_best_two_fit)}
 ORACLE_SQL: dict[str, str] = {}
