@@ -1,11 +1,74 @@
-"""Raw documents to training sequences."""
+"""Raw documents to training sequences: five stages, each one operator over all that is left.
+
+Every stage is written as Parquet and read again as the next one's input, so a lost executor costs
+tasks of one stage, and each stage plans on the sizes it really has.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from homeward.llm import packing, pii, quality, repeats, simhash
+from homeward.llm.common import Scratch, table
+from homeward.llm.queries import PII_KEY, vocabulary
+
+#: Bytes of a passage that may stand only once; 50 words have more.
+PASSAGE_BYTES = 200
+
+
+def _with_text(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of documents, with n_chars of the text as it now is."""
+    cols = {"n_chars": F.char_length("text").cast("bigint")} if "n_chars" in like.columns else {}
+    return docs.withColumns(cols).select(like.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the likelihood ratio keep."""
+    return quality.judge(spark, docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    return simhash.one_of_each(spark, docs).select(docs.columns)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that stand in more than one place.
+
+    A character of which a byte goes, goes as a whole."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = repeats.without_repeats(spark, docs, PASSAGE_BYTES, carry=carry)
+    # bytes that are left of a cut character become a mark that no UTF-8 text needs, and go
+    text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(F.regexp_replace(F.expr("make_valid_utf8(cast(kept AS STRING))"), "�", ""))
+    return _with_text(found.withColumn("text", text), docs)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with pseudonyms for personal data."""
+    return _with_text(pii.pseudonymise(docs, PII_KEY), docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and where they stand in sequences of 1024 tokens."""
+    return packing.pack(spark, docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", passage_dedup),
+    ("pii", pseudonyms),
+    ("best_fit_packing", sequences),
+]
+
+#: Fingerprints, transforms and merges are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -327,8 +327,8 @@ def compared(reps: DataFrame, docs: DataFrame, least: int) -> DataFrame:
 KEPT = "n_bytes bigint, n_removed bigint, n_spans bigint, starts array<int>, ends array<int>, kept binary"
 
 
-def without_repeats(spark: SparkSession, docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, starts and ends of what is removed, and ``kept``.
+def without_repeats(spark: SparkSession, docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
+    """The columns ``carry``, doc_id, n_bytes, n_removed, n_spans, starts and ends of what is removed, and ``kept``.
 
     Every byte in a stretch of ``least`` bytes (a multiple of 8) that begins at another place too
     goes, in all copies; texts are judged as they came. A null text is an empty one. Repeated
@@ -339,7 +339,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, least: int = LEAST, ke
         raise ValueError("least must be a multiple of 8, at least 16")
     scratch = scratch or Scratch(spark, "repeats")
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
+    src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)))
+    kinds_ = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     hot: list[int] = []
     rows = scratch.written(segments(src, least, [], []), "rows0")
     if hot := crowded(rows):
@@ -357,7 +358,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, least: int = LEAST, ke
     f = found.select(F.col("key").alias("k"), F.col("c1").alias("a"), F.col("c2").alias("b"), "froms", "tos")
     hits = rows.join(f, (F.col("key") == F.col("k")) & (F.col("c1") == F.col("a")) & (F.col("c2") == F.col("b")))
     per = hits.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("ats", "froms", "tos")).alias("hits"))
-    joined = src.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "hits")
+    joined = src.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "hits", *(f"_{i}" for i in range(len(carry))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,9 +367,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, least: int = LEAST, ke
                 for t, hits in zip(part.column("text").to_pylist(), part.column("hits").to_pylist(), strict=True):
                     out.append(removed(t, hits or [], least))
                 kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 2 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], ["doc_id", *(f.split()[0] for f in KEPT.split(", "))])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)), *part.columns[3:]], ["doc_id", *(f.split()[0] for f in KEPT.split(", ")), *(f"_{i}" for i in range(len(carry)))])
 
-    return joined.mapInArrow(cut, "doc_id bigint, " + KEPT)
+    return joined.mapInArrow(cut, "doc_id bigint, " + KEPT + kinds_).withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry)})
 
 
 def removed(text: bytes, hits: list[dict], least: int) -> tuple:

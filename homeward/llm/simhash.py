@@ -155,35 +155,37 @@ def linked(fps: np.ndarray, radius: int) -> np.ndarray:
 
 
 def links(fps: DataFrame, radius: int, n: int) -> DataFrame:
-    """(a, b): links that connect whatever distinct fingerprints in ``fp`` are connected.
+    """(t, a, b): links that connect whatever distinct fingerprints ``fp`` of one ``t`` are connected.
 
     Within a top node only a spanning forest of its links is given, so their number follows that
     of the fingerprints, not its square."""
     masks = top_masks(radius, n)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     tops = F.explode(F.array(*(F.struct(F.lit(i).cast("short").alias("m"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed))))
-    dealt = fps.select(tops.alias("top"), "fp").select("top.m", "top.key", "fp")
+    dealt = fps.select("t", tops.alias("top"), "fp")
+    dealt = dealt.select((F.col("t") * len(masks) + F.col("top.m")).cast("int").alias("m"), "top.key", "fp")
     dealt = dealt.repartition("m", "key").sortWithinPartitions("m", "key")
 
     def search(m: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (key[1:] != key[:-1]), [True]]))
         sizes = np.diff(edge)
-        out: list[np.ndarray] = [np.zeros((2, 0), np.uint64)]
         two = edge[:-1][sizes == 2]  # the commonest case, all at once
-        pair = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
-        out.append(np.stack([fp[two][pair], fp[two + 1][pair]]))
+        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
+        out = [np.stack([m[two].astype(np.uint64), fp[two], fp[two + 1]])]
         for at, s in zip(edge[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             own = fp[at : at + s]
             own = own[np.argsort(gray_rank(own))]
             root = linked(own, radius)
             moved = np.flatnonzero(root != np.arange(s))
-            out.append(np.stack([own[moved], own[root[moved]]]))
-        a, b = np.concatenate(out, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            out.append(np.stack([np.full(len(moved), m[at], np.uint64), own[moved], own[root[moved]]]))
+        of, a, b = np.concatenate(out, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array((of // np.uint64(len(masks))).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["t", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
         for batch in batches:
+            if not batch.num_rows:
+                continue
             new = [batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             m, key, _ = held
@@ -195,14 +197,14 @@ def links(fps: DataFrame, radius: int, n: int) -> DataFrame:
         if len(held[0]):
             yield search(*held)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(run, "t int, a bigint, b bigint")
 
 
 def classes(found: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     """(fp, component_id) of the distinct fingerprints of ``found`` (doc_id, fp)."""
     own = scratch.written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     n = own.count()
-    cc = components(scratch.written(links(own.select("fp"), radius, n), "links"), scratch)
+    cc = components(scratch.written(links(own.select(F.lit(0).alias("t"), "fp"), radius, n).select("a", "b"), "links"), scratch)
     named = cc.join(own, F.col("node") == F.col("fp"))
     roots = named.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "r")
     named = named.join(roots, F.col("root") == F.col("r")).select(F.col("node"), "component")
@@ -220,3 +222,97 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, radi
     found = scratch.written(fingerprints(docs, shingle, key, text), "fps")
     named = classes(found, radius, scratch).withColumnRenamed("fp", "f")
     return found.join(named, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def sketches(docs: DataFrame, shingle: int, tables: int, verify: int, key: str, text: str) -> DataFrame:
+    """(id, th, size, fps): the text's hash and length, and ``tables`` fingerprints of it, of
+    which each has hashes of its own."""
+    salts = np.random.default_rng(11).integers(1, 1 << 64, tables, dtype=np.uint64) | np.uint64(1)
+    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    src = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(body).alias("th"), F.octet_length(body).cast("long").alias("size"), body.alias("t"))
+
+    def several(text: bytes) -> list[int]:
+        hashed = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, shingle)], "<u8")
+        if not len(hashed):
+            return [0] * tables
+        out = []
+        for salt in salts:
+            own = (hashed ^ (hashed >> np.uint64(31))) * salt
+            own ^= own >> np.uint64(29)
+            ones = np.zeros(64, np.int64)
+            for at in range(0, len(own), 1 << 14):
+                ones += np.unpackbits(own[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out.append(int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                found = [several(t) for t in part.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["id", "th", "size", "fps"])
+
+    return src.mapInArrow(run, "id bigint, th bigint, size bigint, fps array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(node, own): the distinct hashes of the shingles of ``t``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                found = [sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(t, size)}) for t in part.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), pa.array(found, pa.list_(pa.int64()))], ["node", "root", "own"])
+
+    return docs.mapInArrow(run, "node bigint, root bigint, own array<bigint>")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seek: int = 2, radius: int = 4, tables: int = 6, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` without near copies: of each group, the document with the least id stays.
+
+    Candidates are connected by fingerprints within ``radius`` bits, of runs of ``seek`` words in
+    any of ``tables`` independent hashings (at a similarity of 0.8 one such table finds about half
+    of the pairs, six nearly all). A document goes only if its runs of ``shingle`` words have a
+    Jaccard similarity of ``similarity`` or more with those of a document that stays; of the
+    documents that stay, no two candidates have. Equal texts are one document. Null texts are
+    empty ones; texts without words are alike. Rows without an id are never dropped but for rows
+    of equal text; repeated rows become one. All columns stay.
+    """
+    scratch = scratch or Scratch(spark, "near")
+    found = scratch.written(sketches(docs, seek, tables, shingle, key, text), "sketches")
+    texts = scratch.written(found.groupBy("th", "size").agg(F.min("id").alias("node"), F.first("fps").alias("fps")).where("node IS NOT NULL"), "texts")
+    each = texts.select("node", F.posexplode("fps").alias("t", "fp"))
+    named = scratch.written(each.groupBy("t", "fp").agg(F.min("node").alias("least")), "named")
+    n = named.count() // max(tables, 1)
+    near = scratch.written(links(named.select("t", "fp"), radius, n).distinct(), "near")
+    ends = [named.select(F.col("t").alias(f"t{c}"), F.col("fp").alias(f"f{c}"), F.col("least").alias(f"n{c}")) for c in "ab"]
+    over = near.join(ends[0], (F.col("t") == F.col("ta")) & (F.col("a") == F.col("fa"))).join(ends[1], (F.col("t") == F.col("tb")) & (F.col("b") == F.col("fb")))
+    same = each.join(named.withColumnsRenamed({"t": "u", "fp": "f"}), (F.col("t") == F.col("u")) & (F.col("fp") == F.col("f"))).where("node <> least")
+    cc = components(over.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(same.select(F.col("node").alias("a"), F.col("least").alias("b"))), scratch)
+    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(body).alias("h"), body.alias("t"))
+    marked = cc.join(texts.select(F.col("node").alias("k"), "th"), F.col("node") == F.col("k")).select("node", "root", "th")
+    open_ = rows.join(marked, (F.col("id") == F.col("node")) & (F.col("h") == F.col("th"))).dropDuplicates(["node"])
+    at, step, gone = scratch.written(shingle_sets(open_.select("node", "root", "t"), shingle), "open0"), 0, []
+    while not at.isEmpty():
+        # the least open document of each group stays; who is close enough to it goes
+        first = at.groupBy("root").agg(F.min("node").alias("first")).withColumnRenamed("root", "r")
+        heads = at.join(first, F.col("node") == F.col("first")).select(F.col("root").alias("r"), F.col("node").alias("first"), F.col("own").alias("held"))
+        both = F.size(F.array_intersect("own", "held"))
+        every = F.size("own") + F.size("held") - both
+        judged = at.join(heads, F.col("root") == F.col("r")).where("node <> first").withColumn("alike", (every == 0) | (both >= F.lit(similarity) * every))
+        step += 1
+        judged = scratch.written(judged.select("node", "root", "own", "alike"), f"open{step}")
+        gone.append(judged.where("alike").select("node"))
+        at = judged.where("NOT alike").drop("alike")
+    dropped = texts.select("th", "size", "node")
+    lost = None
+    for part in gone:
+        lost = part if lost is None else lost.unionByName(part)
+    rows = found.join(dropped.withColumnsRenamed({"th": "h", "size": "s"}), (F.col("th") == F.col("h")) & (F.col("size") == F.col("s")), "left")
+    rows = rows.withColumn("copy", F.col("id").isNotNull() & (F.col("id") != F.col("node")) | F.col("id").isNull() & F.col("node").isNotNull())
+    if lost is not None:
+        rows = rows.join(lost.select(F.col("node").alias("l")), F.col("node") == F.col("l"), "left").withColumn("copy", F.col("copy") | F.col("l").isNotNull())
+    out = rows.where("copy").select(F.col("id").alias("_i"), F.col("th").alias("_h")).distinct()
+    kept = docs.withColumn("_th", F.xxhash64(body))
+    kept = kept.join(out, F.col(key).cast("long").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")), "left_anti")
+    return kept.dropDuplicates([key, "_th"]).drop("_th")
