@@ -1,4 +1,315 @@
-"""The engine's own queries: name -> (spark, sf_dir) -> DataFrame, and DuckDB SQL for them."""
+"""The engine's own queries: name -> (spark, sf_dir) -> DataFrame. Oracles are in oracle.py."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from homeward import config as C
+from homeward.functions import columns as fn
+from homeward.operators import areas, ingest, match
+from homeward.oracle import ORACLE_SQL  # noqa: F401  (the driver's entry reads it here)
+from homeward.plans import plans
+from homeward.sources import derived as d
+
+NOW = "2026-10-29 12:00:00"
+
+
+def r(c, places: int = 5):
+    return F.round(c, places)
+
+
+def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
+    rows = match.top(match.scored(d.queries(spark, sf), d.gallery(spark, sf)), C.TOP_K)
+    return rows.select("request_id", "gallery_id", r("visual").alias("visual"), "rank")
+
+
+def query_mean_vector(spark: SparkSession, sf: str) -> DataFrame:
+    photos = d.gallery(spark, sf).select("record_id", (F.col("vec_id") % 4).alias("photo"), "embedding")
+    mean = match.normalized_mean(photos, "record_id", "embedding")
+    return mean.select("record_id", r(F.get("embedding", F.lit(0))).alias("first"), r(F.get("embedding", F.lit(63))).alias("last"), r(fn.dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
+
+
+def best_per_record(spark: SparkSession, sf: str) -> DataFrame:
+    best = match.best_per_record(match.scored(d.queries(spark, sf), d.gallery(spark, sf)))
+    return best.select("request_id", "record_id", "gallery_id", r("visual").alias("visual"))
+
+
+def phash_hamming_min(spark: SparkSession, sf: str) -> DataFrame:
+    rows = match.scored(d.queries(spark, sf), d.gallery(spark, sf))
+    return rows.select("request_id", "gallery_id", F.col("phash_distance").cast("int").alias("phash_distance"), "near_duplicate")
+
+
+def near_dup_rank(spark: SparkSession, sf: str) -> DataFrame:
+    rows = match.search(d.queries(spark, sf), d.gallery(spark, sf), C.POOL)
+    return rows.select("request_id", "record_id", "near_duplicate", F.col("rank_hash").cast("int").alias("rank_hash"), "image_rank")
+
+
+def self_exclude(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = match.paired(d.queries(spark, sf), d.gallery(spark, sf)).select("request_id", "report_id", "gallery_id", "candidate_report_id")
+    return match.without_own(pairs).select("request_id", "gallery_id")
+
+
+def gallery_union(spark: SparkSession, sf: str) -> DataFrame:
+    every = d.gallery(spark, sf).drop("candidate_type", "candidate_report_id")
+    animals = every.where(F.col("vec_id") % 3 != 0)
+    rows = match.gallery_union(animals, every.join(animals.select("vec_id"), "vec_id", "left_anti"))
+    return rows.select("gallery_id", "candidate_type", "candidate_report_id", "part", "phash_crop")
+
+
+def metadata_coalesce(spark: SparkSession, sf: str) -> DataFrame:
+    rows = d.table(spark, sf, "customer").selectExpr("c_custkey", "IF(c_custkey % 3 = 0, '  ', c_mktsegment) AS a", "IF(c_custkey % 5 = 0, NULL, c_name) AS b", "CAST(c_acctbal AS STRING) AS c")
+    return rows.select("c_custkey", fn.first_text(F.col("a"), F.col("b"), F.col("c_custkey")).alias("label"), r(fn.number(F.col("c")), 2).alias("amount"), fn.report_type(F.col("a"), "FOUND").alias("type"))
+
+
+def decision(spark: SparkSession, sf: str) -> DataFrame:
+    asked = d.queries(spark, sf)
+    return match.decision(asked, match.search(asked, d.gallery(spark, sf), 1), "image_rank")
+
+
+def top1_top2_gap(spark: SparkSession, sf: str) -> DataFrame:
+    rows = match.gaps(match.search(d.queries(spark, sf), d.gallery(spark, sf), 2), "image_rank")
+    return rows.select("request_id", r("gap").alias("gap"))
+
+
+def tag_split_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.array(*map(F.lit, d.WORDS))
+    raw = F.concat(F.regexp_replace("p_name", " ", ","), F.lit("+"), F.get(words, F.col("p_size") % len(d.WORDS)))
+    tags = fn.split_tags(raw, fn.tag_names(), F.lit(False))
+    return d.table(spark, sf, "part").select("p_partkey", F.array_join(tags, "|").alias("tags"))
+
+
+def _tag_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part's tags and those of the part seven keys on."""
+    own = d.tags(spark, sf)
+    other = own.select((F.col("p_partkey") - 7).alias("p_partkey"), *(F.col(c).alias(f"o_{c}") for c in own.columns[1:]))
+    return own.join(other, "p_partkey")
+
+
+TAGS = ["sex", "colors", "patterns", "size", "behavior"]
+
+
+def _tag_score(rows: DataFrame, other: str = "o_") -> DataFrame:
+    null = F.lit(None).cast("array<string>")
+    side = lambda p: {f: F.col(p + f) if f in TAGS else null for f in C.TAG_WEIGHTS}
+    return rows.withColumns(match.tag_similarity(side(""), side(other)))
+
+
+def tag_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _tag_score(_tag_pairs(spark, sf))
+    return rows.select("p_partkey", r("tag_score").alias("score"), r("tag_coverage").alias("coverage"), F.array_join("matched", "|").alias("matched"), F.array_join("conflicts", "|").alias("conflicts"))
+
+
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(*map(F.lit, [*C.CATEGORY_FIELDS, "기타"]))
+    at = (F.col("l_partkey") % (len(C.CATEGORY_FIELDS) + 1)).cast("int")
+    return d.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("pos"), F.get(names, at).alias("category"), F.col("l_suppkey").cast("string").alias("keyword"))
+
+
+def feature_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    rows = match.feature_pivot(_features(spark, sf).dropDuplicates(["k", "pos"]), "k")
+    return rows.select("k", "sex", "size", F.array_join("colors", "|").alias("colors"), F.array_join("distinctive_features", "|").alias("distinctive_features"))
+
+
+def shown_tags(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _tag_score(_tag_pairs(spark, sf)).withColumn("m", match.shown_tags(F.col("matched")))
+    return rows.select("p_partkey", F.element_at("m", F.lit("털색")).alias("color"), F.element_at("m", F.lit("행동")).alias("behavior"), F.coalesce(F.size("m"), F.lit(0)).alias("n"))
+
+
+def _neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Every report and the one that follows."""
+    own = d.reports(spark, sf)
+    return own.join(own.select((F.col("report_id") - 1).alias("report_id"), *(F.col(c).alias(f"o_{c}") for c in own.columns[1:])), "report_id")
+
+
+def haversine(spark: SparkSession, sf: str) -> DataFrame:
+    km = fn.haversine_km(*(F.col(c) for c in ("latitude", "longitude", "o_latitude", "o_longitude")))
+    return _neighbours(spark, sf).select("report_id", r(km, 4).alias("km"), r(F.exp(-km / C.LOCATION_DECAY_KM)).alias("score"))
+
+
+def date_parse(spark: SparkSession, sf: str) -> DataFrame:
+    rows = d.reports(spark, sf)
+    odd = F.when(F.col("report_id") % 9 == 0, "x2024-13-45").when(F.col("report_id") % 11 == 0, "2024").otherwise(F.col("date_text"))
+    return rows.select("report_id", fn.flexible_date(odd).alias("day"))
+
+
+def time_bands(spark: SparkSession, sf: str) -> DataFrame:
+    days = F.datediff(F.lit("2024-02-20").cast("date"), "event_date") - (F.col("report_id") % 240).cast("int") + 60
+    return d.reports(spark, sf).select("report_id", days.alias("days"), fn.banded(days, C.DAY_SCORES).alias("score"))
+
+
+def address_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    return _neighbours(spark, sf).select("report_id", fn.address_similarity(F.col("address"), F.col("o_address")).alias("score"))
+
+
+def _spatiotemporal(rows: DataFrame) -> DataFrame:
+    place, km, method = fn.location_score(*(F.col(c) for c in ("latitude", "longitude", "o_latitude", "o_longitude", "address", "o_address")))
+    own, other = fn.report_type(F.col("type_text"), "LOST"), fn.report_type(F.col("o_type_text"), "FOUND")
+    days = fn.elapsed_days(own, fn.flexible_date(F.col("date_text")), other, fn.flexible_date(F.col("o_date_text")))
+    time = fn.banded(days, C.DAY_SCORES)
+    return rows.withColumns({"place_score": place, "distance_km": km, "place_method": method, "elapsed_days": days, "time_score": time, "st_score": fn.spatiotemporal(place, time)})
+
+
+def spatiotemporal(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _neighbours(spark, sf).withColumn("latitude", F.when(F.col("report_id") % 4 != 0, F.col("latitude")))
+    return _spatiotemporal(rows).select("report_id", r("place_score").alias("place"), "place_method", "elapsed_days", r("time_score").alias("time"), r("st_score").alias("score"))
+
+
+def _pool(spark: SparkSession, sf: str) -> DataFrame:
+    """The image pool of each query with tags, places and dates of both sides."""
+    asked, gal = d.queries(spark, sf), d.gallery(spark, sf)
+    pool = match.search(asked, gal, C.POOL)
+    tags, rep = d.tags(spark, sf), d.reports(spark, sf)
+    own_tags = tags.select(F.col("p_partkey").alias("request_id"), *tags.columns[1:])
+    own_rep = rep.withColumnRenamed("report_id", "request_id")
+    side = pool.join(own_tags, "request_id", "left").join(own_rep, "request_id", "left")
+    o_tags = tags.select(F.col("p_partkey").alias("vec_id"), *(F.col(c).alias(f"o_{c}") for c in tags.columns[1:]))
+    o_rep = rep.select(F.col("report_id").alias("vec_id"), *(F.col(c).alias(f"o_{c}") for c in rep.columns[1:]))
+    side = side.join(o_tags, "vec_id", "left").join(o_rep, "vec_id", "left")
+    side = _spatiotemporal(_tag_score(side))
+    has = lambda cs: F.coalesce(*(F.col(c) for c in cs)).isNotNull()
+    return side.withColumns({"has_tags": has(["colors"]), "has_text": F.lit(False), "has_place": has(["event_date"]), "text_score": F.lit(None).cast("double")})
+
+
+def active_weights(spark: SparkSession, sf: str) -> DataFrame:
+    rows = match.active_weights(_pool(spark, sf))
+    return rows.groupBy("request_id").agg(*(r(F.max(f"w_{k}")).alias(f"w_{k}") for k in C.RERANK_WEIGHTS))
+
+
+def rerank_full(spark: SparkSession, sf: str) -> DataFrame:
+    rows = match.rerank(_pool(spark, sf), C.TOP_K)
+    return rows.select("request_id", "record_id", "image_rank", r("ranking").alias("ranking"), "rank")
+
+
+def wire_results(spark: SparkSession, sf: str) -> DataFrame:
+    return match.wire(match.rerank(_pool(spark, sf), C.TOP_K))
+
+
+def behavior_radius(spark: SparkSession, sf: str) -> DataFrame:
+    return d.requests(spark, sf).select("request_id", "behavior", "radius", "limited")
+
+
+def event_hours(spark: SparkSession, sf: str) -> DataFrame:
+    day, hour = F.to_date(F.col("ts")), F.when(F.col("event_id") % 4 != 0, (F.col("event_id") % 24).cast("int"))
+    now = F.make_timestamp(F.lit(2026), F.lit(10), F.lit(29), F.lit(12), F.lit(0), F.lit(0), F.lit("Asia/Seoul"))
+    hours = (now.cast("double") - fn.event_time(day, hour, now).cast("double")) / 3600
+    return d.table(spark, sf, "events").select("event_id", r(hours, 3).alias("hours"))
+
+
+def grid_generate(spark: SparkSession, sf: str) -> DataFrame:
+    rows = areas.grid(d.requests(spark, sf))
+    return rows.select("request_id", "row", "col", r("lat", 6).alias("lat"), r("lon", 6).alias("lon"), r("distance_m", 3).alias("distance_m"))
+
+
+def osm_classify(spark: SparkSession, sf: str) -> DataFrame:
+    rows = d.table(spark, sf, "events").withColumn("tags", F.expr(
+        "map_filter(map('building', IF(event_id % 8 = 0, 'yes', NULL), 'highway', CASE event_id % 7 WHEN 0 THEN 'footway' WHEN 1 THEN 'primary' WHEN 2 THEN 'service' END, 'landuse', CASE event_id % 5 WHEN 0 THEN 'forest' WHEN 1 THEN 'retail' WHEN 2 THEN 'residential' END, 'natural', IF(event_id % 6 = 0, 'water', NULL), 'barrier', IF(event_id % 9 = 0, 'wall', IF(event_id % 9 = 1, 'gate', NULL)), 'leisure', IF(event_id % 10 = 0, 'park', NULL)), (k, v) -> v IS NOT NULL)"
+    ))
+    return rows.select("event_id", F.array_join(fn.osm_kinds(F.col("tags")), "|").alias("kinds"))
+
+
+def cell_feature_range_join(spark: SparkSession, sf: str) -> DataFrame:
+    rows = areas.near(areas.grid(d.requests(spark, sf)), d.features(spark, sf))
+    return rows.groupBy(*areas.CELL).agg(F.count("*").alias("n"), r(F.min("away_m"), 3).alias("nearest_m"))
+
+
+def _scored(spark: SparkSession, sf: str, improved: bool) -> DataFrame:
+    cells = areas.with_strengths(areas.grid(d.requests(spark, sf)), d.features(spark, sf))
+    return (areas.score_v2 if improved else areas.score_v1)(cells)
+
+
+def score_v1(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf, False).select(*areas.CELL, r("score").alias("score"), F.array_join("near_kinds", "|").alias("kinds"))
+
+
+def score_v2(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf, True).select(*areas.CELL, r("score").alias("score"), r("behavior_environment").alias("behavior_environment"), r("accessibility").alias("accessibility"))
+
+
+def eligible_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return areas.eligible(_scored(spark, sf, False)).select(*areas.CELL, r("score").alias("score"))
+
+
+def cluster_components(spark: SparkSession, sf: str) -> DataFrame:
+    return areas.clusters(areas.eligible(_scored(spark, sf, False)))
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    cells = areas.eligible(_scored(spark, sf, False))
+    return areas.candidates(cells, areas.clusters(cells))
+
+
+def cluster_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return _candidates(spark, sf).select("request_id", "cluster_row", "cluster_col", r("lat").alias("lat"), r("lon").alias("lon"), "n_cells", "radius_m", "priority")
+
+
+def contributions_largest_remainder(spark: SparkSession, sf: str) -> DataFrame:
+    return areas.largest_remainder(_candidates(spark, sf), ["request_id", "cluster_row", "cluster_col"]).select("request_id", "cluster_row", "cluster_col", "part", "points")
+
+
+def select_areas(spark: SparkSession, sf: str) -> DataFrame:
+    return areas.select(_scored(spark, sf, False), False).withColumn("reason", areas.reason(F.col("behavior"), F.col("near_kinds")))
+
+
+def explain_topevidence(spark: SparkSession, sf: str) -> DataFrame:
+    return areas.select(_scored(spark, sf, True), True).select("request_id", "rank", "codes", *C.PARTS)
+
+
+def fallback_areas(spark: SparkSession, sf: str) -> DataFrame:
+    return areas.fallback(d.requests(spark, sf)).select("request_id", "rank", "radius_m", "priority", F.array_join("codes", "|").alias("codes"))
+
+
+def compare_rank_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return plans.compare(d.requests(spark, sf), d.features(spark, sf))
+
+
+def compare_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return areas.compare_summary(plans.compare(d.requests(spark, sf), d.features(spark, sf)))
+
+
+def cache_reuse(spark: SparkSession, sf: str) -> DataFrame:
+    gal = d.gallery(spark, sf)
+    cache = gal.where("vec_id % 3 <> 1").withColumn("image_url", F.when(F.col("vec_id") % 5 == 0, F.concat("image_url", F.lit("?v=2"))).otherwise(F.col("image_url")))
+    return ingest.reuse(gal.drop("embedding"), cache).select("gallery_id", "hit")
+
+
+def incremental_since(spark: SparkSession, sf: str) -> DataFrame:
+    rows = d.table(spark, sf, "orders").withColumn("updated", F.to_date("o_orderdate"))
+    mark = rows.agg(F.date_sub(F.max("updated"), 30)).first()[0]
+    return ingest.since(rows, "updated", mark).select("o_orderkey", "updated")
+
+
+def missing_only(spark: SparkSession, sf: str) -> DataFrame:
+    done = d.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return ingest.missing(d.table(spark, sf, "customer"), done, "c_custkey").select("c_custkey", "c_name")
+
+
+def batch_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.batches(d.table(spark, sf, "customer").select("c_custkey"), "c_custkey", 50)
+
+
+def photo_rows(spark: SparkSession, sf: str) -> DataFrame:
+    urls = F.expr("transform(sequence(0, CAST(vec_id % 5 AS INT)), i -> IF(i = 1, ' ', concat(image_url, '/', CAST(i AS STRING))))")
+    rows = ingest.photos(d.gallery(spark, sf).drop("gallery_id").withColumn("photo_urls", urls))
+    return rows.select("vec_id", "photo", "url", "gallery_id", fn.photo_index(F.lit(None).cast("int"), F.col("gallery_id")).alias("photo_index"))
+
+
+def ingest_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.summary(d.gallery(spark, sf), F.col("phash_crop").isNotNull())
+
+
+def quality_notes(spark: SparkSession, sf: str) -> DataFrame:
+    notes = fn.quality_warnings(F.expr("vec_id % 6 <> 0"), F.expr("(vec_id % 10) / 10.0D"), F.expr("(vec_id % 20) / 100.0D"), F.expr("CAST(vec_id % 90 AS DOUBLE)"), F.expr("100 + vec_id % 200"))
+    return d.gallery(spark, sf).select("vec_id", F.array_join(notes, "|").alias("notes"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        knn_topk, query_mean_vector, best_per_record, phash_hamming_min, near_dup_rank, self_exclude, gallery_union, metadata_coalesce, decision, top1_top2_gap,
+        tag_split_canonical, tag_jaccard, feature_pivot, shown_tags, haversine, date_parse, time_bands, address_similarity, spatiotemporal, active_weights, rerank_full, wire_results,
+        behavior_radius, event_hours, grid_generate, osm_classify, cell_feature_range_join, score_v1, score_v2, eligible_cells, cluster_components, cluster_candidates,
+        contributions_largest_remainder, select_areas, explain_topevidence, fallback_areas, compare_rank_diff, compare_summaries,
+        cache_reuse, incremental_since, missing_only, batch_assign, photo_rows, ingest_summary, quality_notes,
+    )
+}
