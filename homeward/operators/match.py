@@ -110,6 +110,10 @@ def gaps(ranked: DataFrame, rank: str = "rank") -> DataFrame:
     return rows.where("NOT near_duplicate AND second IS NOT NULL").select("request_id", (F.col("visual") - F.col("second")).alias("gap"))
 
 
+def _labelled(values: Column, field: str) -> Column:
+    return F.transform(values, lambda v: F.concat(F.lit(f"{field}:"), v))
+
+
 def tag_similarity(own: dict[str, Column], other: dict[str, Column]) -> dict[str, Column]:
     """Weighted Jaccard over the fields both sides have: score, coverage, matches, conflicts."""
     zero, none = F.lit(0.0), F.array().cast("array<string>")
@@ -121,7 +125,7 @@ def tag_similarity(own: dict[str, Column], other: dict[str, Column]) -> dict[str
         available = available + F.when(F.size(a) > 0, weight).otherwise(0.0)
         compared = compared + F.when(both, weight).otherwise(0.0)
         earned = earned + F.when(both, weight * F.size(shared) / F.size(F.array_union(a, b))).otherwise(0.0)
-        matched.append(F.transform(shared, lambda v, f=field: F.concat(F.lit(f"{f}:"), v)))
+        matched.append(_labelled(shared, field))
         if field in C.EXCLUSIVE_TAGS:
             against.append(F.when(both & (F.size(shared) == 0), F.lit(field)))
     any_ = compared > 0

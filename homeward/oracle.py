@@ -1 +1,226 @@
-ORACLE_SQL: dict[str, str] = {}
+"""DuckDB SQL that says, in its own way, what the engine's queries return.
+
+Distances are compared directly (no buckets), prefixes of rankings are numbered over all rows, and
+clusters are found by recursion, so none of this repeats how the engine works.
+"""
+
+from __future__ import annotations
+
+from homeward import config as C
+
+ASK = 50
+
+
+def _f(x: float) -> str:
+    return f"{x!r}::DOUBLE"
+
+
+def _case(of: str, values: dict, other: str = "NULL", text: bool = False) -> str:
+    show = (lambda v: f"'{v}'") if text else _f
+    return f"CASE {of} " + " ".join(f"WHEN '{k}' THEN {show(v)}" for k, v in values.items()) + f" ELSE {other} END"
+
+
+GALLERY = """gallery AS (
+  SELECT vec_id, CASE WHEN label % 2 = 0 THEN 'dog' ELSE 'cat' END AS species, CAST(vec_id // 4 AS VARCHAR) AS record_id,
+    CASE WHEN (vec_id // 4) % 3 = 0 THEN 'REPORT' ELSE 'SHELTER' END AS candidate_type, CASE WHEN (vec_id // 4) % 3 = 0 THEN vec_id // 4 END AS candidate_report_id,
+    concat(CASE WHEN label % 2 = 0 THEN 'dog' ELSE 'cat' END, ':', vec_id // 4, ':', vec_id % 4) AS gallery_id, CAST(embedding AS DOUBLE[]) AS embedding,
+    substr(md5(CAST(vec_id // 3 AS VARCHAR)), 1, 16) AS phash_full, CASE WHEN vec_id % 5 <> 0 THEN substr(md5(CAST(vec_id * 31 + 7 AS VARCHAR)), 1, 16) END AS phash_crop
+  FROM embeddings)"""
+_ham = lambda a, b: f"bit_count(xor(CAST('0x' || {a} AS UBIGINT), CAST('0x' || {b} AS UBIGINT)))"
+PAIRS = f"""{GALLERY}, pairs AS (
+  SELECT q.vec_id AS request_id, q.vec_id // 4 AS report_id, g.*, greatest(-1.0, least(1.0, list_dot_product(q.embedding, g.embedding))) AS visual,
+    least({_ham("q.phash_full", "g.phash_full")}, {_ham("q.phash_full", "g.phash_crop")}, {_ham("q.phash_crop", "g.phash_full")}, {_ham("q.phash_crop", "g.phash_crop")}) AS phash_distance
+  FROM gallery q JOIN gallery g USING (species) WHERE q.vec_id % {ASK} = 0),
+scored AS (SELECT *, phash_distance <= {C.NEAR_DUPLICATE_BITS} AS near_duplicate, CASE WHEN phash_distance <= {C.NEAR_DUPLICATE_BITS} THEN -CAST(phash_distance AS INT) ELSE {C.FAR_PHASH} END AS rank_hash FROM pairs),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY request_id, candidate_type, record_id ORDER BY near_duplicate DESC, rank_hash DESC, visual DESC, vec_id) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY near_duplicate DESC, rank_hash DESC, visual DESC, vec_id) AS image_rank FROM best)"""
+
+_lat, _lon = "37.5665::DOUBLE + ((event_id * 7919) % 2000 - 1000) / 5000.0::DOUBLE", "126.978::DOUBLE + ((event_id * 104729) % 1999 - 1000) / 5000.0::DOUBLE"
+REPORTS = f"""reports AS (
+  SELECT event_id AS report_id, CAST(ts AS DATE) AS event_date, strftime(ts, '%Y.%m.%d') AS date_text, CASE WHEN event_id % 2 = 0 THEN 'LOST' ELSE 'FOUND' END AS kind,
+    {_lat} AS latitude, {_lon} AS longitude,
+    CASE event_id % 5 WHEN 0 THEN '서울특별시 강남구 역삼동' WHEN 1 THEN '서울특별시 강남구 삼성동' WHEN 2 THEN '경기도 수원시 팔달구 101동' WHEN 3 THEN '서울특별시 중구' ELSE '' END AS address
+  FROM events)"""
+_km = (
+    lambda a, b: f"(SELECT {_f(C.EARTH_KM)} * 2 * atan2(sqrt(h), sqrt(greatest(1 - h, 0))) FROM (SELECT pow(sin(radians({b}.latitude - {a}.latitude) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin(radians({b}.longitude - {a}.longitude) / 2), 2) AS h))"
+)
+#: The names in an address by level; the pattern is lazy, so a name ends at its first suffix.
+UNITS = """units AS (SELECT report_id, address, list_filter(regexp_extract_all(address, '[가-힣0-9]+?(?:특별자치도|특별자치시|특별시|광역시|도|시|군|구|읍|면|동|리)'), lambda u: NOT regexp_full_match(u, '[0-9]+(동|리)')) AS u FROM reports),
+levels AS (SELECT report_id, u, list_filter(u, lambda x: regexp_matches(x, '(특별시|광역시|도|특별자치시)$')) AS p, list_filter(u, lambda x: regexp_matches(x, '시$') AND NOT regexp_matches(x, '(특별시|광역시|특별자치시)$')) AS c,
+  list_filter(u, lambda x: regexp_matches(x, '(군|구)$')) AS d, list_filter(u, lambda x: regexp_matches(x, '(읍|면|동|리)$')) AS l FROM units)"""
+_share = lambda k: f"list_has_any(a.{k}, b.{k})"
+_against = lambda k: f"(len(a.{k}) > 0 AND len(b.{k}) > 0 AND NOT {_share(k)})"
+ADDRESS = f"""CASE WHEN len(a.u) = 0 OR len(b.u) = 0 THEN NULL WHEN {_against("p")} THEN 0.1::DOUBLE
+  WHEN {_share("l")} AND ({_share("p")} OR {_share("c")} OR {_share("d")}) AND NOT {_against("c")} AND NOT {_against("d")} THEN 0.9::DOUBLE
+  WHEN {_share("d")} AND NOT {_against("c")} THEN 0.7::DOUBLE WHEN {_share("p")} OR {_share("c")} OR {_share("l")} THEN 0.4::DOUBLE ELSE 0.1::DOUBLE END"""
+
+
+def _days(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN NULL " + " ".join(f"WHEN {x} <= {most} THEN {_f(v)}" for most, v in C.DAY_SCORES[:-1]) + f" ELSE {_f(C.DAY_SCORES[-1][1])} END"
+
+
+TAGS = """tags AS (
+  SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN ['male'] WHEN 1 THEN ['female'] END AS sex, list_distinct(string_split(lower(p_name), ' ')) AS colors, [lower(p_brand)] AS patterns,
+    [CASE WHEN p_size < 15 THEN 'small' WHEN p_size < 35 THEN 'medium' ELSE 'large' END] AS size, list_distinct(string_split(lower(p_type), ' ')) AS behavior
+  FROM part)"""
+_FIELDS = ["sex", "colors", "patterns", "size", "behavior"]
+_has = lambda f: f"(a.{f} IS NOT NULL AND b.{f} IS NOT NULL)"
+_common = lambda f: f"list_intersect(a.{f}, b.{f})"
+_compared = " + ".join(f"CASE WHEN {_has(f)} THEN {_f(C.TAG_WEIGHTS[f])} ELSE 0 END" for f in _FIELDS)
+_earned = " + ".join(f"CASE WHEN {_has(f)} THEN {_f(C.TAG_WEIGHTS[f])} * len({_common(f)}) / len(list_distinct(list_concat(a.{f}, b.{f}))) ELSE 0 END" for f in _FIELDS)
+_available = " + ".join(f"CASE WHEN a.{f} IS NOT NULL THEN {_f(C.TAG_WEIGHTS[f])} ELSE 0 END" for f in _FIELDS)
+_matched = "list_concat(" + ", ".join(f"CASE WHEN {_has(f)} THEN list_transform(list_sort({_common(f)}), lambda v: '{f}:' || v) ELSE [] END" for f in _FIELDS) + ")"
+_conflicts = "concat_ws('|', " + ", ".join(f"CASE WHEN {_has(f)} AND len({_common(f)}) = 0 THEN '{f}' END" for f in ("sex", "size")) + ")"
+TAG_SCORES = f"CASE WHEN {_compared} > 0 THEN ({_earned}) / ({_compared}) END AS tag_score, CASE WHEN {_compared} > 0 THEN ({_compared}) / ({_available}) ELSE 0 END AS tag_coverage"
+
+POOL = f"""{PAIRS}, {REPORTS}, {UNITS}, {TAGS},
+sides AS (SELECT r.*, t.sex AS q_sex, t.colors AS q_colors FROM ranked r LEFT JOIN tags t ON t.p_partkey = r.request_id WHERE image_rank <= {C.POOL}),
+with_tags AS (SELECT s.request_id, s.vec_id, {TAG_SCORES} FROM sides s JOIN tags a ON a.p_partkey = s.request_id JOIN tags b ON b.p_partkey = s.vec_id),
+with_place AS (SELECT s.request_id, s.vec_id, exp(-{_km("x", "y")} / {_f(C.LOCATION_DECAY_KM)}) AS place, {_km("x", "y")} AS distance_km,
+    CASE WHEN x.kind = y.kind THEN NULL WHEN x.kind = 'FOUND' THEN date_diff('day', y.event_date, x.event_date) ELSE date_diff('day', x.event_date, y.event_date) END AS days
+  FROM sides s JOIN reports x ON x.report_id = s.request_id JOIN reports y ON y.report_id = s.vec_id),
+with_st AS (SELECT *, CASE WHEN days IS NULL THEN place ELSE (0.65::DOUBLE * place + 0.35::DOUBLE * ({_days("days")})) / (0.65::DOUBLE + 0.35::DOUBLE) END AS st_score FROM with_place),
+pool AS (SELECT s.*, tag_score, coalesce(tag_coverage, 0) AS tag_coverage, st_score, distance_km,
+    max(CASE WHEN s.q_colors IS NOT NULL AND tag_score IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY s.request_id) AS on_tags, max(CASE WHEN st_score IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY s.request_id) AS on_place
+  FROM sides s LEFT JOIN with_tags USING (request_id, vec_id) LEFT JOIN with_st USING (request_id, vec_id)),
+weighted AS (SELECT *, 0.75::DOUBLE / (0.75::DOUBLE + 0.15::DOUBLE * on_tags + 0.10::DOUBLE * on_place) AS w_image, 0.15::DOUBLE * on_tags / (0.75::DOUBLE + 0.15::DOUBLE * on_tags + 0.10::DOUBLE * on_place) AS w_tags,
+    0.10::DOUBLE * on_place / (0.75::DOUBLE + 0.15::DOUBLE * on_tags + 0.10::DOUBLE * on_place) AS w_location FROM pool),
+reranked AS (SELECT *, w_image * (visual + 1) / 2 + w_tags * coalesce(tag_coverage * tag_score + (1 - tag_coverage) * (visual + 1) / 2, (visual + 1) / 2) + w_location * coalesce(st_score, (visual + 1) / 2) AS ranking FROM weighted),
+final AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY near_duplicate DESC, rank_hash DESC, ranking DESC, visual DESC, image_rank) AS rank FROM reranked QUALIFY rank <= {C.TOP_K})"""
+
+REQUESTS = f"""asked AS (
+  SELECT event_id AS request_id, {_lat} AS latitude, {_lon} AS longitude, CASE event_id // 50 % 3 WHEN 0 THEN 500 WHEN 1 THEN 1000 ELSE 1500 END AS base, 1 + event_id // 50 % 90 AS hours, user_id AS u
+  FROM events WHERE event_id % {ASK} = 0),
+requests AS (SELECT request_id, latitude, longitude, u % 6 = 0 AS limited,
+    CASE WHEN u % 11 = 0 OR u % 7 = 0 THEN 'CHASE_DRIVEN' WHEN u % 11 = 1 OR u % 5 = 0 OR u % 3 = 1 THEN 'FEARFUL' WHEN u % 3 = 0 THEN 'HUMAN_SEEKING' ELSE 'ALOOF' END AS behavior,
+    CAST(least(3000, greatest(300, round_even(base * (CASE WHEN hours <= 6 THEN 0.6::DOUBLE WHEN hours <= 24 THEN 1.0::DOUBLE WHEN hours <= 72 THEN 1.4::DOUBLE ELSE 1.8::DOUBLE END
+      * CASE u % 4 WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN u % 6 = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END)
+      * CASE u % 11 WHEN 1 THEN 1.1::DOUBLE WHEN 0 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END, 0))) AS INT) AS radius
+  FROM asked)"""
+CELLS = f"""{REQUESTS}, cells AS (
+  SELECT r.*, i.i AS row, j.j AS col, sqrt((i.i * 200.0 * i.i * 200.0 + j.j * 200.0 * j.j * 200.0)::DOUBLE) AS distance_m,
+    latitude + degrees(i.i * 200 / {_f(C.EARTH_M)}) AS lat, longitude + degrees(j.j * 200 / ({_f(C.EARTH_M)} * cos(radians(latitude)))) AS lon
+  FROM requests r, (SELECT unnest(range(-15, 16))::INT AS i) i, (SELECT unnest(range(-15, 16))::INT AS j) j
+  WHERE sqrt((i.i * 200.0 * i.i * 200.0 + j.j * 200.0 * j.j * 200.0)::DOUBLE) <= radius)"""
+_kinds = "[" + ", ".join(f"'{k}'" for k in C.KINDS) + "]"
+NEAR = f"""{CELLS}, features AS (
+  SELECT {_lat} + (event_id % 13 - 6) / 9000.0::DOUBLE AS f_lat, {_lon} + (event_id % 17 - 8) / 9000.0::DOUBLE AS f_lon,
+    CASE WHEN event_id % 3 = 0 THEN [{_kinds}[event_id % 8 + 1], {_kinds}[(event_id + 3) % 8 + 1]] ELSE [{_kinds}[event_id % 8 + 1]] END AS kinds
+  FROM events),
+near AS (SELECT * FROM (SELECT c.request_id, c.row, c.col, kinds, sqrt(pow(radians(f_lat - lat) * {_f(C.EARTH_M)}, 2) + pow(radians(f_lon - lon) * {_f(C.EARTH_M)} * cos(radians((lat + f_lat) / 2)), 2)) AS away_m
+  FROM cells c JOIN features f ON f_lat BETWEEN lat - 0.004 AND lat + 0.004 AND f_lon BETWEEN lon - 0.006 AND lon + 0.006) WHERE away_m <= {C.INFLUENCE_M})"""
+STRENGTHS = f"""{NEAR}, strengths AS (SELECT request_id, row, col, {", ".join(f"max(CASE WHEN list_contains(kinds, '{k}') THEN greatest(0, 1 - away_m / {C.INFLUENCE_M}) END) AS {k}" for k in C.KINDS)} FROM near GROUP BY ALL),
+known AS (SELECT c.*, {", ".join(C.KINDS)} FROM cells c LEFT JOIN strengths USING (request_id, row, col))"""
+
+
+def _best(values: dict, of) -> str:
+    return "greatest(0, " + ", ".join(f"coalesce({of(k)} * {_f(v)}, 0)" for k, v in values.items()) + ")"
+
+
+def _preferred(of) -> str:
+    return "CASE behavior " + " ".join(f"WHEN '{b}' THEN {_best(v, of)}" for b, v in C.PREFERENCES.items()) + " END"
+
+
+_here = lambda k: f"CASE WHEN {k} IS NOT NULL THEN 1.0::DOUBLE END"
+_s = lambda k: f"coalesce({k}, 0)"
+_none = "coalesce(" + ", ".join(C.KINDS) + ") IS NULL"
+_total = "greatest(0, least(100, 100 * (" + " + ".join(f"{p} * {_f(w)}" for p, w in C.PARTS.items()) + ")))"
+_shown = "concat_ws('|', " + ", ".join(f"CASE WHEN {k} IS NOT NULL THEN '{k}' END" for k in C.KINDS) + ")"
+V1 = f"""{STRENGTHS}, parts1 AS (SELECT *, greatest(0, least(1, 1 - distance_m / radius)) AS distance,
+    CASE WHEN {_none} THEN 0.2::DOUBLE ELSE {_preferred(_here)} END AS behavior_environment, CASE WHEN {_none} THEN 0.1::DOUBLE ELSE {_best(C.CORRIDORS, _here)} END AS corridor,
+    greatest(0, 1 - ({" + ".join(f"CASE WHEN {k} IS NOT NULL THEN {_f(v)} ELSE 0 END" for k, v in C.PENALTIES.items())})) AS accessibility,
+    greatest(0, least(1, 0.5::DOUBLE + CASE WHEN behavior = 'FEARFUL' AND MAJOR_ROAD IS NULL THEN 0.3::DOUBLE WHEN behavior = 'CHASE_DRIVEN' AND FOOTPATH IS NOT NULL THEN 0.3::DOUBLE
+      WHEN behavior = 'HUMAN_SEEKING' AND (COMMERCIAL IS NOT NULL OR BUILDING_RESIDENTIAL IS NOT NULL) THEN 0.3::DOUBLE WHEN behavior = 'ALOOF' AND GREEN_SPACE IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END
+      - CASE WHEN limited AND RAILWAY_BARRIER IS NOT NULL THEN 0.3::DOUBLE ELSE 0 END)) AS event_context FROM known),
+v1 AS (SELECT *, {_total} AS score, {_shown} AS kinds FROM parts1)"""
+V2 = f"""{STRENGTHS}, parts2 AS (SELECT *, greatest(0, least(1, 1 - distance_m / radius)) AS distance, least(1, {_preferred(_s)}) AS behavior_environment, least(1, {_best(C.CORRIDORS, _s)}) AS corridor,
+    greatest(0, 1 - ({" + ".join(f"{_s(k)} * {_f(v)}" for k, v in sorted(C.PENALTIES.items()))})) AS accessibility,
+    greatest(0, least(1, 0.5::DOUBLE + CASE behavior WHEN 'FEARFUL' THEN 0.3::DOUBLE * (1 - {_s("MAJOR_ROAD")}) WHEN 'CHASE_DRIVEN' THEN 0.3::DOUBLE * {_s("FOOTPATH")}
+      WHEN 'HUMAN_SEEKING' THEN 0.3::DOUBLE * greatest({_s("COMMERCIAL")}, {_s("BUILDING_RESIDENTIAL")}) ELSE 0.2::DOUBLE * {_s("GREEN_SPACE")} END
+      - CASE WHEN limited THEN 0.3::DOUBLE * {_s("RAILWAY_BARRIER")} ELSE 0 END)) AS event_context FROM known)"""
+ELIGIBLE = f"{V1}, eligible AS (SELECT * FROM v1 QUALIFY round(score, 9) >= greatest({C.SCORE_FLOOR}, max(round(score, 9)) OVER (PARTITION BY request_id) - {C.SCORE_BAND}))"
+#: The least cell that each can reach by steps to neighbours (corners count).
+CLUSTERS = (
+    ELIGIBLE
+    + """, reach AS (
+  SELECT request_id, row, col, row AS r2, col AS c2 FROM eligible
+  UNION SELECT p.request_id, p.row, p.col, e.row, e.col FROM reach p JOIN eligible e ON e.request_id = p.request_id AND abs(e.row - p.r2) <= 1 AND abs(e.col - p.c2) <= 1),
+labels AS (SELECT request_id, row, col, min((r2 + 100) * 1000 + c2 + 100) AS least FROM reach GROUP BY ALL),
+clustered AS (SELECT *, least // 1000 - 100 AS cluster_row, least % 1000 - 100 AS cluster_col FROM labels)"""
+)
+CANDIDATES = f"""{CLUSTERS}, candidates AS (
+  SELECT request_id, cluster_row, cluster_col, sum(lat * score) / sum(score) AS lat, sum(lon * score) / sum(score) AS lon, count(*) AS n_cells,
+    CAST(least({C.MOST_AREA}, greatest({C.LEAST_AREA}, round_even({C.CLUSTER_BASE_M} + {C.GRID_M} * sqrt(count(*)) / 2, 0))) AS INT) AS radius_m, CAST(round_even(round(avg(score), 9), 0) AS INT) AS priority,
+    {", ".join(f"avg({p}) AS {p}" for p in C.PARTS)}
+  FROM clustered JOIN eligible USING (request_id, row, col) GROUP BY ALL)"""
+_all_parts = " UNION ALL ".join(f"SELECT request_id, cluster_row, cluster_col, priority, {i} AS place, '{p}' AS part, round({p} * {_f(w)} * 100, 9) AS value FROM candidates" for i, (p, w) in enumerate(C.PARTS.items()))
+_core = f"least({C.MOST_AREA - 100}, greatest({C.LEAST_AREA}, CAST(round_even(radius / 4, 0) AS INT)))"
+_aliases = "MAP {" + ", ".join(f"'{a}': '{name}'" for name, every in C.TAG_NAMES.items() for a in every.split()) + "}"
+_categories = "[" + ", ".join(f"'{c}'" for c in [*C.CATEGORY_FIELDS, "기타"]) + "]"
+_field = _case("category", C.CATEGORY_FIELDS, text=True)
+
+ORACLE_SQL: dict[str, str] = {
+    "knn_topk": f"WITH {PAIRS} SELECT request_id, gallery_id, round(visual, 5) AS visual, row_number() OVER (PARTITION BY request_id ORDER BY near_duplicate DESC, rank_hash DESC, scored.visual DESC, vec_id) AS rank FROM scored QUALIFY rank <= {C.TOP_K}",
+    "query_mean_vector": f"""WITH {GALLERY}, each AS (SELECT record_id, i, avg(embedding[i]) AS x FROM gallery, (SELECT unnest(range(1, 65)) AS i) WHERE vec_id % 4 < 3 GROUP BY ALL),
+        norms AS (SELECT record_id, sqrt(sum(x * x)) AS n FROM each GROUP BY ALL)
+        SELECT record_id, round(max(CASE WHEN i = 1 THEN x / n END), 5) AS "first", round(max(CASE WHEN i = 64 THEN x / n END), 5) AS "last", round(sum(x * x / n / n), 5) AS norm FROM each JOIN norms USING (record_id) WHERE n > 1e-12 GROUP BY record_id""",
+    "best_per_record": f"WITH {PAIRS} SELECT request_id, record_id, gallery_id, round(visual, 5) AS visual FROM best",
+    "phash_hamming_min": f"WITH {PAIRS} SELECT request_id, gallery_id, CAST(phash_distance AS INT) AS phash_distance, near_duplicate FROM scored",
+    "near_dup_rank": f"WITH {PAIRS} SELECT request_id, record_id, near_duplicate, rank_hash, image_rank FROM ranked WHERE image_rank <= {C.POOL}",
+    "self_exclude": f"WITH {PAIRS} SELECT request_id, gallery_id FROM pairs WHERE candidate_report_id IS DISTINCT FROM report_id OR candidate_report_id IS NULL",
+    "gallery_union": f"""WITH {GALLERY} SELECT gallery_id, CASE WHEN vec_id % 3 <> 0 THEN 'SHELTER' ELSE 'REPORT' END AS candidate_type, CASE WHEN vec_id % 3 = 0 THEN vec_id // 4 END AS candidate_report_id,
+        CASE WHEN vec_id % 3 <> 0 THEN 0 ELSE 1 END AS part, coalesce(phash_crop, '') AS phash_crop FROM gallery""",
+    "metadata_coalesce": """SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN trim(c_mktsegment) WHEN c_custkey % 5 <> 0 THEN trim(c_name) ELSE CAST(c_custkey AS VARCHAR) END AS label, round(c_acctbal, 2) AS amount, 'FOUND' AS type FROM customer""",
+    "decision": f"WITH {PAIRS} SELECT q.vec_id AS request_id, CASE WHEN r.request_id IS NULL THEN 'NO_GALLERY' WHEN near_duplicate THEN 'NEAR_DUPLICATE_CANDIDATE' ELSE 'RANKED_CANDIDATES' END AS decision FROM gallery q LEFT JOIN ranked r ON r.request_id = q.vec_id AND image_rank = 1 WHERE q.vec_id % {ASK} = 0",
+    "top1_top2_gap": f"WITH {PAIRS} SELECT a.request_id, round(a.visual - b.visual, 5) AS gap FROM ranked a JOIN ranked b ON a.request_id = b.request_id AND a.image_rank = 1 AND b.image_rank = 2 WHERE NOT a.near_duplicate",
+    "tag_split_canonical": f"""WITH names AS (SELECT {_aliases} AS m), raw AS (SELECT p_partkey, replace(p_name, ' ', ',') || '+' || (['흰색, 수컷', '검정/치즈', '삼색 및 단모', '소형 | 미상', 'Long-Coat ; 점박이'])[p_size % 5 + 1] AS t FROM part),
+        words AS (SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(t, '[,/|+&·ㆍ;，、]|\\s+(?:및|와|과)\\s+'), lambda x: trim(x)), lambda x: x <> '') AS w FROM raw),
+        tags AS (SELECT p_partkey, list_filter(list_transform(w, lambda x: coalesce(m[upper(regexp_replace(x, '[\\s_\\-/]', '', 'g'))], m[lower(regexp_replace(x, '[^0-9A-Za-z가-힣]', '', 'g'))], lower(regexp_replace(x, '[^0-9A-Za-z가-힣]', '', 'g')))), lambda x: x <> '' AND x <> 'unknown') AS l FROM words, names)
+        SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS tags FROM tags""",
+    "tag_jaccard": f"WITH {TAGS} SELECT a.p_partkey, round(tag_score, 5) AS score, round(tag_coverage, 5) AS coverage, matched, conflicts FROM (SELECT a.p_partkey, {TAG_SCORES}, array_to_string({_matched}, '|') AS matched, {_conflicts} AS conflicts FROM tags a JOIN tags b ON b.p_partkey = a.p_partkey + 7) a",
+    "shown_tags": f"""WITH {TAGS}, m AS (SELECT a.p_partkey, {_common("colors")} AS c, {_common("behavior")} AS b, {" + ".join(f"CASE WHEN {_has(f)} AND len({_common(f)}) > 0 THEN 1 ELSE 0 END" for f in _FIELDS)} AS n FROM tags a JOIN tags b ON b.p_partkey = a.p_partkey + 7)
+        SELECT p_partkey, list_max(c) AS color, list_max(b) AS behavior, n FROM m""",
+    "feature_pivot": f"""WITH rows AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS k, l_linenumber AS pos, {_categories}[l_partkey % {len(C.CATEGORY_FIELDS) + 1} + 1] AS category, CAST(l_suppkey AS VARCHAR) AS keyword FROM lineitem),
+        f AS (SELECT k, pos, coalesce({_field}, 'distinctive_features') AS field, CASE WHEN {_field} IS NULL THEN category || ':' || keyword ELSE keyword END AS word FROM rows)
+        SELECT k, arg_max(word, pos) FILTER (field = 'sex') AS sex, arg_max(word, pos) FILTER (field = 'size') AS size, coalesce(string_agg(word, '|' ORDER BY pos) FILTER (field = 'colors'), '') AS colors,
+          coalesce(string_agg(word, '|' ORDER BY pos) FILTER (field = 'distinctive_features'), '') AS distinctive_features FROM f GROUP BY k""",
+    "haversine": f"WITH {REPORTS}, d AS (SELECT a.report_id, {_km('a', 'b')} AS km FROM reports a JOIN reports b ON b.report_id = a.report_id + 1) SELECT report_id, round(km, 4) AS km, round(exp(-km / 30.0), 5) AS score FROM d",
+    "date_parse": f"WITH {REPORTS} SELECT report_id, CASE WHEN report_id % 9 = 0 OR report_id % 11 = 0 THEN NULL ELSE CAST(try_strptime(date_text, '%Y.%m.%d') AS DATE) END AS day FROM reports",
+    "time_bands": f"WITH {REPORTS}, d AS (SELECT report_id, CAST(date_diff('day', event_date, DATE '2024-02-20') - report_id % 240 + 60 AS INT) AS days FROM reports) SELECT report_id, days, {_days('days')} AS score FROM d",
+    "address_similarity": f"WITH {REPORTS}, {UNITS} SELECT a.report_id, {ADDRESS} AS score FROM levels a JOIN levels b ON b.report_id = a.report_id + 1",
+    "spatiotemporal": f"""WITH {REPORTS}, {UNITS}, j AS (SELECT x.report_id, CASE WHEN x.report_id % 4 <> 0 THEN exp(-{_km("x", "y")} / 30.0::DOUBLE) ELSE {ADDRESS} END AS place,
+          CASE WHEN x.report_id % 4 <> 0 THEN 'coordinates' WHEN {ADDRESS} IS NOT NULL THEN 'address_units' ELSE 'unavailable' END AS place_method,
+          CASE WHEN x.kind = y.kind THEN NULL WHEN x.kind = 'FOUND' THEN date_diff('day', y.event_date, x.event_date) ELSE date_diff('day', x.event_date, y.event_date) END AS elapsed_days
+        FROM reports x JOIN reports y ON y.report_id = x.report_id + 1 JOIN levels a ON a.report_id = x.report_id JOIN levels b ON b.report_id = y.report_id),
+        t AS (SELECT *, {_days("elapsed_days")} AS time FROM j)
+        SELECT report_id, round(place, 5) AS place, place_method, CAST(elapsed_days AS INT) AS elapsed_days, round(time, 5) AS time, round(CASE WHEN place IS NULL THEN time WHEN time IS NULL THEN place ELSE (0.65::DOUBLE * place + 0.35::DOUBLE * time) / (0.65::DOUBLE + 0.35::DOUBLE) END, 5) AS score FROM t""",
+    "active_weights": f"WITH {POOL} SELECT request_id, round(max(w_image), 5) AS w_image, round(max(w_tags), 5) AS w_tags, 0.0::DOUBLE AS w_text, round(max(w_location), 5) AS w_location FROM weighted GROUP BY request_id",
+    "rerank_full": f"WITH {POOL} SELECT request_id, record_id, image_rank, round(ranking, 5) AS ranking, rank FROM final",
+    "wire_results": f"""WITH {POOL} SELECT request_id, rank, candidate_type AS "candidateType", CASE WHEN candidate_type = 'SHELTER' THEN record_id END AS "desertionNo", candidate_report_id AS "candidateReportId", round(visual, 5) AS "visualScore",
+        round(ranking, 5) AS "finalScore", round(distance_km, 3) AS "distanceKm", CAST(phash_distance AS INT) AS "phashDistance", near_duplicate AS "nearDuplicate", gallery_id AS "galleryId" FROM final""",
+    "behavior_radius": f"WITH {REQUESTS} SELECT request_id, behavior, radius, limited FROM requests",
+    "event_hours": "SELECT event_id, round(CASE WHEN event_id % 4 <> 0 THEN date_diff('second', date_trunc('day', ts) + to_hours(event_id % 24), TIMESTAMP '2026-10-29 12:00:00') ELSE date_diff('second', date_trunc('day', ts) + to_hours(12), TIMESTAMP '2026-10-29 12:00:00') END / 3600.0, 3) AS hours FROM events",
+    "grid_generate": f"WITH {CELLS} SELECT request_id, row, col, round(lat, 6) AS lat, round(lon, 6) AS lon, round(distance_m, 3) AS distance_m FROM cells",
+    "osm_classify": """SELECT event_id, concat_ws('|', CASE WHEN event_id % 8 = 0 OR event_id % 5 = 2 THEN 'BUILDING_RESIDENTIAL' END, CASE WHEN event_id % 5 = 1 THEN 'COMMERCIAL' END, CASE WHEN event_id % 7 = 0 THEN 'FOOTPATH' END,
+        CASE WHEN event_id % 5 = 0 OR event_id % 10 = 0 THEN 'GREEN_SPACE' END, CASE WHEN event_id % 7 = 1 THEN 'MAJOR_ROAD' END, CASE WHEN event_id % 9 = 0 THEN 'RAILWAY_BARRIER' END, CASE WHEN event_id % 7 = 2 THEN 'ROAD' END, CASE WHEN event_id % 6 = 0 THEN 'WATER' END) AS kinds FROM events""",
+    "cell_feature_range_join": f"WITH {NEAR} SELECT request_id, row, col, count(*) AS n, round(min(away_m), 3) AS nearest_m FROM near GROUP BY ALL",
+    "score_v1": f"WITH {V1} SELECT request_id, row, col, round(score, 5) AS score, kinds FROM v1",
+    "score_v2": f"WITH {V2} SELECT request_id, row, col, round({_total}, 5) AS score, round(behavior_environment, 5) AS behavior_environment, round(accessibility, 5) AS accessibility FROM parts2",
+    "eligible_cells": f"WITH {ELIGIBLE} SELECT request_id, row, col, round(score, 5) AS score FROM eligible",
+    "cluster_components": f"WITH RECURSIVE {CLUSTERS} SELECT request_id, row, col, CAST(cluster_row AS INT) AS cluster_row, CAST(cluster_col AS INT) AS cluster_col FROM clustered",
+    "cluster_candidates": f"WITH RECURSIVE {CANDIDATES} SELECT request_id, CAST(cluster_row AS INT) AS cluster_row, CAST(cluster_col AS INT) AS cluster_col, round(lat, 5) AS lat, round(lon, 5) AS lon, n_cells, radius_m, priority FROM candidates",
+    "contributions_largest_remainder": f"""WITH RECURSIVE {CANDIDATES}, parts AS ({_all_parts}),
+        r AS (SELECT *, floor(value) AS whole, row_number() OVER (PARTITION BY request_id, cluster_row, cluster_col ORDER BY round(value - floor(value), 9) DESC, place) AS n, priority - sum(floor(value)) OVER (PARTITION BY request_id, cluster_row, cluster_col) AS rest FROM parts)
+        SELECT request_id, CAST(cluster_row AS INT) AS cluster_row, CAST(cluster_col AS INT) AS cluster_col, part, CAST(whole + CASE WHEN n <= rest THEN 1 ELSE 0 END AS INT) AS points FROM r""",
+    "fallback_areas": f"""WITH {REQUESTS} SELECT request_id, 1 AS rank, {_core} AS radius_m, 50 AS priority, 'ENVIRONMENT_FALLBACK|LAST_SEEN_LOCATION' AS codes FROM requests
+        UNION ALL SELECT request_id, 2, least({C.MOST_AREA}, greatest({_core} + 100, CAST(round_even(radius / 3, 0) AS INT))), 40, 'ENVIRONMENT_FALLBACK|EXPANDED_SEARCH_RADIUS' FROM requests""",
+    "cache_reuse": f"WITH {GALLERY} SELECT gallery_id, vec_id % 3 <> 1 AND vec_id % 5 <> 0 AS hit FROM gallery",
+    "incremental_since": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS updated FROM orders WHERE CAST(o_orderdate AS DATE) > (SELECT max(CAST(o_orderdate AS DATE)) - 30 FROM orders)",
+    "missing_only": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "batch_assign": "SELECT c_custkey, CAST(c_custkey % 64 AS INT) AS part, CAST((row_number() OVER (PARTITION BY c_custkey % 64 ORDER BY c_custkey) - 1) // 50 AS INT) AS batch FROM customer",
+    "photo_rows": f"""WITH {GALLERY} SELECT vec_id, i AS photo, concat('https://img.example/', vec_id, '/', i) AS url, concat(species, ':', record_id, ':', i) AS gallery_id, i AS photo_index
+        FROM gallery, (SELECT unnest([0, 2])::INT AS i) WHERE i <= vec_id % 5""",
+    "ingest_summary": "SELECT count(*) AS seen, count(*) FILTER (vec_id % 5 <> 0) AS upserted, count(*) FILTER (vec_id % 5 = 0) AS skipped FROM embeddings",
+    "quality_notes": """SELECT vec_id, concat_ws('|', CASE WHEN vec_id % 6 = 0 THEN '동물을 찾지 못해 원본 전체를 사용함' END, CASE WHEN vec_id % 6 <> 0 AND vec_id % 10 <= 3 THEN '동물 검출 신뢰도가 낮음' END,
+        CASE WHEN vec_id % 6 <> 0 AND vec_id % 20 < 4 THEN '사진에서 동물이 너무 작음' END, CASE WHEN vec_id % 90 < 45 THEN '사진이 흐릴 가능성이 있음' END, CASE WHEN vec_id % 200 < 60 THEN '원본 해상도가 낮음' END) AS notes FROM embeddings""",
+}
