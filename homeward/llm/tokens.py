@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ CUTS = re.compile(f" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]++(?=[\0-@\\[-`{{-\x7f]|\
 RARE = [*"\t\x0b\x0c\r", "  ", " \n", "\n ", "\n\n"]
 RARE_WIDE = [*"\x85\xa0 ", *map(chr, range(0x2000, 0x200B)), *"    　"]
 #: Entries in one generation of what a worker remembers, and the characters of the longest.
-MEMO_ENTRIES, MEMO_CHARS = 300_000, 64
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
 
 
 def byte_chars() -> list[str]:
@@ -54,6 +57,14 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return out
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Memo:
     """Two generations of a bounded memory: the older goes when the younger is full."""
 
@@ -68,33 +79,27 @@ class Memo:
 
 
 class Codec:
-    """A byte-level vocabulary: text to ids with offsets, ids to bytes."""
+    """A byte-level vocabulary: text to ids, with offsets."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        self.chars = byte_chars()
-        back = {c: b for b, c in enumerate(self.chars)}
+        chars = byte_chars()
         self.specials: list[str] = []
         if path.endswith(".json"):
             self.model = Tokenizer.from_file(path)
-            vocab = self.model.get_vocab(with_added_tokens=False)
-            added = self.model.get_added_tokens_decoder()
-            self.specials = [t.content for t in added.values()]
-            self.table = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
-            self.table |= {i: t.content.encode() for i, t in added.items()}
+            self.specials = [t.content for t in self.model.get_added_tokens_decoder().values()]
         else:
             ranks = load_ranks(path)
-            seen = lambda b: "".join(self.chars[x] for x in b)
+            seen = lambda b: "".join(chars[x] for x in b)
             self.model = Tokenizer(models.BPE({seen(t): i for t, i in ranks.items()}, [(seen(a), seen(b)) for a, b in merges_of(ranks)], ignore_merges=True))
             self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-            self.table = {i: t for t, i in ranks.items()}
         self.words, self.others = Memo(), Memo()  # ids of cuts behind a blank, by what follows it; of others
         self.spans: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed(self.model.encode(text, add_special_tokens=False).ids)
 
     def _found(self, cuts: set[str]) -> dict[str, bytes]:
         """The ids of each cut; those not remembered are encoded together."""
@@ -109,7 +114,7 @@ class Codec:
             else:
                 out[c] = got
         for c, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-            out[c] = got = np.asarray(e.ids, "<u4").tobytes()
+            out[c] = got = packed(e.ids)
             if len(c) <= MEMO_CHARS:
                 own, key = (self.words, c[1:]) if c[0] == " " else (self.others, c)
                 own.put(key, got)
@@ -127,7 +132,7 @@ class Codec:
         split = pc.split_pattern(pa.array([texts[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")
         at = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         codes[at[:-1]] = len(words) + np.arange(len(plain))  # the first word has no blank before it
         known = list(map(self.words.now.get, words))
         new = [i for i, b in enumerate(known) if b is None]
@@ -176,10 +181,17 @@ class Codec:
         none = np.zeros(0, np.int32)
         return (np.concatenate(starts), np.concatenate(ends)) if starts else (none, none)
 
-    def decode(self, ids) -> bytes:
-        """The bytes behind the ids. Characters split over tokens are whole again, as bytes
-        are joined before anything is read as UTF-8."""
-        return b"".join([self.table[i] for i in ids])
+
+@functools.lru_cache(maxsize=4)
+def byte_table(path: str) -> dict[int, bytes]:
+    """The bytes of each id, without the parts that only encoding needs."""
+    if not path.endswith(".json"):
+        return {i: t for t, i in load_ranks(path).items()}
+    back = {c: b for b, c in enumerate(byte_chars())}
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    table = {i: bytes(back[c] for c in t) for t, i in found["model"]["vocab"].items()}
+    return table | {t["id"]: t["content"].encode() for t in found["added_tokens"]}
 
 
 @functools.lru_cache(maxsize=4)
@@ -220,13 +232,14 @@ def encode(df: DataFrame, key: str, text: str, path: str, with_offsets: bool = F
 def decode(df: DataFrame, ids: str, path: str, out: str = "decoded") -> DataFrame:
     """``df`` with the bytes of its ids as ``out``, and ``ids`` packed as ``out``_ids.
 
-    Packed: little-endian unsigned 32-bit integers. A null list decodes as an empty one. An id
+    Characters split over tokens are whole again, as bytes are joined before anything is read as
+    UTF-8. Packed: little-endian unsigned 32-bit integers. A null list decodes as an empty one. An id
     that the vocabulary lacks is an error.
     """
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = codec(path).table
+        table = byte_table(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
