@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -46,10 +47,17 @@ class Scratch:
     def path(self, step: str) -> str:
         return f"{self.root}/{step}"
 
+    def release(self) -> None:
+        """Lets go of the shuffle files of finished jobs, which otherwise stay until the driver
+        happens to collect its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def written(self, df: DataFrame, step: str) -> DataFrame:
         schema = df.schema
+        self.release()  # by now nothing holds the tables before the last one
         df.write.mode("overwrite").parquet(self.path(step))
-        self.spark.sparkContext._jvm.System.gc()
+        self.release()
         return self.spark.read.schema(schema).parquet(self.path(step))
 
     def drop(self, step: str) -> None:

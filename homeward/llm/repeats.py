@@ -66,10 +66,12 @@ def window_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int, hot: np.ndarray, hotter: np.ndarray) -> tuple[np.ndarray, ...]:
+def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int, hot: np.ndarray | None = None, hotter: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """First window, number of windows, key and phase of each run, for texts at ``starts``.
 
-    The phase is where, modulo 8, the anchor (or what stands for it) is from the first window."""
+    The phase is where, modulo 8, the anchor (or what stands for it) is from the first window.
+    With ``hot`` only the windows of these anchors are given, in cells; with ``hotter`` too, only
+    those of these cells, one by one."""
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     own = np.maximum(sizes - least + 1, 0)
     ends = np.cumsum(own)
@@ -89,25 +91,23 @@ def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int, ho
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (which[1:] != which[:-1])])
     first = np.flatnonzero(new)
     key, ref = hashed[anchor[first]], anchor[first]
-    if len(hot) and (is_hot := np.isin(key, hot)).any():
-        count = np.diff(np.append(first, len(window)))
-        at = np.flatnonzero(np.repeat(is_hot, count))
-        cell = np.zeros(len(window), np.int64)
-        cell[at] = (anchor[at] - window[at]) // CELL + 1
-        new |= np.concatenate([[True], cell[1:] != cell[:-1]])
-        key, ref = hashed[anchor], anchor.copy()
-        # the bytes that all windows of a cell share: from its last possible window on
-        ref[at] = anchor[at] - (cell[at] - 1) * CELL
-        shared = np.minimum(ref[at], len(data) - (least - CELL + 1))
-        key[at] = mixed(gram(shared, least - CELL + 1) + ODD * cell[at].astype(np.uint64))
-        one = at[np.isin(key[at], hotter)]
-        new[one] = True
-        new[one[one + 1 < len(new)] + 1] = True
-        key[one] = mixed(gram(window[one], least) + np.uint64(5))
-        ref[one] = window[one]
-        first = np.flatnonzero(new)
-        key, ref = key[first], ref[first]
-    return window[first], np.diff(np.append(first, len(window))), key, (ref - window[first]) % 8
+    count = np.diff(np.append(first, len(window)))
+    if hot is None:
+        return window[first], count, key, (ref - window[first]) % 8
+    at = np.flatnonzero(np.repeat(np.isin(key, hot), count))
+    if not len(at):
+        return none
+    window, anchor, which = window[at], anchor[at], which[at]
+    cell = (anchor - window) // CELL + 1
+    # the bytes that all windows of a cell share: from its last possible window on
+    ref = anchor - (cell - 1) * CELL
+    shared = np.minimum(ref, len(data) - (least - CELL + 1))
+    key = mixed(gram(shared, least - CELL + 1) + ODD * cell.astype(np.uint64))
+    if hotter is not None:
+        at = np.flatnonzero(np.isin(key, hotter))
+        return window[at], np.ones(len(at), np.int64), mixed(gram(window[at], least) + np.uint64(5)), np.zeros(len(at), np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (ref[1:] != ref[:-1]) | (which[1:] != which[:-1]) | (np.diff(window) != 1)]))
+    return window[first], np.diff(np.append(first, len(window))), key[first], (ref - window)[first] % 8
 
 
 def chunks(texts: list[bytes], least: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -131,10 +131,10 @@ def chunks(texts: list[bytes], least: int) -> Iterator[tuple[list[int], list[int
 ROWS = "key bigint, c1 bigint, c2 bigint, doc_id bigint, th bigint, n int, phase int, m bigint, ats array<int>"
 
 
-def segments(docs: DataFrame, least: int, hot: list[int], hotter: list[int]) -> DataFrame:
+def segments(docs: DataFrame, least: int, hot: list[int] | None = None, hotter: list[int] | None = None) -> DataFrame:
     """A row for each distinct run of a part of a text: its key, the hash of its bytes (128
     bits), its windows and phase, how often it occurs there and where."""
-    hot_, hotter_ = (np.array(x, np.int64).view(np.uint64) for x in (hot, hotter))
+    hot_, hotter_ = (None if x is None else np.array(x, np.int64).view(np.uint64) for x in (hot, hotter))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,6 +164,12 @@ def segments(docs: DataFrame, least: int, hot: list[int], hotter: list[int]) ->
     return docs.where(F.octet_length("text") >= least).mapInArrow(run, ROWS)
 
 
+def met_again(rows: DataFrame) -> DataFrame:
+    """The rows whose key occurs more than once."""
+    keys = rows.groupBy("key").agg(F.sum("m").alias("all")).where("all > 1")
+    return rows.join(keys.select("key"), "key", "left_semi").select(*(f.split()[0] for f in ROWS.split(", ")))
+
+
 def distinct(rows: DataFrame) -> DataFrame:
     """The different runs, with their number and one place of each."""
     place = F.struct("doc_id", "th", F.element_at("ats", 1).alias("at"))
@@ -171,7 +177,8 @@ def distinct(rows: DataFrame) -> DataFrame:
 
 
 def crowded(rows: DataFrame) -> list[int]:
-    """Keys of too many different runs; at most PART of them, or one for each FEW runs."""
+    """Keys of too many different runs; at most PART of them, or one for each FEW runs where that
+    is fewer, so the list is small enough for every task."""
     most = max(FEW, rows.count() // PART)
     found = rows.select("key", "c1", "c2").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most)
     return [r["key"] for r in found.select("key").collect()]
@@ -294,9 +301,11 @@ CUT = "key bigint, c1 bigint, c2 bigint, m bigint, phase int, body binary"
 
 
 def compared(reps: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """For each run of ``reps`` that occurs once, the windows that another run has as well."""
+    """For each run of ``reps`` that occurs once, the windows that another run has as well.
+
+    Rows that are repeated give their runs more than once; those occur more than once anyway."""
     wanted = reps.groupBy(F.col("rep.doc_id").alias("d"), F.col("rep.th").alias("t")).agg(F.collect_list(F.struct("key", "c1", "c2", "m", "phase", F.col("rep.at").alias("at"), "n")).alias("wanted"))
-    with_text = docs.select("doc_id", "th", "text").dropDuplicates(["doc_id", "th"]).join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    with_text = docs.select("doc_id", "th", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
     one = with_text.select("text", F.explode("wanted").alias("w"))
     body = F.expr(f"substring(text, w.at + 1, w.n + {least - 1})").alias("body")
     cut = one.select("w.key", "w.c1", "w.c2", "w.m", "w.phase", body)
@@ -341,14 +350,20 @@ def without_repeats(spark: SparkSession, docs: DataFrame, least: int = LEAST, ke
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)))
     kinds_ = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    hot: list[int] = []
-    rows = scratch.written(segments(src, least, [], []), "rows0")
-    if hot := crowded(rows):
-        rows = scratch.written(segments(src, least, hot, []), "rows1")
-        scratch.drop("rows0")
-        if hotter := crowded(rows):
-            rows = scratch.written(segments(src, least, hot, hotter), "rows2")
-            scratch.drop("rows1")
+    rows, hot = None, None
+    for level in range(3):
+        scratch.written(segments(src, least, *([hot] if level else []), *([hotter] if level == 2 else [])), f"all{level}")
+        new = scratch.written(met_again(spark.read.parquet(scratch.path(f"all{level}"))), f"rows{level}")
+        scratch.drop(f"all{level}")
+        crowd = crowded(new) if level < 2 else []
+        scratch.release()
+        if crowd:
+            out = spark.createDataFrame([(k,) for k in crowd], "key bigint")
+            new = new.join(F.broadcast(out), "key", "left_anti").select(new.columns)
+        rows = new if rows is None else rows.unionByName(new)
+        if not crowd:
+            break
+        hot, hotter = (crowd, None) if level == 0 else (hot, crowd)
     runs_ = scratch.written(distinct(rows), "runs")
     keys = runs_.groupBy("key").agg(F.sum("m").alias("all"), F.count("*").alias("kinds"))
     several = keys.where("kinds > 1").select(F.col("key").alias("k"))
