@@ -106,7 +106,7 @@ def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int, ho
     if hotter is not None:
         at = np.flatnonzero(np.isin(key, hotter))
         return window[at], np.ones(len(at), np.int64), mixed(gram(window[at], least) + np.uint64(5)), np.zeros(len(at), np.int64)
-    first = np.flatnonzero(np.concatenate([[True], (ref[1:] != ref[:-1]) | (which[1:] != which[:-1]) | (np.diff(window) != 1)]))
+    first = np.flatnonzero(np.concatenate([[True], (ref[1:] != ref[:-1]) | (anchor[1:] != anchor[:-1]) | (which[1:] != which[:-1]) | (np.diff(window) != 1)]))
     return window[first], np.diff(np.append(first, len(window))), key[first], (ref - window)[first] % 8
 
 
