@@ -30,8 +30,11 @@ FOLDS = 10
 HELD_OUT, DELETED = 0, 1
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 8 << 20
+STATS = -(1 << 31)
 LAST_BUCKET = 40
 LEAST_WEIGHT = 1e-6
+#: The bits of an n-gram's hash that its part does not tell.
+LOW = np.uint64((1 << 40) - 1)
 #: What stands before a text and behind it; no word has the hash of either by more than chance.
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 
@@ -92,18 +95,37 @@ class Block:
 
 
 def blocked(docs: DataFrame, key: str, text: str, blocks: int) -> DataFrame:
-    """(block, id, fold, text): a third of all rows may have one text, but not one id."""
+    """(block, id, fold, text): a third of all rows may have one text, but not one id. Deleted
+    documents have blocks of their own, those below 0, so that learning weights reads no others."""
     body = F.col(text).cast("string").cast("binary")
-    return docs.select(F.pmod(F.xxhash64(F.col(key), F.length(body)), F.lit(blocks)).cast("int").alias("block"), F.col(key).cast("long").alias("id"), fold(key, FOLDS).cast("int").alias("fold"), body.alias("text"))
+    own = F.xxhash64(F.col(key), F.length(body))
+    few = max(16, blocks // FOLDS)
+    of = fold(key, FOLDS).cast("int")
+    block = F.when(of == DELETED, -1 - F.pmod(own, F.lit(few))).otherwise(F.pmod(own, F.lit(blocks))).cast("int")
+    return docs.select(block.alias("block"), F.col(key).cast("long").alias("id"), of.alias("fold"), body.alias("text"))
 
 
 def dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in the order of their part, and where each part's begin."""
+    """Distinct keys in the order of their part and, in it, of their low bits; where each part's
+    begin."""
     own = (keys >> np.uint64(40)).astype(np.int64) % parts
-    order = np.argsort(own, kind="stable")
+    order = np.argsort((own.astype(np.uint64) << np.uint64(40)) | (keys & LOW))
     return order, np.searchsorted(own[order], np.arange(parts + 1))
 
 
+def shortened(keys: np.ndarray, k: int) -> bytes:
+    """Sorted keys in few bytes: words in full, longer n-grams by their low 40 bits (the part says
+    more about the others), as steps of 4 bytes where all steps fit."""
+    if k == 1:
+        return b"\0" + keys.tobytes()
+    steps = np.diff(keys & LOW, prepend=np.uint64(0))
+    return b"\1" + steps.astype("<u4").tobytes() if int(steps.max()) < 1 << 32 else b"\0" + (keys & LOW).tobytes()
+
+
+def lengthened(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<u8", offset=1) if b[0] == 0 else np.cumsum(np.frombuffer(b, "<u4", offset=1).astype(np.uint64), dtype=np.uint64)
+
+
 ASKED = "part int, ord int, block int, keys binary, kept binary, deleted binary"
 ANSWERED = "part int, ord int, block int, kept binary, deleted binary"
 
@@ -126,7 +148,7 @@ def asked(docs: DataFrame, order: int, parts: int) -> DataFrame:
             for p in range(parts):
                 at = by[edge[p] : edge[p + 1]]
                 if len(at):
-                    rows.append((p, k, block, keys[at].tobytes(), kept[at].astype("<u4").tobytes(), deleted[at].astype("<u4").tobytes()))
+                    rows.append((p, k, block, shortened(keys[at], k), narrowed(kept[at]), narrowed(deleted[at])))
         return table_of(rows, ASKED)
 
     return docs.groupBy("block").applyInArrow(ask, ASKED)
@@ -150,15 +172,15 @@ def widened(b: bytes, n: int) -> np.ndarray:
 
 def answered(sent: DataFrame) -> DataFrame:
     """The counts over all blocks, for each block in the order of what it sent. For single words
-    a row with block -1 has how many there are in all, and how many distinct ones."""
+    a row with block STATS has how many there are in all, and how many distinct ones."""
 
     def answer(group: pa.Table) -> pa.Table:
         part, k = group.column("part")[0].as_py(), group.column("ord")[0].as_py()
-        keys = [np.frombuffer(x, "<u8") for x in group.column("keys").to_pylist()]
+        keys = [lengthened(x) for x in group.column("keys").to_pylist()]
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         sums = []
         for name in ("kept", "deleted"):
-            own = np.concatenate([np.frombuffer(x, "<u4") for x in group.column(name).to_pylist()])
+            own = np.concatenate([widened(x, len(ks)) for x, ks in zip(group.column(name).to_pylist(), keys, strict=True)])
             sums.append(np.bincount(inverse, own, len(every)).astype(np.int64))  # exact below 2 ** 53
         rows, at = [], 0
         for block, ks in zip(group.column("block").to_pylist(), keys, strict=True):
@@ -168,7 +190,7 @@ def answered(sent: DataFrame) -> DataFrame:
         if k == 1:
             both = sums[0] + sums[1]
             stats = np.array([sums[0].sum(), both.sum(), (sums[0] > 0).sum(), (both > 0).sum()], "<i8")
-            rows.append((part, k, -1, stats.tobytes(), b""))
+            rows.append((part, k, STATS, stats.tobytes(), b""))
         return table_of(rows, ANSWERED)
 
     return sent.groupBy("ord", "part").applyInArrow(answer, ANSWERED)
@@ -276,8 +298,9 @@ def scores(spark: SparkSession, docs: DataFrame, order: int = 2, rounds: int = 1
 
     A null text is an empty one: its only token is the end. A null id counts as an empty one
     when folds are dealt, and stays null. Repeated rows are each scored, and all counted. With
-    no training document every word is unknown and alike. Hashes of n-grams have 64 bits; two
-    that meet would share their counts. Empty table: no rows; other columns are ignored.
+    no training document every word is unknown and alike. Hashes of words have 64 bits, those of
+    longer n-grams 40 and what their part tells; two that meet share their counts, which a few in
+    a million do. Empty table: no rows; other columns are ignored.
     """
     scratch = scratch or Scratch(spark, "lm")
     size = input_bytes(docs, text)
@@ -285,12 +308,12 @@ def scores(spark: SparkSession, docs: DataFrame, order: int = 2, rounds: int = 1
     src = blocked(docs, key, text, blocks)
     answers = scratch.written(answered(asked(src, order, parts)), "answers")
     stats = np.zeros(4, np.int64)
-    for (b,) in answers.where("block = -1").select("kept").toLocalIterator():  # 32 bytes of each part
+    for (b,) in answers.where(f"block = {STATS}").select("kept").toLocalIterator():  # 32 bytes of each part
         stats += np.frombuffer(b, "<i8")
     n_kept, n_all, v_kept, v_all = (int(x) for x in stats)
     ends = src.where(f"fold <> {HELD_OUT}").agg(F.count("*"), F.sum((F.col("fold") != DELETED).cast("int"))).first()
     docs_all, docs_kept = int(ends[0] or 0), int(ends[1] or 0)
-    answers = answers.where("block >= 0")
+    answers = answers.where(f"block <> {STATS}")
 
     def block_of(group: pa.Table) -> tuple[pa.Table, Block, np.ndarray]:
         own = group.sort_by([("id", "ascending")])
@@ -307,7 +330,8 @@ def scores(spark: SparkSession, docs: DataFrame, order: int = 2, rounds: int = 1
         rows = np.concatenate([bucket[use, None], est[use]], axis=1).astype("<f4")
         return table_of([(rows.tobytes(),)] if len(rows) else [], "points binary")
 
-    held = scratch.written(src.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(points, "points binary"), "points")
+    of_deleted = [df.where("block < 0").groupBy("block") for df in (src, answers)]
+    held = scratch.written(of_deleted[0].cogroup(of_deleted[1]).applyInArrow(points, "points binary"), "points")
     weights = maximised(held, order, rounds, enough)
     scratch.drop("points")
     RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
