@@ -307,10 +307,16 @@ def scores(spark: SparkSession, docs: DataFrame, order: int = 2, rounds: int = 1
     blocks, parts = pieces(size, BLOCK_BYTES, 48), pieces(size, PART_BYTES, 64)
     src = blocked(docs, key, text, blocks)
     answers = scratch.written(answered(asked(src, order, parts)), "answers")
-    stats = np.zeros(4, np.int64)
-    for (b,) in answers.where(f"block = {STATS}").select("kept").toLocalIterator():  # 32 bytes of each part
-        stats += np.frombuffer(b, "<i8")
-    n_kept, n_all, v_kept, v_all = (int(x) for x in stats)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4, np.int64)
+        for batch in batches:
+            for b in batch.column("kept").to_pylist():
+                total += np.frombuffer(b, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in total], list("abcd"))
+
+    stats = answers.where(f"block = {STATS}").select("kept").mapInArrow(added, "a bigint, b bigint, c bigint, d bigint").agg(*(F.sum(c) for c in "abcd")).first()
+    n_kept, n_all, v_kept, v_all = (int(x or 0) for x in stats)
     ends = src.where(f"fold <> {HELD_OUT}").agg(F.count("*"), F.sum((F.col("fold") != DELETED).cast("int"))).first()
     docs_all, docs_kept = int(ends[0] or 0), int(ends[1] or 0)
     answers = answers.where(f"block <> {STATS}")
