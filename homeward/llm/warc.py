@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm.common import Scratch, input_bytes, pieces, slices
+from homeward.llm.common import Scratch, slices
 
 #: Fields of a URL record by version (fixed by the format).
 FIELDS = {
@@ -31,7 +31,6 @@ TITLES = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 UNSAFE = re.compile(r"[\x00-\x20\x7f]")
-FILE_BYTES = 16 << 20
 
 
 def escaped(url: str | None) -> str:
@@ -220,6 +219,8 @@ def convert(arcs: DataFrame, least: int = 0) -> DataFrame:
 def write_archives(records: DataFrame, path: str) -> None:
     """The records as .gz files of WARC records, one behind the other, through Spark's writer.
 
+    A file holds what one task has, so its size is that of a partition.
+
     That writes text, so blocks must be UTF-8 (others make the job fail, not the file)."""
     text = records.select(F.expr("validate_utf8(decode(substring(record, 1, octet_length(record) - 2), 'UTF-8'))").alias("value"))
     text.write.mode("overwrite").option("lineSep", "\r\n").option("compression", "gzip").text(path)
@@ -261,9 +262,8 @@ def round_trip(spark: SparkSession, pages: DataFrame, date: str = "2024010100000
     no rows; other columns are ignored."""
     scratch = scratch or Scratch(spark, "warc")
     arcs = scratch.written(to_arc(pages, date), "arc")
-    records = convert(arcs, least).repartition(pieces(input_bytes(pages, "html"), FILE_BYTES, 8), "rid")
-    write_archives(records, scratch.path("warc"))
-    spark.sparkContext._jvm.System.gc()
+    write_archives(convert(arcs, least), scratch.path("warc"))
+    scratch.release()
     found = read_archives(spark, scratch.path("warc"))
     to = found.where("record_type = 'response'").groupBy(F.col("rid").alias("r")).agg(F.max("page_id").alias("refers_to"))
     own = found.where("record_type = 'revisit'").join(to, F.col("to_rid") == F.col("r"))
