@@ -28,6 +28,10 @@ SEED = 42
 FAN = 16
 #: Pairs of fingerprints compared at once.
 CHUNK = 1 << 20
+#: Texts of a bucket that are first held against all others; so many times more in each further round.
+HEADS = 8
+#: Text in which frequent shingles are looked for.
+SAMPLE_BYTES = 1 << 24
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -254,24 +258,202 @@ def sketches(docs: DataFrame, shingle: int, tables: int, verify: int, key: str,
     return src.mapInArrow(run, "id bigint, th bigint, size bigint, fps array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, own): the distinct hashes of the shingles of ``t``."""
+def shingle_sets(docs: DataFrame, size: int, keys: tuple[str, ...] = ("node", "root")) -> DataFrame:
+    """(*keys, own): the distinct hashes of the shingles of ``t``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
                 found = [sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(t, size)}) for t in part.column("t").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), pa.array(found, pa.list_(pa.int64()))], ["node", "root", "own"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(found, pa.list_(pa.int64()))], [*keys, "own"])
 
-    return docs.mapInArrow(run, "node bigint, root bigint, own array<bigint>")
+    return docs.mapInArrow(run, "".join(f"{k} bigint, " for k in keys) + "own array<bigint>")
+
+
+def least_shared(n: np.ndarray, share: float) -> np.ndarray:
+    """The least whole numbers that are ``share`` of ``n`` or more."""
+    return np.ceil(share * n - 1e-9).astype(np.int64)
+
+
+def hashed_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """The distinct hashes of each text's shingles, in order; a text without words has one, 0."""
+    return [np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, size)] or [0], np.uint64).view(np.int64)) for t in texts]
+
+
+def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
+    """Hashes of frequent shingles, the most frequent last, judged by a sample of ``rows`` (th, t).
+
+    They only decide in which order shingles are taken, so any sample will do."""
+    every = max(1, (rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // SAMPLE_BYTES)
+    sample = rows.where(F.pmod("th", F.lit(every)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashed_sets(part.column("t").to_pylist(), size)))], ["h"])
+
+    counted = sample.select("t").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n >= 4")
+    found = counted.orderBy(F.desc("n"), "h").limit(1 << 16).collect()
+    return np.array([r.h for r in reversed(found)], np.int64)
+
+
+def prefixes(rows: DataFrame, size: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """(token, th, n, pos): of each text's n shingles, rare ones first, as many as two texts of
+    ``similarity`` cannot differ in all of; and the place of each."""
+    by_hash = np.argsort(common)
+    ordered = common[by_hash]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # rows of equal text are one
+        for batch in batches:
+            for part in slices(batch, "t"):
+                own = {h: t for h, t in zip(part.column("th").to_pylist(), part.column("t").to_pylist(), strict=True) if h not in seen}
+                seen |= own.keys()
+                tokens = []
+                sets = hashed_sets(list(own.values()), size)
+                for s in sets:
+                    if len(ordered):
+                        at = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
+                        s = s[np.argsort(np.where(ordered[at] == s, by_hash[at] + 1, 0), kind="stable")]
+                    tokens.append(s[: len(s) - int(least_shared(np.int64(len(s)), similarity)) + 1])
+                if not tokens:
+                    continue
+                counts = np.array([len(x) for x in tokens])
+                of = np.repeat(np.fromiter(own.keys(), np.int64, len(own)), counts)
+                n = np.repeat(np.array([len(s) for s in sets], np.int32), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(of), pa.array(n), pa.array(ranges(np.zeros(len(counts), np.int64), counts).astype(np.int32))], ["token", "th", "n", "pos"])
+
+    return rows.select("th", "t").mapInArrow(run, "token bigint, th bigint, n int, pos int")
+
+
+BUCKET = "token bigint, ths array<bigint>, ns array<int>, poss array<int>, roots array<bigint>"
+
+
+def buckets(dealt: DataFrame, over: int = 1) -> DataFrame:
+    """One row for each token of ``dealt`` (token, th, n, pos, root) with more than ``over``
+    texts and more than one root."""
+    dealt = dealt.repartition("token").sortWithinPartitions("token", "th")
+
+    def gathered(token: np.ndarray, th: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        once = np.concatenate([[True], (token[1:] != token[:-1]) | (th[1:] != th[:-1])])
+        token, th, n, pos, root = (x[once] for x in (token, th, n, pos, root))
+        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+        starts, sizes = edge[:-1], np.diff(edge)
+        take = (sizes > over) & (np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts))
+        starts, sizes = starts[take], sizes[take]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        at = ranges(starts, sizes)
+        return pa.RecordBatch.from_arrays([pa.array(token[starts]), *(pa.ListArray.from_arrays(offsets, pa.array(x[at])) for x in (th, n, pos, root))], ["token", "ths", "ns", "poss", "roots"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [c.to_numpy() for c in batch.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            end = int(np.searchsorted(held[0], held[0][-1]))  # the last token may go on
+            if end:
+                yield gathered(*(x[:end] for x in held))
+                held = [x[end:] for x in held]
+        if held is not None:
+            yield gathered(*held)
+
+    return dealt.select("token", "th", "n", "pos", "root").mapInArrow(run, BUCKET)
+
+
+def close_pairs(found: DataFrame, similarity: float, low: int, high: int) -> DataFrame:
+    """(a, b): in each bucket, the texts at the places from ``low`` to ``high`` with all behind
+    them, if they have different roots, and their numbers of shingles and the token's places
+    allow for ``similarity``."""
+
+    def pairs(th: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, head: np.ndarray, behind: np.ndarray) -> pa.RecordBatch:
+        x, y = np.repeat(head, behind), ranges(head + 1, behind)
+        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        shared = np.minimum(n[x] - pos[x], n[y] - pos[y])
+        near = (root[x] != root[y]) & (small >= least_shared(large, similarity)) & (shared >= least_shared(small + large, similarity / (1 + similarity)))
+        a, b = th[x[near]], th[y[near]]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+        return pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.diff(batch.column(0).offsets.to_numpy()).astype(np.int64)
+            th, n, pos, root = (c.flatten().to_numpy() for c in batch.columns)
+            place = ranges(np.zeros(len(sizes), np.int64), sizes)
+            behind = np.repeat(sizes, sizes) - place - 1
+            head = np.flatnonzero((place >= low) & (place < high) & (behind > 0))
+            ends = np.cumsum(behind[head])
+            at = 0
+            while at < len(head):
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+                yield pairs(th, n.astype(np.int64), pos.astype(np.int64), root, head[at:end], behind[head[at:end]])
+                at = end
+
+    return found.select("ths", "ns", "poss", "roots").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def alike(rows: DataFrame, pairs: DataFrame, size: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) of texts whose shingles have a Jaccard similarity of ``similarity``."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    sets = scratch.written(shingle_sets(rows.join(ends, F.col("th") == F.col("h")).select("th", "t").dropDuplicates(["th"]), size, ("th",)), f"{name}_sets")
+    one, two = (sets.select(F.col("th").alias(f"h{c}"), F.col("own").alias(f"own{c}")) for c in "ab")
+    both = F.size(F.array_intersect("owna", "ownb"))
+    every = F.size("owna") + F.size("ownb") - both
+    held = pairs.join(one, F.col("a") == F.col("ha")).join(two, F.col("b") == F.col("hb"))
+    out = scratch.written(held.where(both >= F.lit(similarity) * every).select("a", "b"), name)
+    scratch.drop(f"{name}_sets")
+    return out
+
+
+def rooted_pairs(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` without those under one root of ``roots`` (node, root)."""
+    out = pairs
+    for c in "ab":
+        out = out.join(roots.select(F.col("node").alias(f"n{c}"), F.col("root").alias(f"r{c}")), F.col(c) == F.col(f"n{c}"), "left")
+    return out.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def similar(rows: DataFrame, seeds: DataFrame, size: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): links between texts of ``rows`` (th, t) that are alike, connecting all that are.
+
+    ``seeds`` are pairs to try first, each ``a`` once and no ``b`` an ``a``. Then all texts that
+    share one of their rarest shingles meet in that shingle's bucket, which pairs of
+    ``similarity`` cannot avoid. In each, a few texts are held against all others, then eight
+    times as many and so on; buckets all of whose texts are connected by then are left out, so a
+    large group of copies does not cost its square.
+    """
+    found = alike(rows, seeds, size, similarity, scratch, "alike0")
+    roots = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    dealt = prefixes(rows, size, similarity, common_shingles(rows, size)).withColumn("root", F.col("th"))
+    open_ = scratch.written(buckets(dealt), "buckets0")
+    low, high, step = 0, HEADS, 0
+    while not open_.isEmpty():
+        step += 1
+        near = scratch.written(rooted_pairs(close_pairs(open_, similarity, low, high), roots), f"pairs{step}")
+        found = found.unionByName(alike(rows, near, size, similarity, scratch, f"alike{step}"))
+        large = open_.where(F.size("ths") > high)
+        if large.isEmpty():
+            break
+        roots = scratch.written(components(found, scratch, f"joined{step}-"), f"roots{step}")
+        each = large.select("token", F.explode(F.arrays_zip("ths", "ns", "poss")).alias("x"))
+        each = each.select("token", F.col("x.ths").alias("th"), F.col("x.ns").alias("n"), F.col("x.poss").alias("pos"))
+        each = each.join(roots, F.col("th") == F.col("node"), "left").withColumn("root", F.coalesce("root", "th"))
+        open_ = scratch.written(buckets(each, high), f"buckets{step}")
+        low, high = high, high * max(HEADS, 2)
+    return found
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seek: int = 2, radius: int = 4, tables: int = 6, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """``docs`` without near copies: of each group, the document with the least id stays.
 
     Candidates are connected by fingerprints within ``radius`` bits, of runs of ``seek`` words in
-    any of ``tables`` independent hashings (at a similarity of 0.8 one such table finds about half
-    of the pairs, six nearly all). A document goes only if its runs of ``shingle`` words have a
+    any of ``tables`` independent hashings, and by all pairs of ``similarity`` or more, which an
+    exact join on their rarest runs of ``shingle`` words finds. A document goes only if its runs of ``shingle`` words have a
     Jaccard similarity of ``similarity`` or more with those of a document that stays; of the
     documents that stay, no two candidates have. Equal texts are one document. Null texts are
     empty ones; texts without words are alike. Rows without an id are never dropped but for rows
@@ -287,9 +469,15 @@ def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, similari
     ends = [named.select(F.col("t").alias(f"t{c}"), F.col("fp").alias(f"f{c}"), F.col("least").alias(f"n{c}")) for c in "ab"]
     over = near.join(ends[0], (F.col("t") == F.col("ta")) & (F.col("a") == F.col("fa"))).join(ends[1], (F.col("t") == F.col("tb")) & (F.col("b") == F.col("fb")))
     same = each.join(named.withColumnsRenamed({"t": "u", "fp": "f"}), (F.col("t") == F.col("u")) & (F.col("fp") == F.col("f"))).where("node <> least")
-    cc = components(over.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(same.select(F.col("node").alias("a"), F.col("least").alias("b"))), scratch)
+    edges = scratch.written(over.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(same.select(F.col("node").alias("a"), F.col("least").alias("b"))), "edges")
+    cc = components(edges, scratch)
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(body).alias("h"), body.alias("t"))
+    ids = [texts.select(F.col("node").alias(f"i{c}"), F.col("th").alias(f"h{c}")) for c in "ab"]
+    seeds = cc.where("node <> root").join(ids[0], F.col("node") == F.col("ia")).join(ids[1], F.col("root") == F.col("ib")).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    exact = similar(rows.where("id IS NOT NULL").select(F.col("h").alias("th"), "t"), scratch.written(seeds, "seeds"), shingle, similarity, scratch)
+    exact = exact.join(ids[0], F.col("a") == F.col("ha")).join(ids[1], F.col("b") == F.col("hb")).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    cc = components(edges.unionByName(exact), scratch, "all")
     marked = cc.join(texts.select(F.col("node").alias("k"), "th"), F.col("node") == F.col("k")).select("node", "root", "th")
     open_ = rows.join(marked, (F.col("id") == F.col("node")) & (F.col("h") == F.col("th"))).dropDuplicates(["node"])
     at, step, gone = scratch.written(shingle_sets(open_.select("node", "root", "t"), shingle), "open0"), 0, []

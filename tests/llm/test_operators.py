@@ -398,6 +398,55 @@ def test_one_of_each(spark, docs, empty):
     assert simhash.one_of_each(spark, empty).count() == 0
 
 
+def alike_pairs(texts, least=0.8):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    return {(a, b) for (a, x), (b, y) in itertools.combinations(enumerate(sets), 2) if len(x & y) >= least * len(x | y)}
+
+
+def test_truncated_and_appended_copies_go(spark):
+    """Edits in one block, of texts that also share frequent passages."""
+    rnd = random.Random(11)
+    lines = [" ".join(f"l{rnd.randint(0, 99)}" for _ in range(12)) for _ in range(3)]
+    rows = []
+    for i in range(60):
+        w = [f"w{rnd.randint(0, 2000)}" for _ in range(rnd.randint(60, 200))] + rnd.choice(lines).split()
+        rnd.shuffle(lines)
+        n = int(0.16 * len(w))
+        rows += [(10 * i, " ".join(w)), (10 * i + 1 + i % 2, " ".join(w[:-n] if i % 2 else [*w, *(f"v{rnd.randint(0, 2000)}" for _ in range(n))]))]
+    pairs = alike_pairs([t for _, t in rows])
+    assert len(pairs) >= 60
+    got = {r.doc_id for r in simhash.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {10 * i for i in range(60)}
+
+
+@pytest.mark.parametrize("heads", [1, 8])
+def test_exact_join_connects_all_pairs(spark, monkeypatch, heads):
+    monkeypatch.setattr(simhash, "HEADS", heads)
+    monkeypatch.setattr(simhash, "CHUNK", 64)
+    rnd = random.Random(12)
+    texts = ["", " ", "\n"]
+    for _ in range(12):
+        w = [f"w{rnd.randint(0, 300)}" for _ in range(rnd.randint(3, 60))]
+        for _ in range(rnd.randint(1, 12)):
+            texts.append(" ".join(rnd.choice(["x", "y", c]) if rnd.random() < 0.02 else c for c in w))
+    texts = sorted(set(texts))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "th long, s string").select("th", F.col("s").cast("binary").alias("t"))
+    got = {tuple(sorted(r)) for r in simhash.similar(rows, spark.createDataFrame([], "a long, b long"), 5, 0.8, Scratch(spark, "t")).collect()}
+    expected = alike_pairs(texts)
+    assert got <= expected
+    assert [root_of(got, i) for i in range(len(texts))] == [root_of(expected, i) for i in range(len(texts))]
+
+
+def root_of(pairs, i):
+    seen, todo = {i}, [i]
+    while todo:
+        x = todo.pop()
+        new = {b if a == x else a for a, b in pairs if x in (a, b)} - seen
+        seen |= new
+        todo += new
+    return min(seen)
+
+
 # --- op8
 
 
