@@ -258,16 +258,16 @@ def sketches(docs: DataFrame, shingle: int, tables: int, verify: int, key: str,
     return src.mapInArrow(run, "id bigint, th bigint, size bigint, fps array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, size: int, keys: tuple[str, ...] = ("node", "root")) -> DataFrame:
-    """(*keys, own): the distinct hashes of the shingles of ``t``."""
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(th, own): the distinct hashes of the shingles of ``t``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
                 found = [sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(t, size)}) for t in part.column("t").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(found, pa.list_(pa.int64()))], [*keys, "own"])
+                yield pa.RecordBatch.from_arrays([part.column("th"), pa.array(found, pa.list_(pa.int64()))], ["th", "own"])
 
-    return docs.mapInArrow(run, "".join(f"{k} bigint, " for k in keys) + "own array<bigint>")
+    return docs.mapInArrow(run, "th bigint, own array<bigint>")
 
 
 def least_shared(n: np.ndarray, share: float) -> np.ndarray:
@@ -400,7 +400,7 @@ def close_pairs(found: DataFrame, similarity: float, low: int, high: int) -> Dat
 def alike(rows: DataFrame, pairs: DataFrame, size: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
     """Those of ``pairs`` (a, b) of texts whose shingles have a Jaccard similarity of ``similarity``."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    sets = scratch.written(shingle_sets(rows.join(ends, F.col("th") == F.col("h")).select("th", "t").dropDuplicates(["th"]), size, ("th",)), f"{name}_sets")
+    sets = scratch.written(shingle_sets(rows.join(ends, F.col("th") == F.col("h")).select("th", "t").dropDuplicates(["th"]), size), f"{name}_sets")
     one, two = (sets.select(F.col("th").alias(f"h{c}"), F.col("own").alias(f"own{c}")) for c in "ab")
     both = F.size(F.array_intersect("owna", "ownb"))
     every = F.size("owna") + F.size("ownb") - both
@@ -451,17 +451,16 @@ def similar(rows: DataFrame, seeds: DataFrame, size: int, similarity: float, scr
 def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seek: int = 2, radius: int = 4, tables: int = 6, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """``docs`` without near copies: of each group, the document with the least id stays.
 
-    Candidates are connected by fingerprints within ``radius`` bits, of runs of ``seek`` words in
-    any of ``tables`` independent hashings, and by all pairs of ``similarity`` or more, which an
-    exact join on their rarest runs of ``shingle`` words finds. A document goes only if its runs of ``shingle`` words have a
-    Jaccard similarity of ``similarity`` or more with those of a document that stays; of the
-    documents that stay, no two candidates have. Equal texts are one document. Null texts are
-    empty ones; texts without words are alike. Rows without an id are never dropped but for rows
-    of equal text; repeated rows become one. All columns stay.
+    A group is all that is connected by pairs of texts whose runs of ``shingle`` words have a
+    Jaccard similarity of ``similarity`` or more. Candidates are connected by fingerprints within
+    ``radius`` bits, of runs of ``seek`` words in any of ``tables`` independent hashings; an exact
+    join on the texts' rarest runs of ``shingle`` words finds the pairs that these miss. Equal
+    texts are one document. Null texts are empty ones; texts without words are alike. Rows without
+    an id are never dropped but for rows of equal text; repeated rows become one. All columns stay.
     """
     scratch = scratch or Scratch(spark, "near")
     found = scratch.written(sketches(docs, seek, tables, shingle, key, text), "sketches")
-    texts = scratch.written(found.groupBy("th", "size").agg(F.min("id").alias("node"), F.first("fps").alias("fps")).where("node IS NOT NULL"), "texts")
+    texts = scratch.written(found.groupBy("th").agg(F.min("id").alias("least_id"), F.first("fps").alias("fps")).where("least_id IS NOT NULL").withColumnRenamed("th", "node"), "texts")
     each = texts.select("node", F.posexplode("fps").alias("t", "fp"))
     named = scratch.written(each.groupBy("t", "fp").agg(F.min("node").alias("least")), "named")
     n = named.count() // max(tables, 1)
@@ -469,38 +468,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, similari
     ends = [named.select(F.col("t").alias(f"t{c}"), F.col("fp").alias(f"f{c}"), F.col("least").alias(f"n{c}")) for c in "ab"]
     over = near.join(ends[0], (F.col("t") == F.col("ta")) & (F.col("a") == F.col("fa"))).join(ends[1], (F.col("t") == F.col("tb")) & (F.col("b") == F.col("fb")))
     same = each.join(named.withColumnsRenamed({"t": "u", "fp": "f"}), (F.col("t") == F.col("u")) & (F.col("fp") == F.col("f"))).where("node <> least")
-    edges = scratch.written(over.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(same.select(F.col("node").alias("a"), F.col("least").alias("b"))), "edges")
-    cc = components(edges, scratch)
+    cc = components(over.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(same.select(F.col("node").alias("a"), F.col("least").alias("b"))), scratch)
+    seeds = scratch.written(cc.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "seeds")
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(body).alias("h"), body.alias("t"))
-    ids = [texts.select(F.col("node").alias(f"i{c}"), F.col("th").alias(f"h{c}")) for c in "ab"]
-    seeds = cc.where("node <> root").join(ids[0], F.col("node") == F.col("ia")).join(ids[1], F.col("root") == F.col("ib")).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    exact = similar(rows.where("id IS NOT NULL").select(F.col("h").alias("th"), "t"), scratch.written(seeds, "seeds"), shingle, similarity, scratch)
-    exact = exact.join(ids[0], F.col("a") == F.col("ha")).join(ids[1], F.col("b") == F.col("hb")).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
-    cc = components(edges.unionByName(exact), scratch, "all")
-    marked = cc.join(texts.select(F.col("node").alias("k"), "th"), F.col("node") == F.col("k")).select("node", "root", "th")
-    open_ = rows.join(marked, (F.col("id") == F.col("node")) & (F.col("h") == F.col("th"))).dropDuplicates(["node"])
-    at, step, gone = scratch.written(shingle_sets(open_.select("node", "root", "t"), shingle), "open0"), 0, []
-    while not at.isEmpty():
-        # the least open document of each group stays; who is close enough to it goes
-        first = at.groupBy("root").agg(F.min("node").alias("first")).withColumnRenamed("root", "r")
-        heads = at.join(first, F.col("node") == F.col("first")).select(F.col("root").alias("r"), F.col("node").alias("first"), F.col("own").alias("held"))
-        both = F.size(F.array_intersect("own", "held"))
-        every = F.size("own") + F.size("held") - both
-        judged = at.join(heads, F.col("root") == F.col("r")).where("node <> first").withColumn("alike", (every == 0) | (both >= F.lit(similarity) * every))
-        step += 1
-        judged = scratch.written(judged.select("node", "root", "own", "alike"), f"open{step}")
-        gone.append(judged.where("alike").select("node"))
-        at = judged.where("NOT alike").drop("alike")
-    dropped = texts.select("th", "size", "node")
-    lost = None
-    for part in gone:
-        lost = part if lost is None else lost.unionByName(part)
-    rows = found.join(dropped.withColumnsRenamed({"th": "h", "size": "s"}), (F.col("th") == F.col("h")) & (F.col("size") == F.col("s")), "left")
-    rows = rows.withColumn("copy", F.col("id").isNotNull() & (F.col("id") != F.col("node")) | F.col("id").isNull() & F.col("node").isNotNull())
-    if lost is not None:
-        rows = rows.join(lost.select(F.col("node").alias("l")), F.col("node") == F.col("l"), "left").withColumn("copy", F.col("copy") | F.col("l").isNotNull())
-    out = rows.where("copy").select(F.col("id").alias("_i"), F.col("th").alias("_h")).distinct()
+    rows = docs.where(F.col(key).cast("long").isNotNull()).select(F.xxhash64(body).alias("th"), body.alias("t"))
+    groups = scratch.written(components(similar(rows, seeds, shingle, similarity, scratch), scratch, "groups"), "groups")
+    # of each group the text with the least id stays; by the hash where texts share that id
+    member = texts.select("node", "least_id").join(groups.withColumnRenamed("node", "k"), F.col("node") == F.col("k")).select("node", "root", "least_id")
+    first = member.groupBy("root").agg(F.min(F.struct("least_id", "node")).alias("first")).withColumnRenamed("root", "r")
+    lost = member.join(first, F.col("root") == F.col("r")).where(F.col("node") != F.col("first.node")).select(F.col("node").alias("l"))
+    rows = found.select("id", "th").join(texts.select(F.col("node").alias("h"), "least_id"), F.col("th") == F.col("h")).join(lost, F.col("th") == F.col("l"), "left")
+    out = rows.where(F.col("id").isNull() | (F.col("id") != F.col("least_id")) | F.col("l").isNotNull()).select(F.col("id").alias("_i"), F.col("th").alias("_h")).distinct()
     kept = docs.withColumn("_th", F.xxhash64(body))
     kept = kept.join(out, F.col(key).cast("long").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")), "left_anti")
     return kept.dropDuplicates([key, "_th"]).drop("_th")

@@ -437,6 +437,21 @@ def test_exact_join_connects_all_pairs(spark, monkeypatch, heads):
     assert [root_of(got, i) for i in range(len(texts))] == [root_of(expected, i) for i in range(len(texts))]
 
 
+def test_one_of_a_group_stays(spark):
+    """Copies of one original that are alike to it, but not to each other; the original's id is the largest."""
+    rnd = random.Random(13)
+    rows = []
+    for g in range(4):
+        w = [f"w{rnd.randint(0, 5000)}" for _ in range(150)]
+        rows.append((100 * g + 99, " ".join(w)))
+        for c in range(6):
+            rows.append((100 * g + c, " ".join("x" if i in (20 * c + 3, 20 * c + 9, 20 * c + 15) else x for i, x in enumerate(w))))
+    pairs = alike_pairs([t for _, t in rows])
+    assert len(pairs) == 24  # each copy and its original
+    got = simhash.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [0, 100, 200, 300]
+
+
 def root_of(pairs, i):
     seen, todo = {i}, [i]
     while todo:
