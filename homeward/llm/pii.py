@@ -5,7 +5,8 @@ calendar, addresses by their range), read as a list of symbols, each of an alpha
 size, and permuted by a keyed Feistel network over these lists; what results is written in the
 value's own format, with check digits made anew. The permutation depends on the key, the kind and
 the value alone, so equal values have equal pseudonyms in all documents, however they are
-written, and different ones have different ones. What fails its check is left as it is.
+written, and different ones have different ones. What fails its check is left as it is; a card or an IBAN ends
+where its check passes, so digits or words behind it do not hide it.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ KINDS = {
     "card": r"\d(?:[ -]?\d){12,18}" + END,
     "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})" + END,
 }
-PATTERN = f"{EDGE}(?:" + "|".join(KINDS.values()) + ")"
+#: Kinds whose values end where their check passes, and the numbers of characters they can have.
+LENGTHS = {"iban": (12, 34), "card": (13, 19)}
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}
 #: Two spans of about a century, each with the number of its days as a product.
 CENTURIES = [("1901-01-01", 75, 487), ("2001-01-01", 92, 397)]
 
@@ -110,6 +114,48 @@ def mod97(text: Column) -> Column:
     return F.aggregate(chars(text), F.lit(0), lambda s, c: F.pmod(F.when(value(c) > 9, s * 100 + value(c)).otherwise(s * 10 + value(c)), F.lit(97)))
 
 
+def card_valid(m: Column) -> Column:
+    return F.pmod(luhn_sum(digits(m)), F.lit(10)) == 0
+
+
+def iban_valid(m: Column) -> Column:
+    plain = F.regexp_replace(m, " ", "")
+    return mod97(F.concat(F.substr(plain, F.lit(5), F.char_length(plain)), F.substr(plain, F.lit(1), F.lit(4)))) == 1
+
+
+def valid_values(text: Column, kind: str) -> Column:
+    """The distinct values of a kind in LENGTHS that start anywhere in ``text``, long ones first:
+    of each start an IBAN of its country's length if that is valid, else the longest valid one."""
+    least, most = LENGTHS[kind]
+    first, more, valid = {"card": (r"^(\d(?:[ -]?\d){", 1, card_valid), "iban": (r"^([A-Z]{2}\d{2}(?: ?[A-Z0-9]){", 4, iban_valid)}[kind]
+    starts = F.array_distinct(F.regexp_extract_all(text, F.lit(f"{EDGE}(?=({KINDS[kind]}))"), F.lit(1)))
+
+    def longest(m: Column) -> Column:
+        lengths = F.sequence(F.lit(most), F.lit(least), F.lit(-1))
+        if kind == "iban":
+            own = F.lit(None).cast("int")
+            for n, lands in IBAN_LENGTHS.items():
+                own = F.when(F.substr(m, F.lit(1), F.lit(2)).isin(lands.split()), n).otherwise(own)
+            lengths = F.concat(F.filter(F.array(own), lambda n: n.isNotNull()), lengths)
+        cut = F.transform(lengths, lambda n: F.call_function("regexp_extract", m, F.concat(F.lit(first), (n - more).cast("string"), F.lit("})" + END)), F.lit(1)))
+        return F.get(F.filter(cut, lambda v: F.when(v != "", valid(v)).otherwise(False)), F.lit(0))
+
+    found = F.array_distinct(F.filter(F.transform(starts, longest), lambda v: v.isNotNull()))
+    keyed = F.transform(found, lambda v: F.struct((-F.char_length(v)).alias("n"), v.alias("v")))
+    return F.transform(F.array_sort(keyed), lambda x: x["v"])
+
+
+def scanned(values: dict[str, Column]) -> Column:
+    """The pattern of a text's values: KINDS, but of those in LENGTHS just the ``values`` found."""
+    parts = []
+    for kind, looks in KINDS.items():
+        own = F.lit(looks)
+        if kind in values:
+            own = F.when(F.size(values[kind]) > 0, F.concat(F.lit("(?:"), F.array_join(values[kind], "|"), F.lit(")" + END)))
+        parts.append(own)
+    return F.concat(F.lit(f"{EDGE}(?:"), F.concat_ws("|", *parts), F.lit(")"))
+
+
 def card(m: Column, key: str) -> Column:
     number = digits(m)
     body = permuted(F.substr(number, F.lit(1), F.char_length(number) - 1), key, "card", CLASSES[:1])
@@ -181,7 +227,7 @@ def secret(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """What stands for a match of PATTERN; the match itself if it fails its kind's check."""
+    """What stands for a match of one of KINDS; the match itself if it fails its kind's check."""
     out = m
     for kind, made in reversed({"email": email, "ip": ip, "date": date, "ssn": ssn, "iban": iban, "phone": phone, "card": card, "secret": secret}.items()):
         out = F.when(m.rlike(f"^(?:{KINDS[kind]})$"), made(m, key)).otherwise(out)
@@ -194,10 +240,12 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "n_
     All rows and the other columns stay. A null text stays null, with 0 values; texts without
     personal data stay as they are, byte for byte. Repeated rows change alike.
     """
-    values, new, cols = "_pii_values", "_pii_new", docs.columns
-    df = docs.withColumn(values, F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)))
+    values, new, looks, cols = "_pii_values", "_pii_new", "_pii_looks", docs.columns
+    df = docs.withColumns({f"_pii_{k}": valid_values(F.col(text), k) for k in LENGTHS})
+    df = df.withColumn(looks, scanned({k: F.col(f"_pii_{k}") for k in LENGTHS}))
+    df = df.withColumn(values, F.regexp_extract_all(F.col(text), F.col(looks), F.lit(0)))
     df = df.withColumn(new, F.when(F.size(values) > 0, F.transform(values, lambda m: pseudonym(m, key))))
-    between = F.split(F.col(text), PATTERN, -1)
+    between = F.split(F.col(text), F.col(looks), -1)
     whole = F.array_join(F.zip_with(between, F.col(new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     changed = F.size(F.filter(F.zip_with(values, new, lambda a, b: a != b), lambda x: x))
     df = df.withColumn(found, F.when(F.size(values) > 0, changed).otherwise(0).cast("bigint"))

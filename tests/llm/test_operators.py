@@ -167,6 +167,18 @@ def test_other_kinds(spark):
     assert changed(spark, text, key="other")[0] != got
 
 
+def test_values_with_more_behind_or_before(spark):
+    """Numbers and words beside a card or an IBAN do not hide it, and equal values stay linked."""
+    card, bank = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    texts = [card, f"{card} 12/26", "4111111111111111 123", f"12 {card}", f"{card} 123-45-6789", bank, f"{bank} 2024", f"{bank} ABCD 12", "4111 1111 1111 1112 12/26"]
+    got = changed(spark, *texts)
+    new, account = got[0], got[5]
+    assert new != card and luhn(new.replace(" ", "")) and account != bank
+    assert got[1:4] == [f"{new} 12/26", f"{new.replace(' ', '')} 123", f"12 {new}"]
+    assert got[4].startswith(f"{new} ") and re.fullmatch(r"\d{3}-\d\d-\d{4}", got[4][20:]) and got[4][20:] != "123-45-6789"
+    assert got[6:] == [f"{account} 2024", f"{account} ABCD 12", texts[8]]
+
+
 def test_pseudonyms_leave_the_rest(spark, docs, empty):
     got = pii.pseudonymise(docs, "k")
     assert got.columns == [*docs.columns, "n_values"]
