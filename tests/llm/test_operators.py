@@ -464,6 +464,14 @@ def test_one_of_a_group_stays(spark):
     assert sorted(r.doc_id for r in got) == [0, 100, 200, 300]
 
 
+def test_texts_that_share_an_id_are_compared_each(spark):
+    words = [f"w{i}" for i in range(100)]
+    near, other = " ".join([*words[:99], "x"]), " ".join(f"v{i}" for i in range(100))
+    rows = [(1, " ".join(words)), (2, near), (2, other)]
+    got = simhash.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([rows[0], rows[2]])
+
+
 def root_of(pairs, i):
     seen, todo = {i}, [i]
     while todo:
