@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import tempfile
@@ -100,6 +101,44 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
     yield batch.slice(start)
 
 
+def giving_back(run):
+    """``run`` over Arrow batches, giving free memory back to the system when a task ends. Workers
+    are used again by later tasks, and what an idle one holds is missing to the others."""
+
+    def wrapped(*batches):
+        try:
+            yield from run(*batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def then_back(solve):
+    """The same for a function of one whole group or of two."""
+
+    def one(group):
+        try:
+            return solve(group)
+        finally:
+            give_back()
+
+    def two(left, right):
+        try:
+            return solve(left, right)
+        finally:
+            give_back()
+
+    return one if solve.__code__.co_argcount == 1 else two  # Spark looks at the number of arguments
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
 def schema_of(*fields: tuple[str, str]) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in fields)
 

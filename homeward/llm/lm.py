@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm.common import Scratch, fold, input_bytes, pieces
+from homeward.llm.common import Scratch, fold, giving_back, input_bytes, pieces, then_back
 
 FOLDS = 10
 #: Of the folds: scored only, and deleted while the weights are learned. The others are counted.
@@ -151,7 +151,7 @@ def asked(docs: DataFrame, order: int, parts: int) -> DataFrame:
                     rows.append((p, k, block, shortened(keys[at], k), narrowed(kept[at]), narrowed(deleted[at])))
         return table_of(rows, ASKED)
 
-    return docs.groupBy("block").applyInArrow(ask, ASKED)
+    return docs.groupBy("block").applyInArrow(then_back(ask), ASKED)
 
 
 def table_of(rows: list[tuple], schema: str) -> pa.Table:
@@ -193,7 +193,7 @@ def answered(sent: DataFrame) -> DataFrame:
             rows.append((part, k, STATS, stats.tobytes(), b""))
         return table_of(rows, ANSWERED)
 
-    return sent.groupBy("ord", "part").applyInArrow(answer, ANSWERED)
+    return sent.groupBy("ord", "part").applyInArrow(then_back(answer), ANSWERED)
 
 
 class Counts:
@@ -275,7 +275,7 @@ def maximised(points: DataFrame, order: int, rounds: int, enough: float) -> np.n
             yield pa.RecordBatch.from_arrays([pa.array([-1, -2]), pa.array([0, 0]), pa.array([likely, float(size)])], ["b", "k", "s"])
 
         sums, told = np.zeros(now.shape), {}
-        for b, k, s in points.mapInArrow(expect, "b bigint, k bigint, s double").groupBy("b", "k").agg(F.sum("s")).collect():
+        for b, k, s in points.mapInArrow(giving_back(expect), "b bigint, k bigint, s double").groupBy("b", "k").agg(F.sum("s")).collect():
             if b < 0:
                 told[b] = s
             else:
@@ -315,7 +315,7 @@ def scores(spark: SparkSession, docs: DataFrame, order: int = 2, rounds: int = 1
                 total += np.frombuffer(b, "<i8")
         yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in total], list("abcd"))
 
-    stats = answers.where(f"block = {STATS}").select("kept").mapInArrow(added, "a bigint, b bigint, c bigint, d bigint").agg(*(F.sum(c) for c in "abcd")).first()
+    stats = answers.where(f"block = {STATS}").select("kept").mapInArrow(giving_back(added), "a bigint, b bigint, c bigint, d bigint").agg(*(F.sum(c) for c in "abcd")).first()
     n_kept, n_all, v_kept, v_all = (int(x or 0) for x in stats)
     ends = src.where(f"fold <> {HELD_OUT}").agg(F.count("*"), F.sum((F.col("fold") != DELETED).cast("int"))).first()
     docs_all, docs_kept = int(ends[0] or 0), int(ends[1] or 0)
@@ -337,7 +337,7 @@ def scores(spark: SparkSession, docs: DataFrame, order: int = 2, rounds: int = 1
         return table_of([(rows.tobytes(),)] if len(rows) else [], "points binary")
 
     of_deleted = [df.where("block < 0").groupBy("block") for df in (src, answers)]
-    held = scratch.written(of_deleted[0].cogroup(of_deleted[1]).applyInArrow(points, "points binary"), "points")
+    held = scratch.written(of_deleted[0].cogroup(of_deleted[1]).applyInArrow(then_back(points), "points binary"), "points")
     weights = maximised(held, order, rounds, enough)
     scratch.drop("points")
     RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -356,4 +356,4 @@ def scores(spark: SparkSession, docs: DataFrame, order: int = 2, rounds: int = 1
         cols = [own.column("id").combine_chunks(), pa.array(folds == HELD_OUT), pa.array(found.sizes), pa.array(known), pa.array(np.full(len(at), n_all)), pa.array(base), pa.array(full)]
         return pa.table(dict(zip([f.split()[0] for f in RESULT.split(", ")], cols, strict=True)))
 
-    return src.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(final, RESULT)
+    return src.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(then_back(final), RESULT)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm.common import Scratch, slices
+from homeward.llm.common import Scratch, giving_back, slices
 from homeward.llm.ranks import numbered
 from homeward.llm.tokens import codec
 
@@ -54,7 +54,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int, end_id: int, key: str =
                     arrays.append(pa.array(cols[5], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
 
-    return src.mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return src.mapInArrow(giving_back(run), PIECES + ", ids binary" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm.common import slices
+from homeward.llm.common import giving_back, slices
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 RUNS = re.compile(rb"([Aa0])\1+")
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, trusted: list[int], size: int = BUCKETS, key: str = "do
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, sums[0][at], sums[1][at])], ["b", "raw", "own"])
 
-    rows = src.mapInArrow(run, "b bigint, raw bigint, own bigint").groupBy("b").agg(F.sum("raw"), F.sum("own")).collect()  # at most ``size`` rows
+    rows = src.mapInArrow(giving_back(run), "b bigint, raw bigint, own bigint").groupBy("b").agg(F.sum("raw"), F.sum("own")).collect()  # at most ``size`` rows
     sums = np.full((2, size), 0.5)
     for b, raw, own in rows:
         sums[:, b] += raw, own
@@ -128,7 +128,7 @@ def score(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, leas
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(found[:, i]) for i in range(5)), pa.array(means, pa.float64())], [*own, *made])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    out = src.mapInArrow(run, f"{kinds}, {COUNTS}, llr double")
+    out = src.mapInArrow(giving_back(run), f"{kinds}, {COUNTS}, llr double")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= F.lit(threshold)))
 

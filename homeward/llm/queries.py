@@ -39,9 +39,11 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    found = tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text", path)
-    back = tokens.decode(found, "ids", path)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text", path, with_offsets=True, with_decoded=True)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_chars"),
+    )
 
 
 def op6_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm.common import Scratch, slices
+from homeward.llm.common import Scratch, giving_back, slices
 
 LEAST = 400
 GRAM = 32
@@ -161,7 +161,7 @@ def segments(docs: DataFrame, least: int, hot: list[int] | None = None, hotter:
                     ats = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[order].astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([*(pa.array(x) if isinstance(x, np.ndarray) else x for x in cols), ats], [f.split()[0] for f in ROWS.split(", ")])
 
-    return docs.where(F.octet_length("text") >= least).mapInArrow(run, ROWS)
+    return docs.where(F.octet_length("text") >= least).mapInArrow(giving_back(run), ROWS)
 
 
 def met_again(rows: DataFrame) -> DataFrame:
@@ -330,7 +330,7 @@ def compared(reps: DataFrame, docs: DataFrame, least: int) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    return cut.mapInArrow(run, FOUND)
+    return cut.mapInArrow(giving_back(run), FOUND)
 
 
 KEPT = "n_bytes bigint, n_removed bigint, n_spans bigint, starts array<int>, ends array<int>, kept binary"
@@ -384,7 +384,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, least: int = LEAST, ke
                 kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 2 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)), *part.columns[3:]], ["doc_id", *(f.split()[0] for f in KEPT.split(", ")), *(f"_{i}" for i in range(len(carry)))])
 
-    return joined.mapInArrow(cut, "doc_id bigint, " + KEPT + kinds_).withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry)})
+    return joined.mapInArrow(giving_back(cut), "doc_id bigint, " + KEPT + kinds_).withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry)})
 
 
 def removed(text: bytes, hits: list[dict], least: int) -> tuple:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm.common import Scratch, slices
+from homeward.llm.common import Scratch, giving_back, slices
 from homeward.llm.components import components
 
 SEED = 42
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, size: int, key: str = "doc_id", text: str = "t
                 found = np.array([fingerprint(t or b"", size) for t in part.column("t").to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return src.mapInArrow(run, "doc_id bigint, fp bigint")
+    return src.mapInArrow(giving_back(run), "doc_id bigint, fp bigint")
 
 
 def top_masks(radius: int, n: int) -> list[int]:
@@ -201,7 +201,7 @@ def links(fps: DataFrame, radius: int, n: int) -> DataFrame:
         if len(held[0]):
             yield search(*held)
 
-    return dealt.mapInArrow(run, "t int, a bigint, b bigint")
+    return dealt.mapInArrow(giving_back(run), "t int, a bigint, b bigint")
 
 
 def classes(found: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
@@ -255,7 +255,7 @@ def sketches(docs: DataFrame, shingle: int, tables: int, verify: int, key: str,
                 found = [several(t) for t in part.column("t").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["id", "th", "size", "fps"])
 
-    return src.mapInArrow(run, "id bigint, th bigint, size bigint, fps array<bigint>")
+    return src.mapInArrow(giving_back(run), "id bigint, th bigint, size bigint, fps array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -267,7 +267,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 found = [sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(t, size)}) for t in part.column("t").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("th"), pa.array(found, pa.list_(pa.int64()))], ["th", "own"])
 
-    return docs.mapInArrow(run, "th bigint, own array<bigint>")
+    return docs.mapInArrow(giving_back(run), "th bigint, own array<bigint>")
 
 
 def least_shared(n: np.ndarray, share: float) -> np.ndarray:
@@ -292,7 +292,7 @@ def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
             for part in slices(batch, "t"):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashed_sets(part.column("t").to_pylist(), size)))], ["h"])
 
-    counted = sample.select("t").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n >= 4")
+    counted = sample.select("t").mapInArrow(giving_back(run), "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n >= 4")
     found = counted.orderBy(F.desc("n"), "h").limit(1 << 16).collect()
     return np.array([r.h for r in reversed(found)], np.int64)
 
@@ -323,7 +323,7 @@ def prefixes(rows: DataFrame, size: int, similarity: float, common: np.ndarray)
                 n = np.repeat(np.array([len(s) for s in sets], np.int32), counts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(of), pa.array(n), pa.array(ranges(np.zeros(len(counts), np.int64), counts).astype(np.int32))], ["token", "th", "n", "pos"])
 
-    return rows.select("th", "t").mapInArrow(run, "token bigint, th bigint, n int, pos int")
+    return rows.select("th", "t").mapInArrow(giving_back(run), "token bigint, th bigint, n int, pos int")
 
 
 BUCKET = "token bigint, ths array<bigint>, ns array<int>, poss array<int>, roots array<bigint>"
@@ -359,7 +359,7 @@ def buckets(dealt: DataFrame, over: int = 1) -> DataFrame:
         if held is not None:
             yield gathered(*held)
 
-    return dealt.select("token", "th", "n", "pos", "root").mapInArrow(run, BUCKET)
+    return dealt.select("token", "th", "n", "pos", "root").mapInArrow(giving_back(run), BUCKET)
 
 
 def close_pairs(found: DataFrame, similarity: float, low: int, high: int) -> DataFrame:
@@ -394,7 +394,7 @@ def close_pairs(found: DataFrame, similarity: float, low: int, high: int) -> Dat
                 yield pairs(th, n.astype(np.int64), pos.astype(np.int64), root, head[at:end], behind[head[at:end]])
                 at = end
 
-    return found.select("ths", "ns", "poss", "roots").mapInArrow(run, "a bigint, b bigint").distinct()
+    return found.select("ths", "ns", "poss", "roots").mapInArrow(giving_back(run), "a bigint, b bigint").distinct()
 
 
 def alike(rows: DataFrame, pairs: DataFrame, size: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:

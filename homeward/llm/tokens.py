@@ -2,8 +2,9 @@
 
 The vocabulary is a public file that is opened where it is used, by a path given as a
 parameter; it must exist on every node. Ids come from the tokenizers library. Since no match of
-the splitting pattern crosses from a word into the white space behind it, a text is cut there
-first, what a worker has seen before is looked up, and the ids are put together again.
+the splitting pattern crosses from a word into the white space behind it, the different words of a
+few MB of text are encoded once each, and the ids are put together again. Offsets come from the
+bytes of the ids: which character a byte belongs to is counted in the text.
 """
 
 from __future__ import annotations
@@ -23,18 +24,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from homeward.llm.common import slices
+from homeward.llm.common import giving_back, slices
 
 #: Unicode's White_Space, as the pattern's \s has it (Python's own \s has four more).
 WHITE = "\t-\r \x85\xa0  -     　"
-#: Cuts between which no match of the pattern runs: a run of Latin letters up to an ASCII sign
-#: or the end, anything else up to white space, and white space but for its last character.
-CUTS = re.compile(f" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]++(?=[\0-@\\[-`{{-\x7f]|\\Z)| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: The end of a word; no match of the pattern runs from a word into the white space behind it.
+TURN = re.compile(f"[^{WHITE}][{WHITE}]")
 #: White space that the quick way does not handle, alone or in pairs.
 RARE = [*"\t\x0b\x0c\r", "  ", " \n", "\n ", "\n\n"]
 RARE_WIDE = [*"\x85\xa0 ", *map(chr, range(0x2000, 0x200B)), *"    　"]
-#: Entries in one generation of what a worker remembers, and the characters of the longest.
-MEMO_ENTRIES, MEMO_CHARS = 400_000, 64
+#: Characters whose words are looked at together, and those of words that are encoded as one text.
+LOT_CHARS, JOINED_CHARS = 5 << 20, 1 << 18
 
 
 def byte_chars() -> list[str]:
@@ -65,21 +65,9 @@ def packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-class Memo:
-    """Two generations of a bounded memory: the older goes when the younger is full."""
-
-    def __init__(self) -> None:
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.now) >= MEMO_ENTRIES:
-            self.old, self.now = self.now, {}
-        self.now[key] = value
-
-
 class Codec:
-    """A byte-level vocabulary: text to ids, with offsets."""
+    """A byte-level vocabulary: text to ids, with offsets. It remembers no text: what a worker
+    keeps between tasks is the vocabulary alone."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -95,30 +83,14 @@ class Codec:
             seen = lambda b: "".join(chars[x] for x in b)
             self.model = Tokenizer(models.BPE({seen(t): i for t, i in ranks.items()}, [(seen(a), seen(b)) for a, b in merges_of(ranks)], ignore_merges=True))
             self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        self.words, self.others = Memo(), Memo()  # ids of cuts behind a blank, by what follows it; of others
-        self.spans: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return packed(self.model.encode(text, add_special_tokens=False).ids)
-
-    def _found(self, cuts: set[str]) -> dict[str, bytes]:
-        """The ids of each cut; those not remembered are encoded together."""
-        out, new = {}, []
-        for c in cuts:
-            own, key = (self.words, c[1:]) if c[0] == " " else (self.others, c)
-            got = own.now.get(key)
-            if got is None and (got := own.old.get(key)) is not None:
-                own.put(key, got)
-            if got is None:
-                new.append(c)
-            else:
-                out[c] = got
-        for c, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-            out[c] = got = packed(e.ids)
-            if len(c) <= MEMO_CHARS:
-                own, key = (self.words, c[1:]) if c[0] == " " else (self.others, c)
-                own.put(key, got)
-        return out
+        known = self.model.get_vocab()
+        #: Of each id the number of bytes, and whether it begins with a blank or a line end.
+        self.n_bytes = np.zeros(max(known.values()) + 1, np.int32)
+        self.begins = {mark: np.zeros(len(self.n_bytes), bool) for mark in " \n"}
+        for t, i in known.items():
+            self.n_bytes[i] = len(t.encode()) if t in self.specials else len(t)
+            for mark, own in self.begins.items():
+                own[i] = t[:1] == chars[ord(mark)] and t not in self.specials
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -126,60 +98,111 @@ class Codec:
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one behind the other, and where each text's ids end."""
+        sizes, found = np.zeros(len(texts), np.int64), [np.zeros(0, "<u4")]
+        lot: list[str] = []
+        of: list[int] = []
+        held = 0
+
+        def done() -> None:
+            flat, ends = self._lot(lot)
+            found.append(flat)
+            np.add.at(sizes, of, np.diff(ends, prepend=0))
+
+        for i, t in enumerate(texts):
+            for part in parted(t):
+                if held + len(part) > LOT_CHARS and lot:
+                    done()
+                    lot, of, held = [], [], 0
+                lot.append(part)
+                of.append(i)
+                held += len(part)
+        if lot:
+            done()
+        return np.concatenate(found), np.cumsum(sizes)
+
+    def _lot(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """In a plain text every white space is one blank or one line end between two words, so
+        its ids are those of its words, of which each is encoded once."""
         plain = [i for i, t in enumerate(texts) if self._plain(t)]
-        rest = sorted(set(range(len(texts))) - set(plain))
-        # in a plain text every white space is one blank or one line end between two words
-        split = pc.split_pattern(pa.array([texts[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")
-        at = split.offsets.to_numpy()
-        coded = split.flatten().dictionary_encode()
-        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        codes[at[:-1]] = len(words) + np.arange(len(plain))  # the first word has no blank before it
-        known = list(map(self.words.now.get, words))
-        new = [i for i, b in enumerate(known) if b is None]
-        cuts = [CUTS.findall(words[i] if words[i][:1] == "\n" else " " + words[i]) for i in new]
-        heads = [CUTS.findall(texts[i].split(" ", 1)[0].split("\n", 1)[0]) for i in plain]
-        others = [None if any(s in texts[i] for s in self.specials) else CUTS.findall(texts[i]) for i in rest]
-        found = self._found({c for p in (*cuts, *heads, *filter(None, others)) for c in p})
-        for i, p in zip(new, cuts, strict=True):
-            known[i] = b"".join([found[c] for c in p])
-        known += [b"".join([found[c] for c in p]) for p in heads]
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        firsts = np.cumsum(sizes) - sizes
-        counts = sizes[codes]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = np.frombuffer(b"".join(known), "<u4")[np.repeat(firsts[codes] - ends + counts, counts) + np.arange(total)]
-        stops = np.concatenate([[0], ends])[at[1:]]
-        if not rest:
-            return flat, stops
-        out = dict(zip(plain, np.split(flat, stops)[: len(plain)], strict=True))
-        for i, p in zip(rest, others, strict=True):
-            out[i] = np.frombuffer(self._whole(texts[i]) if p is None else b"".join([found[c] for c in p]), "<u4")
+        flat, ends = self._words([texts[i] for i in plain])
+        if len(plain) == len(texts):
+            return flat, ends
+        out = dict(zip(plain, np.split(flat, ends)[: len(plain)], strict=True))
+        for i in set(range(len(texts))) - set(plain):
+            out[i] = self._encoded(texts[i])
         every = [out[i] for i in range(len(texts))]
         return np.concatenate(every), np.cumsum([len(x) for x in every])
 
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not texts:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        # a line end before the first word, so that each word has a sign before it
+        split = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        at = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(), coded.dictionary
+        on_line = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+        firsts, sizes, known, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        for mark, own in ((" ", np.flatnonzero(~on_line)), ("\n", np.flatnonzero(on_line))):
+            ids, n = self._joined(mark, [w.removeprefix("\n") for w in words.take(pa.array(own)).to_pylist()])
+            sizes[own], firsts[own] = n, total + np.cumsum(n) - n
+            known.append(ids)
+            total += len(ids)
+        first, count = firsts[codes], sizes[codes]
+        heads = at[:-1]
+        first[heads] += 1  # the line end before the first word is not the text's own
+        count[heads] -= 1
+        ends = np.cumsum(count)
+        flat = np.concatenate(known)[np.repeat(first - ends + count, count) + np.arange(int(ends[-1]))]
+        return flat, ends[at[1:] - 1]
+
+    def _joined(self, mark: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that have ``mark`` before them, and how many each has. They are encoded
+        as one text; where a word begins, its first id tells."""
+        flat, sizes, start, held = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], 0, 0
+        for i, w in enumerate(words):
+            held += len(w) + 1
+            if held >= JOINED_CHARS or i + 1 == len(words):
+                ids = self._encoded(mark + mark.join(words[start : i + 1]))
+                at = np.flatnonzero(self.begins[mark][ids])
+                if len(at) != i + 1 - start:
+                    raise ValueError("the vocabulary joins words over white space")
+                flat.append(ids)
+                sizes.append(np.diff(np.append(at, len(ids))))
+                start, held = i + 1, 0
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _whole(self, text: str) -> bytes:
+        return packed(self.model.encode(text, add_special_tokens=False).ids)
+
     def _plain(self, text: str) -> bool:
         if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in RARE) or any(s in text for s in self.specials):
             return False
         return text.isascii() or not any(x in text for x in RARE_WIDE)
 
-    def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each token in characters; those of a split character share it."""
-        starts, ends = [], []
-        parts = [(0, text)] if any(s in text for s in self.specials) else [(m.start(), m.group()) for m in CUTS.finditer(text)]
-        for at, c in parts:
-            got = self.spans.get(c)
-            if got is None:
-                pairs = self.model.encode(c, add_special_tokens=False).offsets
-                got = tuple(np.array([p[k] for p in pairs], np.int32) for k in (0, 1))
-                if len(c) <= MEMO_CHARS:
-                    if len(self.spans) > MEMO_ENTRIES:
-                        self.spans.clear()
-                    self.spans[c] = got
-            starts.append(got[0] + at)
-            ends.append(got[1] + at)
-        none = np.zeros(0, np.int32)
-        return (np.concatenate(starts), np.concatenate(ends)) if starts else (none, none)
+    def offsets(self, texts: list[str], flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each of the ids in characters of its text; those of a split character
+        share it. From the ids' bytes: the characters before each byte are counted."""
+        whole = np.frombuffer("".join(texts).encode(), np.uint8)
+        upto = np.cumsum((whole & 0xC0) != 0x80, dtype=np.int32)  # the character that holds the byte, from 1
+        stops = np.cumsum(self.n_bytes[flat], dtype=np.int64)
+        if len(flat) and stops[-1] != len(whole):
+            raise ValueError("the ids are not those of the texts")
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        before = np.repeat(np.cumsum(sizes) - sizes, np.diff(ends, prepend=0))
+        return (upto[stops - self.n_bytes[flat]] - 1 - before).astype(np.int32), (upto[stops - 1] - before).astype(np.int32)
+
+
+def parted(text: str) -> Iterator[str]:
+    """A long text in parts, cut before white space behind a word, where no match runs on."""
+    at = 0
+    while len(text) - at > LOT_CHARS and (m := TURN.search(text, at + LOT_CHARS // 2)):
+        yield text[at : m.start() + 1]
+        at = m.start() + 1
+    yield text[at:] if at else text
 
 
 @functools.lru_cache(maxsize=4)
@@ -203,56 +226,65 @@ def lists(flat: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.astype(np.int32, copy=False)))
 
 
-def encode(df: DataFrame, key: str, text: str, path: str, with_offsets: bool = False) -> DataFrame:
+def joined_bytes(ids: np.ndarray, table: dict[int, bytes]) -> bytes:
+    """What the ids stand for. Characters split over ids are whole again, as bytes are joined
+    before anything is read as UTF-8."""
+    return b"".join(map(table.__getitem__, ids.tolist()))
+
+
+def encode(df: DataFrame, key: str, text: str, path: str, with_offsets: bool = False, with_decoded: bool = False) -> DataFrame:
     """One row per row of ``df``: the key and ``ids`` (array of int).
 
-    with_offsets adds ``starts`` and ``ends``, in characters. A null text has no ids, as an
-    empty one; a null key stays null; repeated rows are each encoded; an empty table gives an
-    empty table; further columns of ``df`` are left behind. Long texts are not cut.
+    with_offsets adds ``starts`` and ``ends``, in characters; with_decoded adds ``packed``, the ids
+    as little-endian unsigned 32-bit integers, and ``decoded``, the bytes that the ids stand for (as
+    ``decode`` finds them, but in the same task). A null text has no ids, as an empty one; a null key
+    stays null; repeated rows are each encoded; an empty table gives an empty table; further columns
+    of ``df`` are left behind. Long texts are not cut.
     """
     src = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
+        table = byte_table(path) if with_decoded else {}
         for batch in batches:
             for part in slices(batch, "t"):
                 texts = [t or "" for t in part.column("t").to_pylist()]
                 flat, ends = c.batch(texts)
                 cols = [part.column("k"), lists(flat, ends)]
                 if with_offsets:
-                    both = [c.offsets(t) for t in texts]
-                    cols += [lists(np.concatenate([b[k] for b in both]), ends) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(cols, ["k", "ids", "starts", "ends"][: len(cols)])
+                    cols += [lists(x, ends) for x in c.offsets(texts, flat, ends)]
+                if with_decoded:
+                    own = np.split(flat, ends)[: len(ends)]
+                    cols += [pa.array([x.tobytes() for x in own], pa.binary()), pa.array([joined_bytes(x, table) for x in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
+    names = ["k", "ids", *(["starts", "ends"] if with_offsets else []), *(["packed", "decoded"] if with_decoded else [])]
     kind = src.schema["k"].dataType.simpleString()
-    out = src.mapInArrow(run, f"k {kind}, ids array<int>" + ", starts array<int>, ends array<int>" * with_offsets)
+    out = src.mapInArrow(giving_back(run), f"k {kind}, ids array<int>" + ", starts array<int>, ends array<int>" * with_offsets + ", packed binary, decoded binary" * with_decoded)
     return out.withColumnRenamed("k", key)
 
 
 def decode(df: DataFrame, ids: str, path: str, out: str = "decoded") -> DataFrame:
     """``df`` with the bytes of its ids as ``out``, and ``ids`` packed as ``out``_ids.
 
-    Characters split over tokens are whole again, as bytes are joined before anything is read as
-    UTF-8. Packed: little-endian unsigned 32-bit integers. A null list decodes as an empty one. An id
-    that the vocabulary lacks is an error.
+    Packed: little-endian unsigned 32-bit integers. A null list decodes as an empty one. An id
+    that the vocabulary lacks is an error. All columns of ``df`` stay; those named like the new
+    ones are replaced.
     """
-    names = df.columns
+    own = [c for c in df.columns if c.lower() not in (out.lower(), f"{out}_ids".lower())]
+    src = df.select(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_table(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                col = part.column(names.index(ids))
+                col = part.column(own.index(ids))
                 flat = col.flatten().to_numpy(zero_copy_only=False).astype("<u4")
                 sizes = np.array([0 if n is None else n for n in col.value_lengths().to_pylist()], np.int64)
-                ends = np.cumsum(sizes)
-                found, packed = [], []
-                for a, b in zip(ends - sizes, ends, strict=True):
-                    own = flat[a:b]
-                    found.append(b"".join([table[i] for i in own.tolist()]))
-                    packed.append(own.tobytes())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary()), pa.array(packed, pa.binary())], [*names, out, f"{out}_ids"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{kinds}, `{out}` binary, `{out}_ids` binary")
+                each = np.split(flat, np.cumsum(sizes))[: len(sizes)]
+                new = [pa.array([joined_bytes(x, table) for x in each], pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*own, out, f"{out}_ids"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
+    return src.mapInArrow(giving_back(run), f"{kinds}, `{out}` binary, `{out}_ids` binary")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm.common import Scratch, slices
+from homeward.llm.common import Scratch, giving_back, slices
 
 #: Fields of a URL record by version (fixed by the format).
 FIELDS = {
@@ -157,7 +157,7 @@ def to_arc(pages: DataFrame, date: str, key: str = "page_id", url: str = "url",
                 yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(b"".join(out), 1)], pa.binary())], ["arc"])
                 version = 3 - version
 
-    return src.mapInArrow(run, "arc binary")
+    return src.mapInArrow(giving_back(run), "arc binary")
 
 
 RECORDS = "page_id bigint, url string, date string, mime string, rid string, digest string, n_payload bigint, problem string"
@@ -183,7 +183,7 @@ def from_arc(arcs: DataFrame, with_block: bool) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], [*(f.split()[0] for f in RECORDS.split(", ")), "block"][: len(kinds)])
 
-    return arcs.select("arc").mapInArrow(run, RECORDS + ", block binary" * with_block)
+    return arcs.select("arc").mapInArrow(giving_back(run), RECORDS + ", block binary" * with_block)
 
 
 def convert(arcs: DataFrame, least: int = 0) -> DataFrame:
@@ -213,7 +213,7 @@ def convert(arcs: DataFrame, least: int = 0) -> DataFrame:
                     out.append(warc_record(kind, r["rid"], common, block))
                 yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(out, pa.binary())], ["rid", "record"])
 
-    return every.select("rid", "url", "date", "mime", "digest", "block", "to").mapInArrow(run, "rid string, record binary")
+    return every.select("rid", "url", "date", "mime", "digest", "block", "to").mapInArrow(giving_back(run), "rid string, record binary")
 
 
 def write_archives(records: DataFrame, path: str) -> None:
@@ -251,7 +251,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 4]
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], [f.split()[0] for f in READ.split(", ")])
 
-    return files.mapInArrow(run, READ)
+    return files.mapInArrow(giving_back(run), READ)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, date: str = "20240101000000", least: int = 0, scratch: Scratch | None = None) -> DataFrame:

@@ -254,7 +254,8 @@ def reference():
 
 def test_ids_are_those_of_the_ranks(spark, docs, rows, empty):
     enc = reference()
-    got = tokens.decode(tokens.encode(docs, "doc_id", "text", RANKS, with_offsets=True), "ids", RANKS)
+    got = tokens.decode(tokens.encode(docs, "doc_id", "text", RANKS, with_offsets=True, with_decoded=True), "ids", RANKS, "again")
+    assert got.where("again <> decoded OR again_ids <> packed").count() == 0
     expected = [(i, enc.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows]
     assert sorted((str(r.doc_id), list(r.ids), bytes(r.decoded)) for r in got.collect()) == sorted((str(i), a, b) for i, a, b in expected)
     for r in got.where("doc_id = 12").collect():
@@ -273,6 +274,37 @@ def test_odd_texts_have_the_same_ids():
         assert flat[a:b].tolist() == enc.encode_ordinary(t), repr(t)
 
 
+def odd_texts(n, most=40):
+    rnd = random.Random(8)
+    signs = [*"aab  \n\t'sé日😀1!.\x85\xa0\x1c", " word", " le", "\nline", " été", "--", "00"]
+    return ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, most))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("path", [RANKS, JSON])
+def test_offsets_are_those_of_the_library(path):
+    own, texts = tokens.codec(path), [*odd_texts(400), "", "x <|endoftext|> 日本"]
+    own.model.no_truncation()
+    flat, ends = own.batch(texts)
+    starts, stops = own.offsets(texts, flat, ends)
+    for t, a, b in zip(texts, [0, *ends], ends, strict=False):
+        plain = own.model.encode(t, add_special_tokens=False)
+        assert flat[a:b].tolist() == plain.ids
+        # the library may leave blanks out of a span; ends agree, and starts but for these
+        assert [y for _, y in plain.offsets] == stops[a:b].tolist(), repr(t)
+        assert all(x == s or t[s:x].isspace() for (x, _), s in zip(plain.offsets, starts[a:b].tolist(), strict=True)), repr(t)
+
+
+def test_long_texts_in_parts_have_the_same_ids(monkeypatch):
+    enc, own = reference(), tokens.codec(RANKS)
+    texts = [" ".join(odd_texts(60)), "x" * 700, " ".join(f"word{i}" for i in range(400)), ""]
+    monkeypatch.setattr(tokens, "LOT_CHARS", 64)
+    monkeypatch.setattr(tokens, "JOINED_CHARS", 32)
+    assert max(map(len, tokens.parted(texts[2]))) < 80
+    flat, ends = own.batch(texts)
+    for t, a, b in zip(texts, [0, *ends], ends, strict=False):
+        assert flat[a:b].tolist() == enc.encode_ordinary(t)
+
+
 def test_bytes_have_characters():
     chars = tokens.byte_chars()
     assert len(set(chars)) == 256 and chars[65] == "A" and chars[32] == "Ġ"
