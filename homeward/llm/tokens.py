@@ -35,6 +35,8 @@ RARE = [*"\t\x0b\x0c\r", "  ", " \n", "\n ", "\n\n"]
 RARE_WIDE = [*"\x85\xa0 ", *map(chr, range(0x2000, 0x200B)), *"    　"]
 #: Characters whose words are looked at together, and those of words that are encoded as one text.
 LOT_CHARS, JOINED_CHARS = 5 << 20, 1 << 18
+#: Words that a worker remembers at most, and ids of the longest.
+KNOWN_WORDS, KNOWN_IDS = 1 << 17, 32
 
 
 def byte_chars() -> list[str]:
@@ -65,9 +67,28 @@ def packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class Known:
+    """Words and their ids, in arrays: some MB, which is all a worker keeps besides the vocabulary."""
+
+    def __init__(self, words: pa.Array, sizes: np.ndarray, flat: np.ndarray):
+        self.words, self.sizes, self.flat = words, sizes, flat
+        self.firsts = np.append(np.cumsum(sizes) - sizes, 0)  # the last is for words that are not there
+        self.sizes = np.append(sizes, 0)
+
+    def joined(self, words: pa.Array, firsts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, again: np.ndarray, known: np.ndarray) -> Known:
+        """With those of ``words`` that are met ``again``; the others go when it becomes too many."""
+        pick = np.flatnonzero(again & (known < 0) & (sizes <= KNOWN_IDS))
+        old = len(self.words)
+        if old + len(pick) > KNOWN_WORDS:
+            pick, old = np.flatnonzero(again & (sizes <= KNOWN_IDS))[:KNOWN_WORDS], 0
+        n = sizes[pick]
+        ends = np.cumsum(n)
+        own = flat[np.repeat(firsts[pick] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return Known(pa.concat_arrays([self.words[:old], words.take(pa.array(pick))]), np.concatenate([self.sizes[:old], n]), np.concatenate([self.flat[: int(self.sizes[:old].sum())], own]))
+
+
 class Codec:
-    """A byte-level vocabulary: text to ids, with offsets. It remembers no text: what a worker
-    keeps between tasks is the vocabulary alone."""
+    """A byte-level vocabulary: text to ids, with offsets."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -83,11 +104,12 @@ class Codec:
             seen = lambda b: "".join(chars[x] for x in b)
             self.model = Tokenizer(models.BPE({seen(t): i for t, i in ranks.items()}, [(seen(a), seen(b)) for a, b in merges_of(ranks)], ignore_merges=True))
             self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        known = self.model.get_vocab()
+        vocabulary = self.model.get_vocab()
+        self.known = Known(pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, "<u4"))
         #: Of each id the number of bytes, and whether it begins with a blank or a line end.
-        self.n_bytes = np.zeros(max(known.values()) + 1, np.int32)
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int32)
         self.begins = {mark: np.zeros(len(self.n_bytes), bool) for mark in " \n"}
-        for t, i in known.items():
+        for t, i in vocabulary.items():
             self.n_bytes[i] = len(t.encode()) if t in self.specials else len(t)
             for mark, own in self.begins.items():
                 own[i] = t[:1] == chars[ord(mark)] and t not in self.specials
@@ -141,20 +163,25 @@ class Codec:
         at = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
         codes, words = coded.indices.to_numpy(), coded.dictionary
-        on_line = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
-        firsts, sizes, known, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
-        for mark, own in ((" ", np.flatnonzero(~on_line)), ("\n", np.flatnonzero(on_line))):
+        known = pc.index_in(words, self.known.words).fill_null(-1).to_numpy()
+        new = np.flatnonzero(known < 0)
+        firsts, sizes = self.known.firsts[known], self.known.sizes[known]
+        on_line = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)[new]
+        flat, total = [self.known.flat], len(self.known.flat)
+        for mark, own in ((" ", new[~on_line]), ("\n", new[on_line])):
             ids, n = self._joined(mark, [w.removeprefix("\n") for w in words.take(pa.array(own)).to_pylist()])
             sizes[own], firsts[own] = n, total + np.cumsum(n) - n
-            known.append(ids)
+            flat.append(ids)
             total += len(ids)
+        flat_ids = np.concatenate(flat)
+        again = np.bincount(codes, minlength=len(words)) > 1
+        self.known = self.known.joined(words, firsts, sizes, flat_ids, again, known)
         first, count = firsts[codes], sizes[codes]
         heads = at[:-1]
         first[heads] += 1  # the line end before the first word is not the text's own
         count[heads] -= 1
         ends = np.cumsum(count)
-        flat = np.concatenate(known)[np.repeat(first - ends + count, count) + np.arange(int(ends[-1]))]
-        return flat, ends[at[1:] - 1]
+        return flat_ids[np.repeat(first - ends + count, count) + np.arange(int(ends[-1]))], ends[at[1:] - 1]
 
     def _joined(self, mark: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words that have ``mark`` before them, and how many each has. They are encoded
