@@ -133,7 +133,6 @@ def then_back(solve):
 
 
 def give_back() -> None:
-    gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
         trim(0)

@@ -1,13 +1,16 @@
 """Quality rules: counts per document, and a hashed n-gram log-likelihood ratio.
 
-Two multinomials over a fixed number of hash buckets, one of trusted documents and one of all
-documents, score every document: the mean over its n-grams of log(trusted / raw). A document is
-kept if it passes the base rules and its score reaches the threshold.
-
-The n-grams are single words and pairs of neighbours, each word reduced to its signs: a run of
-capitals, of other letters or of digits is one mark, all else stays. So the ratio sees how a text
-is set (tables, symbols, shouting, lists), which a trusted sample of some thousand documents
-tells, and not which rare words it has, which such a sample does not tell.
+Multinomials over hash buckets, one of trusted documents and one of all documents, score every
+document by log(trusted / raw). There are three kinds of n-grams, each with buckets of its own:
+words, pairs of neighbouring words, and runs of three bytes (letters). A document's score is the
+sum of the kinds' means over its n-grams, so its length does not matter. It is kept if it passes
+the base rules and its score reaches the threshold.
+
+Words (runs of letters and digits, or of signs) and pairs are many, and a sample of trusted
+documents has seen few of them: their ratio is drawn towards 1 where the sample tells little.
+Runs of three bytes are few, and what trusted text never has is evidence: both multinomials hold
+a share of all buckets alike, the raw one a larger share, so text of letters that do not occur
+together scores low, even where the corpus has nothing like it.
 """
 
 from __future__ import annotations
@@ -18,40 +21,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm.common import giving_back, slices
+from homeward.llm.common import fresh, giving_back, slices
+from homeward.llm.hashing import LOT, mixed, words
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
-RUNS = re.compile(rb"([Aa0])\1+")
 #: Continuation bytes of UTF-8, of which no character has one first.
 CONTINUED = bytes(range(0x80, 0xC0))
-#: Capitals, other letters (all of UTF-8's longer forms count as such) and digits.
-MARKS = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57 else b for b in range(256))
-BUCKETS = 1 << 12
-#: Labelled rows that the trusted counts are made from, at most; those of least hash.
+#: 0: white space; 1: letters, digits and all of UTF-8's longer forms; 2: signs.
+KIND = np.array([0 if b == 32 or 9 <= b <= 13 else 1 if b >= 128 or chr(b).isalnum() or b == 95 else 2 for b in range(256)], np.uint8)
+#: Buckets of words, of pairs and of runs of three bytes.
+BUCKETS = (1 << 15, 1 << 15, 1 << 16)
+#: Words and pairs: how many more trusted ones a bucket counts as, spread as the raw ones are.
+DRAWN = 5.0
+#: Letters: the share of trusted and of raw text that falls on all buckets alike.
+TRUSTED_SHARE, RAW_SHARE = 1e-4, 1e-2
+#: Labelled rows that the trusted counts are made from, about; those of least hash.
 TRUSTED_ROWS = 20_000
-THRESHOLD = -0.1
+#: Set on the labelled documents of even id of the sf0.1 tables; see README for the odd ones.
+THRESHOLD = -1.0
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 
 
-class Hashes(dict):
-    """The hash of a word's signs, made when first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = xxhash.xxh64_intdigest(RUNS.sub(rb"\1", word))
-        return out
-
-
-def buckets(text: bytes, known: Hashes, size: int) -> np.ndarray:
-    """The bucket of each word and of each pair of neighbours."""
-    one = np.array([known[w] for w in text.translate(MARKS).split()], np.uint64)
-    two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (one[1:] + np.uint64(0x632BE59BD9B4E019))
-    two = (two ^ (two >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    both = np.concatenate([one, two])
-    return ((both ^ (both >> np.uint64(32))) % np.uint64(size)).astype(np.int64)
+def ngrams(texts: list[bytes], sizes: tuple[int, ...] = BUCKETS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The kind, and the text's number and the bucket of each n-gram, in lots that hold few at
+    once, however long a text is; texts in lower case (A-Z)."""
+    data = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    place = lambda h, kind: (h % np.uint64(sizes[kind])).astype(np.int64)
+    starts, found = words(data, KIND)
+    for at in range(0, len(found), LOT):
+        own = found[at : at + LOT + 1]
+        of = np.searchsorted(ends, starts[at : at + LOT + 1], "right")
+        yield 0, of[:LOT], place(own[:LOT], 0)
+        same = of[1:] == of[:-1]
+        yield 1, of[:-1][same], place(mixed(own[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[1:])[same], 1)
+    for at in range(0, len(data) - 2, LOT):
+        signs = data[at : at + LOT + 2].astype(np.uint64)
+        signs[KIND[data[at : at + LOT + 2]] == 0] = 32
+        runs = mixed(signs[:-2] | signs[1:-1] << np.uint64(8) | signs[2:] << np.uint64(16))
+        places = np.arange(at, at + len(runs))
+        of = np.searchsorted(ends, places, "right") if len(ends) > 1 else np.zeros(len(runs), np.int64)
+        whole = places + 3 < ends[of]  # a run ends before its text does
+        yield 2, of[whole], place(runs[whole], 2)
 
 
 def counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -72,60 +86,80 @@ def counts(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> list[int]:
-    """Ids of labelled rows of good quality that are not toxic; at most ``most``."""
-    good = labels.where("quality = 1 AND NOT toxic <=> 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"))
-    return [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-
-
-def fit(docs: DataFrame, trusted: list[int], size: int = BUCKETS, key: str = "doc_id", text: str = "text") -> np.ndarray:
-    """log(trusted / raw) of each bucket, from all documents. With no trusted document: zeros."""
-    good = frozenset(trusted)
+    """Ids of labelled rows of good quality that are not toxic; about ``most`` where there are more,
+    chosen by hash."""
+    good = labels.where("quality = 1 AND NOT toxic <=> 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    n = good.count()
+    if n > most:
+        good = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most)
+    return [r[0] for r in good.collect()]
+
+
+def ratios(raw: np.ndarray, own: np.ndarray, letters: bool) -> np.ndarray:
+    """log(trusted / raw) of each bucket of a kind, from its counts."""
+    p = raw / max(raw.sum(), 1)
+    if letters:
+        q = own / max(own.sum(), 1)
+        return np.log((1 - TRUSTED_SHARE) * q + TRUSTED_SHARE / len(p)) - np.log((1 - RAW_SHARE) * p + RAW_SHARE / len(p))
+    return np.log((own + DRAWN) / (own.sum() * p + DRAWN))
+
+
+def fit(docs: DataFrame, trusted: list[int], sizes: tuple[int, ...] = BUCKETS, key: str = "doc_id", text: str = "text") -> list[np.ndarray]:
+    """The ratios of each kind, from all documents. With no trusted document: zeros."""
+    good = np.array(sorted(trusted), np.int64)
     src = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").cast("binary").alias("t"))
+    firsts = np.cumsum([0, *sizes])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, known = np.zeros((2, size), np.int64), Hashes()
+        raw, own = np.zeros(firsts[-1], np.int64), np.zeros(firsts[-1], np.int64)
         for batch in batches:
             for part in slices(batch, "t"):
-                for k, t in zip(part.column("k").to_pylist(), part.column("t").to_pylist(), strict=True):
-                    got = np.bincount(buckets(t or b"", known, size), minlength=size)
-                    sums[0] += got
-                    if k in good:
-                        sums[1] += got
-                if len(known) > 200_000:
-                    known.clear()
-        at = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, sums[0][at], sums[1][at])], ["b", "raw", "own"])
-
-    rows = src.mapInArrow(giving_back(run), "b bigint, raw bigint, own bigint").groupBy("b").agg(F.sum("raw"), F.sum("own")).collect()  # at most ``size`` rows
-    sums = np.full((2, size), 0.5)
-    for b, raw, own in rows:
-        sums[:, b] += raw, own
-    if sums[1].sum() == 0.5 * size:
-        return np.zeros(size)
-    return np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
-
-
-def score(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, least_words: int = 50, repeat_percent: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
+                keys = part.column("k")
+                is_good = np.isin(keys.fill_null(0).to_numpy(), good) & keys.is_valid().to_numpy(zero_copy_only=False)
+                for kind, of, found in ngrams([t or b"" for t in part.column("t").to_pylist()], sizes):
+                    here = slice(firsts[kind], firsts[kind + 1])
+                    raw[here] += np.bincount(found, minlength=sizes[kind])
+                    own[here] += np.bincount(found[is_good[of]], minlength=sizes[kind])
+        at = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at.astype(np.int32), raw[at], own[at])], ["b", "raw", "own"])
+
+    # at most as many rows as there are buckets
+    rows = src.mapInArrow(giving_back(run), "b int, raw bigint, own bigint").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")).toArrow()
+    sums = np.zeros((2, firsts[-1]))
+    for i, name in enumerate(("raw", "own")):
+        sums[i, rows.column("b").to_numpy()] = rows.column(name).to_numpy()
+    if not sums[1].any():
+        return [np.zeros(n) for n in sizes]
+    return [ratios(sums[0, a:b], sums[1, a:b], i == 2) for i, (a, b) in enumerate(zip(firsts, firsts[1:], strict=False))]
+
+
+def means(texts: list[bytes], ratio: list[np.ndarray]) -> np.ndarray:
+    """The score of each text; 0 for a text without n-grams."""
+    sums, n = np.zeros((3, len(texts))), np.zeros((3, len(texts)), np.int64)
+    for kind, of, found in ngrams(texts, tuple(map(len, ratio))):
+        sums[kind] += np.bincount(of, ratio[kind][found], len(texts))
+        n[kind] += np.bincount(of, minlength=len(texts))
+    return (sums / np.maximum(n, 1)).sum(axis=0)
+
+
+def score(docs: DataFrame, ratio: list[np.ndarray], threshold: float = THRESHOLD, least_words: int = 50, repeat_percent: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``llr`` and ``kept``; all its rows and columns.
 
-    A null text counts as empty: no words, llr 0, base_failed. Columns of ``docs`` with the
-    names of the new ones are replaced. Repeated rows are each judged, and alike.
+    A null text counts as empty: no words, llr 0, base_failed. Very long texts are read whole.
+    Columns of ``docs`` with the names of the new ones are replaced. Repeated rows are each judged,
+    and alike; null ids change nothing. Empty table: no rows.
     """
     made = [f.split()[0] for f in COUNTS.split(", ")] + ["llr"]
     own = [c for c in docs.columns if c.lower() not in {*made, "base_failed", "kept"}]
-    src = docs.select(*own, F.col(text).cast("string").cast("binary").alias("_t"))
-    size = len(ratio)
+    body = fresh("_t", own)
+    src = docs.select(*own, F.col(text).cast("string").cast("binary").alias(body))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for batch in batches:
-            for part in slices(batch, "_t"):
-                texts = [t or b"" for t in part.column("_t").to_pylist()]
+            for part in slices(batch, body):
+                texts = [t or b"" for t in part.column(body).to_pylist()]
                 found = np.array([counts(t) for t in texts], np.int64).reshape(-1, 5)
-                means = [float(ratio[g].mean()) if len(g := buckets(t, known, size)) else 0.0 for t in texts]
-                if len(known) > 200_000:
-                    known.clear()
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(found[:, i]) for i in range(5)), pa.array(means, pa.float64())], [*own, *made])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(found[:, i]) for i in range(5)), pa.array(means(texts, ratio))], [*own, *made])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
     out = src.mapInArrow(giving_back(run), f"{kinds}, {COUNTS}, llr double")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homeward.llm.common import Scratch, giving_back, slices
+from homeward.llm.hashing import ODD, mixed, rolling
 
 LEAST = 400
 GRAM = 32
@@ -38,25 +39,6 @@ FEW, PART = 64, 1_000_000
 #: Bytes that one transform holds, but for a larger group.
 BLOCK_BYTES = 1 << 19
 
-ODD = np.uint64(0x9E3779B97F4A7C15)
-SIGNS = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
-    if not _powers or len(_powers[0]) < n:
-        back = np.uint64(pow(int(ODD), -1, 1 << 64))
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 2 * CHUNK), x, np.uint64)])) for x in (ODD, back)]
-    return _powers[0][:n], _powers[1][:n]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def window_least(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` numbers in a row, by running minima within blocks."""
     n = len(x) - width + 1
@@ -78,8 +60,7 @@ def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int, ho
     if not len(own) or not ends[-1]:
         return none
     size = min(GRAM, least // 2)
-    up, down = powers(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(SIGNS[data] * up[:-1])])
+    total, _, down = rolling(data)
     gram = lambda at, n: (total[at + n] - total[at]) * down[at]
     places = np.arange(len(data) - size + 1)
     hashed = mixed(gram(places, size))

@@ -16,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from homeward.llm import components, lm, packing, pii, quality, ranks, repeats, sharding, simhash, tokens, warc, winnow
+from homeward.llm import components, hashing, lm, packing, pii, quality, ranks, repeats, sharding, simhash, tokens, warc, winnow
 from homeward.llm.common import Scratch
 
 WHITE = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -340,29 +340,75 @@ def test_quality_counts(spark, docs, rows, empty):
     assert quality.judge(spark, docs, labels.limit(0)).agg(F.max(F.abs("llr"))).first()[0] == 0
 
 
-def test_quality_ratio_by_hand(spark):
-    rows = [(1, "Aa bb, 12"), (2, "$$ aa | bb"), (3, None)]
+def plain_ngrams(text):
+    """Words, pairs and runs of three bytes, as they are."""
+    low = text.encode().lower()
+    words = re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\x20\x09-\x0d]+", low)
+    plain = re.sub(rb"[\x20\x09-\x0d]", b" ", low)
+    return words, list(zip(words, words[1:], strict=False)), [plain[i : i + 3] for i in range(len(plain) - 2)]
+
+
+@pytest.mark.parametrize("lot", [16, 1 << 19])
+def test_quality_ngrams(rows, lot, monkeypatch):
+    texts = ["Aa bb, 12", "", "$$ aa | Bb", "x", "aa bb", *(t or "" for _, t in rows)]
+    monkeypatch.setattr(quality, "LOT", lot)
+    monkeypatch.setattr(hashing, "LOT", lot)
+    portions = list(quality.ngrams([t.encode() for t in texts], (1 << 40,) * 3))
+    for kind in range(3):
+        of, hashed = (np.concatenate([p[i] for p in portions if p[0] == kind]) for i in (1, 2))
+        names = {}
+        for i, t in enumerate(texts):
+            own = hashed[of == i].tolist()
+            expected = plain_ngrams(t)[kind]
+            assert len(own) == len(expected)
+            for h, g in zip(own, expected, strict=True):
+                assert names.setdefault(h, g) == g
+        assert len(set(names.values())) == len(names)
+
+
+def test_quality_score_by_hand(spark):
+    rows = [(1, "Aa bb, 12"), (2, "$$ aa | bb"), (3, None), (4, "aa 12 12")]
+    raw, own = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+    for i, t in rows:
+        for kind, found in enumerate(plain_ngrams(t or "")):
+            raw[kind].update(found)
+            own[kind].update(found if i == 1 else [])
+
+    def ratio(kind, g):
+        n, m = sum(raw[kind].values()), sum(own[kind].values())
+        if kind < 2:
+            return math.log((own[kind][g] + 5) / (m * raw[kind][g] / n + 5))
+        return math.log(0.9999 * own[kind][g] / m + 1e-4 / quality.BUCKETS[2]) - math.log(0.99 * raw[kind][g] / n + 1e-2 / quality.BUCKETS[2])
+
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    size = 64
-    known = quality.Hashes()
-    raw, own = Counter(), Counter()
+    got = {r.doc_id: r.llr for r in quality.score(df, quality.fit(df, [1])).collect()}
     for i, t in rows:
-        found = quality.buckets((t or "").encode(), known, size).tolist()
-        raw.update(found)
-        own.update(found if i == 1 else [])
-    ratio = quality.fit(df, [1], size)
-    n, m = sum(raw.values()) + size / 2, sum(own.values()) + size / 2
-    assert ratio == pytest.approx([math.log((own[b] + 0.5) / m) - math.log((raw[b] + 0.5) / n) for b in range(size)])
+        expected = sum(sum(ratio(k, g) for g in found) / max(len(found), 1) for k, found in enumerate(plain_ngrams(t or "")))
+        assert got[i] == pytest.approx(expected)
 
 
 def test_quality_on_held_out_labels(spark):
-    """Learned from half of the labelled documents; measured on the others."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    """Learned from half of the labelled documents; measured on the others, and on such texts with
+    letters drawn at random or out of order."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    out = quality.judge(spark, docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").where("n_words >= 50")
-    got = {(r.quality, r.kept): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
+    ratio = quality.fit(docs, quality.trusted_ids(labels.where("doc_id % 2 = 0")))
+    odd = docs.join(labels.where("doc_id % 2 = 1"), "doc_id")
+    judged = quality.score(odd, ratio).where("n_words >= 50")
+    got = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
     assert got[1, True] / (got[1, True] + got.get((1, False), 0)) > 0.97
     assert got[0, False] / (got[0, False] + got.get((0, True), 0)) > 0.97
+    good = [r.text for r in judged.where("quality = 1 AND kept").select("text").limit(60).collect()]
+    rnd = random.Random(2)
+    odd_letters = ["".join(rnd.choice("qxzjvk") if "a" <= c <= "z" else c for c in t) for t in good]
+    shuffled = [" ".join("".join(rnd.sample(w, len(w))) for w in t.split(" ")) for t in good]
+    bad = spark.createDataFrame(list(enumerate(odd_letters + shuffled)), "doc_id long, text string")
+    assert quality.score(bad, ratio).where("NOT base_failed AND kept").count() <= 1
+
+
+def test_quality_trusted_bound(spark):
+    labels = spark.range(4000).selectExpr("id AS doc_id", "1 AS quality", "CAST(NULL AS INT) AS toxic")
+    assert 150 < len(quality.trusted_ids(labels, 200)) < 250 and len(quality.trusted_ids(labels, 4000)) == 4000
 
 
 # --- op7
