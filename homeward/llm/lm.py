@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homeward.llm.common import Scratch, fold, giving_back, input_bytes, pieces, then_back
+from homeward.llm.hashing import mixed, words
 
 FOLDS = 10
 #: Of the folds: scored only, and deleted while the weights are learned. The others are counted.
@@ -35,39 +35,30 @@ LAST_BUCKET = 40
 LEAST_WEIGHT = 1e-6
 #: The bits of an n-gram's hash that its part does not tell.
 LOW = np.uint64((1 << 40) - 1)
+#: White space is 0, all else is part of a word.
+WORDS = np.array([0 if b == 32 or 9 <= b <= 13 else 1 for b in range(256)], np.uint8)
 #: What stands before a text and behind it; no word has the hash of either by more than chance.
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Block:
     """The n-grams of a block's documents: the hash of those that end at each token."""
 
     def __init__(self, texts: list[bytes | None], order: int):
-        known: dict[bytes, int] = {}
-        rows, sizes = [], []
-        for t in texts:
-            words = (t or b"").lower().split()
-            rows.append([known.setdefault(w, len(known)) for w in words])
-            sizes.append(len(words) + 1)
-        words = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+        data = np.frombuffer(b"\n".join([*(t or b"" for t in texts), b""]).lower(), np.uint8)
+        ends = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts)))
+        starts, found = words(data, WORDS)
+        of = np.searchsorted(ends, starts, "right")
         pad = order - 1
-        self.sizes = np.array(sizes, np.int64)
-        n = int(self.sizes.sum()) + pad * len(texts)
+        self.sizes = np.bincount(of, minlength=len(texts)) + 1
+        n = len(found) + (pad + 1) * len(texts)
         stream = np.full(n, BEGIN, np.uint64)
-        self.tokens = np.zeros(n, bool)
-        at = 0
-        for ids in rows:
-            at += pad
-            stream[at : at + len(ids)] = words[ids]
-            stream[at + len(ids)] = END
-            self.tokens[at : at + len(ids) + 1] = True
-            at += len(ids) + 1
+        stream[np.arange(len(found)) + of * (pad + 1) + pad] = found
+        self.tokens = np.ones(n, bool)
+        first = np.cumsum(self.sizes + pad) - self.sizes
+        for i in range(1, pad + 1):
+            self.tokens[first - i] = False
+        stream[first + self.sizes - 1] = END
         self.keys = [mixed(stream)]
         for k in range(1, order):  # the n-gram of k + 1 that ends here: the one of k before, and this token
             longer = np.empty(n, np.uint64)
@@ -78,20 +69,9 @@ class Block:
     def grams(self, k: int) -> np.ndarray:
         return self.keys[k - 1][self.tokens]
 
-    def contexts(self, k: int) -> np.ndarray:
-        """The k-gram before each token; one that is all beginning counts as the end does, of
-        which there are as many: one for each document."""
-        at = np.flatnonzero(self.tokens)
-        found = self.keys[k - 1][at - 1]
-        first = np.zeros(len(at), bool)
-        first[np.cumsum(self.sizes) - self.sizes] = True
-        return np.where(first, mixed(END[None])[0] if k == 1 else self.all_begin(k), found)
-
-    def all_begin(self, k: int) -> np.uint64:
-        out = mixed(BEGIN[None])
-        for _ in range(1, k):
-            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + mixed(BEGIN[None]))
-        return out[0]
+    def first(self) -> np.ndarray:
+        """The place of each document's first token among all."""
+        return np.cumsum(self.sizes) - self.sizes
 
 
 def blocked(docs: DataFrame, key: str, text: str, blocks: int) -> DataFrame:
@@ -196,44 +176,39 @@ def answered(sent: DataFrame) -> DataFrame:
     return sent.groupBy("ord", "part").applyInArrow(then_back(answer), ANSWERED)
 
 
-class Counts:
-    """The answers to a block: counts of its n-grams, by hash."""
-
-    def __init__(self, found: Block, order: int, parts: int, answers: pa.Table, total: bool):
-        self.order, self.total = order, total
-        by_part = {(k, p): (a, b) for k, p, a, b in zip(*(answers.column(c).to_pylist() for c in ("ord", "part", "kept", "deleted")), strict=True)}
-        self.keys, self.sums = [], []
-        for k in range(1, order + 1):
-            keys = np.unique(found.grams(k))
-            by, edge = dealt(keys, parts)
-            sums = np.zeros(len(keys), np.int64)
-            for p in range(parts):
-                at = by[edge[p] : edge[p + 1]]
-                if len(at):
-                    kept, deleted = by_part[k, p]
-                    sums[at] = widened(kept, len(at))
-                    if total:
-                        sums[at] += widened(deleted, len(at))
-            self.keys.append(keys)
-            self.sums.append(sums)
-
-    def of(self, k: int, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys[k - 1], keys), len(self.keys[k - 1]) - 1)
-        return np.where(self.keys[k - 1][at] == keys, self.sums[k - 1][at], 0)
-
-
-def estimates(found: Block, counts: Counts, n: int, v: int, docs: int) -> tuple[np.ndarray, np.ndarray]:
+def counted(found: Block, order: int, parts: int, answers: pa.Table, total: bool) -> list[np.ndarray]:
+    """By order, how often the n-gram that ends at each token was counted, from the answers to a block."""
+    by_part = {(k, p): (a, b) for k, p, a, b in zip(*(answers.column(c).to_pylist() for c in ("ord", "part", "kept", "deleted")), strict=True)}
+    out = []
+    for k in range(1, order + 1):
+        keys, inverse = np.unique(found.grams(k), return_inverse=True)
+        by, edge = dealt(keys, parts)
+        sums = np.zeros(len(keys), np.int64)
+        for p in range(parts):
+            at = by[edge[p] : edge[p + 1]]
+            if len(at):
+                kept, deleted = by_part[k, p]
+                sums[at] = widened(kept, len(at))
+                if total:
+                    sums[at] += widened(deleted, len(at))
+        out.append(sums[inverse])
+    return out
+
+
+def estimates(found: Block, grams: list[np.ndarray], n: int, v: int, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """For each token the bucket of its contexts (the longest seen decides), and the estimate of
-    each order from none (all words and an unknown one alike) to the highest."""
-    grams = [counts.of(k, found.grams(k)) for k in range(1, counts.order + 1)]
-    out = np.zeros((len(grams[0]), counts.order + 1))
+    each order from none (all words and an unknown one alike) to the highest.
+
+    A context is the shorter n-gram that ends at the token before; one that is all beginning is
+    seen as often as there are documents."""
+    first = found.first()
+    out = np.zeros((len(grams[0]), len(grams) + 1))
     out[:, 0] = 1 / (v + 1)
     out[:, 1] = grams[0] / max(n, 1)
     bucket = np.zeros(len(grams[0]), np.int64)
-    for k in range(2, counts.order + 1):
-        keys = found.contexts(k - 1)
-        seen = counts.of(k - 1, keys)
-        seen = np.where(keys == (mixed(END[None])[0] if k == 2 else found.all_begin(k - 1)), docs, seen)
+    for k in range(2, len(grams) + 1):
+        seen = np.roll(grams[k - 2], 1)
+        seen[first] = docs
         out[:, k] = np.where(seen > 0, grams[k - 1] / np.maximum(seen, 1), 0)
         size = np.minimum(np.log2(np.maximum(seen, 1)).astype(np.int64) + 1, LAST_BUCKET)
         bucket = np.where(seen > 0, (k - 2) * LAST_BUCKET + size, bucket)
@@ -331,7 +306,7 @@ def scores(spark: SparkSession, docs: DataFrame, order: int = 2, rounds: int = 1
         if not left.num_rows:
             return table_of([], "points binary")
         own, found, folds = block_of(left)
-        bucket, est = estimates(found, Counts(found, order, parts, right, False), n_kept, v_kept, docs_kept)
+        bucket, est = estimates(found, counted(found, order, parts, right, False), n_kept, v_kept, docs_kept)
         use = np.repeat(folds, found.sizes) == DELETED
         rows = np.concatenate([bucket[use, None], est[use]], axis=1).astype("<f4")
         return table_of([(rows.tobytes(),)] if len(rows) else [], "points binary")
@@ -346,10 +321,9 @@ def scores(spark: SparkSession, docs: DataFrame, order: int = 2, rounds: int = 1
         if not left.num_rows:
             return table_of([], RESULT)
         own, found, folds = block_of(left)
-        counts = Counts(found, order, parts, right, True)
-        bucket, est = estimates(found, counts, n_all, v_all, docs_all)
-        c = counts.of(1, found.grams(1))
-        at = np.cumsum(found.sizes) - found.sizes
+        grams = counted(found, order, parts, right, True)
+        bucket, est = estimates(found, grams, n_all, v_all, docs_all)
+        c, at = grams[0], found.first()
         base = np.add.reduceat(np.log10((c + 0.1) / (n_all + 0.1 * (v_all + 1))), at)
         full = np.add.reduceat(np.log10((weights[bucket] * est).sum(axis=1)), at)
         known = np.add.reduceat((c > 0).astype(np.int64), at)
