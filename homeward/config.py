@@ -10,6 +10,8 @@ LOCATION_DECAY_KM = 30.0
 EARTH_KM = 6371.0088
 EARTH_M = 6_371_008.8
 SPECIES = {"강아지": "dog", "고양이": "cat"}
+TEXT_RERANK_WEIGHTS = {"image": 0.70, "tags": 0.15, "text": 0.05, "location": 0.10}
+TEXT_BATCH = 32
 
 # Tag fields in order, with their weights.
 TAG_WEIGHTS = {
@@ -30,35 +32,76 @@ EXCLUSIVE_TAGS = ("sex", "coat_length", "ear_shape", "tail_shape", "size")
 #: Fields that gather all keywords; in the others the last one counts.
 LIST_TAGS = ("colors", "patterns", "distinctive_features", "accessories", "body_condition", "behavior")
 
-# Names of tags, by canonical name.
-TAG_NAMES = {
-    "male": "M MALE 수 수컷 남아",
-    "female": "F FEMALE 암 암컷 여아",
-    "unknown": "Q U UNKNOWN 미상 모름",
-    "white": "흰 흰색 백색 화이트",
-    "black": "검 검정 검정색 검은색 흑색 블랙",
-    "brown": "갈 갈색 밤색 브라운",
-    "tan": "황색 연갈색 베이지 황갈색",
-    "cream": "크림 크림색",
-    "gray": "회색 회 그레이",
-    "yellow": "노랑 노란색",
-    "orange": "주황 주황색 치즈",
-    "tricolor": "삼색 삼색이",
-    "tabby": "고등어 줄무늬 태비",
-    "tuxedo": "턱시도",
-    "spotted": "점박이 얼룩 얼룩무늬",
-    "short_coat": "단모 짧은털",
-    "long_coat": "장모 긴털",
-    "medium_coat": "중모",
-    "upright_ears": "직립 쫑긋귀 선귀",
-    "floppy_ears": "처진귀",
-    "folded_ears": "접힌귀",
-    "curled_tail": "말린꼬리",
-    "short_tail": "짧은꼬리",
-    "long_tail": "긴꼬리",
-    "small": "소형",
-    "medium": "중형",
-    "large": "대형",
+# The canonical name of each alias of a tag (without blanks and signs, upper case).
+TAG_ALIASES = {
+    "M": "male",
+    "MALE": "male",
+    "수": "male",
+    "수컷": "male",
+    "남아": "male",
+    "F": "female",
+    "FEMALE": "female",
+    "암": "female",
+    "암컷": "female",
+    "여아": "female",
+    "Q": "unknown",
+    "U": "unknown",
+    "UNKNOWN": "unknown",
+    "미상": "unknown",
+    "모름": "unknown",
+    "흰": "white",
+    "흰색": "white",
+    "백색": "white",
+    "화이트": "white",
+    "검": "black",
+    "검정": "black",
+    "검정색": "black",
+    "검은색": "black",
+    "흑색": "black",
+    "블랙": "black",
+    "갈": "brown",
+    "갈색": "brown",
+    "밤색": "brown",
+    "브라운": "brown",
+    "황색": "tan",
+    "연갈색": "tan",
+    "베이지": "tan",
+    "황갈색": "tan",
+    "크림": "cream",
+    "크림색": "cream",
+    "회색": "gray",
+    "회": "gray",
+    "그레이": "gray",
+    "노랑": "yellow",
+    "노란색": "yellow",
+    "주황": "orange",
+    "주황색": "orange",
+    "치즈": "orange",
+    "삼색": "tricolor",
+    "삼색이": "tricolor",
+    "고등어": "tabby",
+    "줄무늬": "tabby",
+    "태비": "tabby",
+    "턱시도": "tuxedo",
+    "점박이": "spotted",
+    "얼룩": "spotted",
+    "얼룩무늬": "spotted",
+    "단모": "short_coat",
+    "짧은털": "short_coat",
+    "장모": "long_coat",
+    "긴털": "long_coat",
+    "중모": "medium_coat",
+    "직립": "upright_ears",
+    "쫑긋귀": "upright_ears",
+    "선귀": "upright_ears",
+    "처진귀": "floppy_ears",
+    "접힌귀": "folded_ears",
+    "말린꼬리": "curled_tail",
+    "짧은꼬리": "short_tail",
+    "긴꼬리": "long_tail",
+    "소형": "small",
+    "중형": "medium",
+    "대형": "large",
 }
 # Report categories and the tag field of each; fields and the category shown.
 CATEGORY_FIELDS = {
@@ -112,3 +155,64 @@ CORRIDORS = {"FOOTPATH": 1.0, "GREEN_SPACE": 0.7, "WATER": 0.7, "ROAD": 0.3}
 PENALTIES = {"MAJOR_ROAD": 0.7, "RAILWAY_BARRIER": 0.8, "ROAD": 0.2}
 #: Days up to which (inclusive) a time score holds, beginning with gaps before the event.
 DAY_SCORES = [(-2, 0.05), (-1, 0.5), (3, 1.0), (14, 0.9), (30, 0.75), (90, 0.55), (180, 0.35), (None, 0.2)]
+
+# Keys under which metadata has a field, the first that is not empty counts.
+TAG_KEYS = {
+    "sex": ["sex", "sexCd", "gender"],
+    "colors": ["colors", "color", "colorCd"],
+    "patterns": ["patterns", "pattern", "markings"],
+    "coat_length": ["coat_length", "coatLength"],
+    "ear_shape": ["ear_shape", "earShape"],
+    "tail_shape": ["tail_shape", "tailShape"],
+    "size": ["size", "body_size", "bodySize"],
+    "distinctive_features": ["distinctive_features", "features", "feature_tags"],
+    "accessories": ["accessories", "wearing", "착용중"],
+    "body_condition": ["body_condition", "bodyCondition", "몸상태"],
+    "behavior": ["behavior", "behaviour", "행동"],
+}
+#: Of candidates, where other keys come first.
+CANDIDATE_TAG_KEYS = TAG_KEYS | {"sex": ["sexCd", "sex", "gender"], "colors": ["colorCd", "colors", "color"]}
+QUERY_KEYS = {
+    "report_type": ["report_type", "reportType", "type"],
+    "description": ["description", "free_text", "memo"],
+    "lost_at": ["lost_at", "lostAt", "eventDate", "missingAt"],
+    "place": ["lost_location", "lostLocation", "location"],
+    "latitude": (["latitude", "lat"], ["latitude", "lat"]),
+    "longitude": (["longitude", "lng", "lon"], ["longitude", "lng", "lon"]),
+    "address": (["address", "roadAddress", "place"], ["happenPlace", "address", "lostAddress"]),
+}
+CANDIDATE_KEYS = {
+    "report_type": ["report_type", "reportType", "candidateReportType"],
+    "description": ["specialMark", "special_mark", "noticeComment", "notice_comment", "description", "etcBigo"],
+    "found_at": ["found_at", "foundAt", "eventDate", "happenDt", "noticeSdt"],
+    "place": ["found_location", "foundLocation", "location"],
+    "latitude": (["latitude", "lat", "foundLat"], ["latitude", "lat", "foundLat", "happenLat"]),
+    "longitude": (["longitude", "lng", "lon", "foundLng"], ["longitude", "lng", "lon", "foundLng", "happenLng"]),
+    "address": (["address", "roadAddress", "place"], ["happenPlace", "foundAddress", "address"]),
+}
+#: What a description calls each field.
+FIELD_LABELS = {
+    "sex": "성별",
+    "colors": "색상",
+    "patterns": "무늬",
+    "coat_length": "털길이",
+    "ear_shape": "귀",
+    "tail_shape": "꼬리",
+    "size": "크기",
+    "distinctive_features": "특징",
+    "accessories": "착용",
+    "body_condition": "몸상태",
+    "behavior": "행동",
+}
+# What a map is asked for.
+MAP_HIGHWAYS = ["footway", "path", "pedestrian", "track", "motorway", "trunk", "primary", "secondary", "tertiary", "residential", "living_street", "unclassified", "service", "road"]
+MAP_MAX_BYTES = 10_000_000
+# What a profile may say.
+PROFILE_VALUES = {
+    "activityLevel": ["LOW", "MEDIUM", "HIGH", "UNKNOWN"],
+    "strangerResponse": ["APPROACH", "NEUTRAL", "AVOID", "UNKNOWN"],
+    "noiseSensitivity": ["LOW", "MEDIUM", "HIGH", "UNKNOWN"],
+    "chaseTendency": ["LOW", "MEDIUM", "HIGH", "UNKNOWN"],
+    "mobility": ["NORMAL", "LIMITED", "UNKNOWN"],
+    "escapeCause": ["DOOR_OPEN", "NOISE", "CHASE", "UNKNOWN"],
+}

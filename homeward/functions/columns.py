@@ -45,14 +45,14 @@ def canonical_tag(c: Column, names: Column, is_sex: Column) -> Column:
 
 
 def tag_names() -> Column:
-    pairs = [F.lit(x) for name, every in C.TAG_NAMES.items() for alias in every.split() for x in (alias, name)]
+    pairs = [F.lit(x) for alias, name in C.TAG_ALIASES.items() for x in (alias, name)]
     return F.create_map(*pairs)
 
 
 def split_tags(c: Column, names: Column, is_sex: Column) -> Column:
     """Canonical tags of a list written as text, without blanks, unknowns and repeats."""
     parts = F.split(text(c), r"[,/|+&·ㆍ;，、]|\s+(?:및|와|과)\s+")
-    tags = F.transform(F.filter(F.transform(parts, F.trim), lambda x: x != ""), lambda x: canonical_tag(x, names, is_sex))
+    tags = F.transform(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), lambda x: canonical_tag(x, names, is_sex))
     return F.array_distinct(F.filter(tags, lambda x: (x != "") & (x != "unknown")))
 
 

@@ -8,6 +8,7 @@ longitude, kinds, and request_id where each request has a map of its own.
 from __future__ import annotations
 
 import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -211,57 +212,82 @@ def _distance(a: tuple[float, float], b: tuple[float, float]) -> float:
     return math.hypot(math.radians(b[0] - a[0]) * C.EARTH_M, math.radians(b[1] - a[1]) * C.EARTH_M * math.cos(middle))
 
 
-AREAS = "request_id long, rank int, lat double, lon double, radius_m int, priority int, near_kinds array<string>, n_cells int, " + ", ".join(f"{p} int" for p in C.PARTS) + ", codes array<string>, behavior string"
+AREAS = "request_id long, rank int, lat double, lon double, radius_m int, priority int, near_kinds array<string>, n_cells int, " + ", ".join(f"{p} int" for p in C.PARTS) + ", codes array<string>, reason string, behavior string"
+SCORED = ["score", "near_kinds", "behavior_kind", "corridor_kind", *C.PARTS]
 
 
-def select(scored: DataFrame, improved: bool) -> DataFrame:
-    """Two or three areas of each request, in order, with their points and reason codes.
+def _area(members: list, single: bool) -> dict:
+    """An area of some cells; a single cell is an area as it is."""
+    total = sum(m.score for m in members)
+    if single:
+        lat, lon, radius = members[0].lat, members[0].lon, C.LEAST_AREA
+    else:
+        lat, lon = (sum(getattr(m, x) * m.score for m in members) / total for x in ("lat", "lon"))
+        radius = max(C.LEAST_AREA, min(C.MOST_AREA, round(C.CLUSTER_BASE_M + C.GRID_M * math.sqrt(len(members)) / 2)))
+    priority = round(round(total / len(members), 9))
+    values = {p: round(sum(getattr(m, p) for m in members) / len(members) * w * 100, 9) for p, w in C.PARTS.items()}
+    points = {p: math.floor(v) for p, v in values.items()}
+    for p in sorted(values, key=lambda p: -round(values[p] - points[p], 9))[: priority - sum(points.values())]:
+        points[p] += 1
+    return {"at": (lat, lon), "radius": radius, "priority": priority, "kinds": sorted({k for m in members for k in m.near_kinds}), "members": members, "values": values, "points": points}
+
+
+def _apart(found: list[dict], most: int) -> list[dict]:
+    kept: list[dict] = []
+    for a in found:
+        if all(_distance(a["at"], b["at"]) >= C.OVERLAP * (a["radius"] + b["radius"]) for b in kept):
+            kept.append(a)
+        if len(kept) == most:
+            break
+    return kept
+
+
+def _chosen(members: list, improved: bool, request: int, behavior: str) -> list[tuple]:
+    """Rows of AREAS for the cells of one request.
 
     Clusters by score, each kept if it overlaps none kept before; where fewer than two remain,
-    the best single cells instead. This depends on what was kept before, and a request has some
-    hundred cells at most, so a request is one group."""
-
-    def area(members: list, single: bool) -> dict:
-        total = sum(m.score for m in members)
-        if single:
-            lat, lon, radius = members[0].lat, members[0].lon, C.LEAST_AREA
-        else:
-            lat, lon = (sum(getattr(m, x) * m.score for m in members) / total for x in ("lat", "lon"))
-            radius = max(C.LEAST_AREA, min(C.MOST_AREA, round(C.CLUSTER_BASE_M + C.GRID_M * math.sqrt(len(members)) / 2)))
-        priority = round(round(total / len(members), 9))
-        values = {p: round(sum(getattr(m, p) for m in members) / len(members) * w * 100, 9) for p, w in C.PARTS.items()}
-        points = {p: math.floor(v) for p, v in values.items()}
-        for p in sorted(values, key=lambda p: -round(values[p] - points[p], 9))[: priority - sum(points.values())]:
-            points[p] += 1
-        return {"at": (lat, lon), "radius": radius, "priority": priority, "kinds": sorted({k for m in members for k in m.near_kinds}), "members": members, "values": values, "points": points}
-
-    def chosen(found: list[dict], most: int) -> list[dict]:
-        kept: list[dict] = []
-        for a in found:
-            if all(_distance(a["at"], b["at"]) >= C.OVERLAP * (a["radius"] + b["radius"]) for b in kept):
-                kept.append(a)
-            if len(kept) == most:
-                break
-        return kept
+    the best single cells instead."""
+    cells = {(m.row, m.col): m for m in sorted(members, key=lambda m: (m.row, m.col))}
+    top = max(round(m.score, 9) for m in cells.values())
+    line = max(C.SCORE_FLOOR, top - C.SCORE_BAND)
+    open_ = [k for k, m in cells.items() if round(m.score, 9) >= line]
+    grouped = [_area([cells[k] for k in own], False) for own in _clusters(open_)]
+    kept = _apart(sorted(grouped, key=lambda a: (-a["priority"], *a["at"])), C.MOST_AREAS)
+    if len(kept) < C.LEAST_AREAS:
+        kept = _apart([_area([m], True) for m in sorted(cells.values(), key=lambda m: (-round(m.score, 9), m.row, m.col))], C.LEAST_AREAS)
+    rows = []
+    for i, a in enumerate(kept):
+        codes, text = evidence(a, behavior) if improved else (reason_codes(behavior, a["kinds"]), plain_reason(behavior, a["kinds"]))
+        rows.append((request, i + 1, round(a["at"][0], 6), round(a["at"][1], 6), a["radius"], a["priority"], a["kinds"], len(a["members"]), *(a["points"][p] for p in C.PARTS), codes, text, behavior))
+    return rows
+
+
+def select(scored: DataFrame, improved: bool) -> DataFrame:
+    """Two or three areas of each request, in order, with their points, reason codes and sentence.
+
+    Each choice depends on those before, and a request has some hundred cells at most, so a
+    request is one group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = {(m.row, m.col): m for m in pdf.sort_values(["row", "col"]).itertuples()}
-        top = max(round(m.score, 9) for m in cells.values())
-        line = max(C.SCORE_FLOOR, top - C.SCORE_BAND)
-        open_ = [k for k, m in cells.items() if round(m.score, 9) >= line]
-        grouped = [area([cells[k] for k in own], False) for own in _clusters(open_)]
-        kept = chosen(sorted(grouped, key=lambda a: (-a["priority"], *a["at"])), C.MOST_AREAS)
-        if len(kept) < C.LEAST_AREAS:
-            kept = chosen([area([m], True) for m in sorted(cells.values(), key=lambda m: (-round(m.score, 9), m.row, m.col))], C.LEAST_AREAS)
-        rows = []
-        behavior = pdf.behavior.iloc[0]
-        for i, a in enumerate(kept):
-            codes = evidence(a) if improved else reason_codes(behavior, a["kinds"])
-            rows.append((int(pdf.request_id.iloc[0]), i + 1, round(a["at"][0], 6), round(a["at"][1], 6), a["radius"], a["priority"], a["kinds"], len(a["members"]), *(a["points"][p] for p in C.PARTS), codes, behavior))
+        rows = _chosen(list(pdf.itertuples()), improved, int(pdf.request_id.iloc[0]), pdf.behavior.iloc[0])
         return pd.DataFrame(rows, columns=[f.split()[0] for f in AREAS.split(", ")])
 
-    need = [*CELL, "lat", "lon", "score", "near_kinds", "behavior", "behavior_kind", "corridor_kind", *C.PARTS]
-    return scored.select(need).groupBy("request_id").applyInPandas(run, AREAS)
+    return scored.select(*CELL, "lat", "lon", "behavior", *SCORED).groupBy("request_id").applyInPandas(run, AREAS)
+
+
+def select_both(cells: DataFrame) -> DataFrame:
+    """The areas of both versions (``version`` 1 and 2) from one set of strengths, in one pass."""
+    both = score_v1(cells).withColumn("one", F.struct(*SCORED)).drop(*SCORED)
+    both = score_v2(both).select(*CELL, "lat", "lon", "behavior", *(F.col(f"one.{c}").alias(f"{c}_1") for c in SCORED), *(F.col(c).alias(f"{c}_2") for c in SCORED))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for v in (1, 2):
+            own = pdf[[*CELL, "lat", "lon", *(f"{c}_{v}" for c in SCORED)]].rename(columns={f"{c}_{v}": c for c in SCORED})
+            rows += [(v, *r) for r in _chosen(list(own.itertuples()), v == 2, int(pdf.request_id.iloc[0]), pdf.behavior.iloc[0])]
+        return pd.DataFrame(rows, columns=["version", *(f.split()[0] for f in AREAS.split(", "))])
+
+    return both.groupBy("request_id").applyInPandas(run, "version int, " + AREAS)
 
 
 # Reason codes and the sentences shown with them.
@@ -270,7 +296,25 @@ KIND_CODES = {"GREEN_SPACE": "GREEN_SPACE", "FOOTPATH": "WALKING_CORRIDOR", "WAT
 BEHAVIOR_PHRASES = {"FEARFUL": "두려움이 강한 행동 특성", "CHASE_DRIVEN": "추격 성향과 이동 경로", "HUMAN_SEEKING": "사람에게 접근하는 행동 특성", "ALOOF": "독립적으로 이동하는 행동 특성"}
 PLACE_PHRASES = {"GREEN_SPACE": "주변 녹지와 이동 가능 경로", "FOOTPATH": "보행로와 연결된 이동 경로", "BUILDING_RESIDENTIAL": "주거지 주변 은신 가능 공간"}
 PLAIN_PHRASE = "주변 환경과 접근성"
-FALLBACK_AREAS = [(50, ["ENVIRONMENT_FALLBACK", "LAST_SEEN_LOCATION"]), (40, ["ENVIRONMENT_FALLBACK", "EXPANDED_SEARCH_RADIUS"])]
+FALLBACK_AREAS = [
+    (50, ["ENVIRONMENT_FALLBACK", "LAST_SEEN_LOCATION"], "환경 데이터를 사용할 수 없어 마지막 목격 위치 주변을 우선 수색 영역으로 제안합니다."),
+    (40, ["ENVIRONMENT_FALLBACK", "EXPANDED_SEARCH_RADIUS"], "환경 데이터를 사용할 수 없어 마지막 목격 위치 주변으로 범위를 넓힌 확장 수색 영역입니다."),
+]
+# What the improved version says of its evidence.
+KIND_LABELS = {"GREEN_SPACE": "녹지", "FOOTPATH": "보행로", "WATER": "수변", "ROAD": "일반 도로", "COMMERCIAL": "상업 시설", "BUILDING_RESIDENTIAL": "주거 건물"}
+BEHAVIOR_LABELS = {"FEARFUL": "두려움 관련 행동 특성", "CHASE_DRIVEN": "추격 성향", "HUMAN_SEEKING": "사람에게 접근하는 행동 특성", "ALOOF": "독립적으로 이동하는 행동 특성"}
+DISTANCE_SENTENCE = "실종 위치와의 거리가 우선점수에 반영되었습니다."
+NEAR_SENTENCE = "{behavior}을 고려한 {what}에 구성 격자와 {kind} 대표점의 가까운 거리가 반영되었습니다."
+BEHAVIOR_PART, CORRIDOR_PART = "행동·환경 적합도", "이동 통로 관련 점수"
+BARRIER_SENTENCE = "도로·장벽 대표점과의 거리에 따른 감점을 반영했습니다. 실제 통과 가능 여부를 판단한 결과는 아닙니다."
+LIMITED_SENTENCE = "주변 환경에 관한 추천 근거가 제한적입니다."
+LAST_SENTENCE = "우선 수색을 위한 참고 정보입니다."
+# What an answer assumes, and its summary.
+HOUR_ASSUMPTION = "실종 시간이 없어 Asia/Seoul 정오(12시)로 추정했습니다."
+NOW_ASSUMPTION = "실종 시간이 없고 당일 정오 이전이어서 현재 Asia/Seoul 시각으로 추정했습니다."
+FALLBACK_ASSUMPTION = "주변 환경 데이터를 사용할 수 없어 마지막 목격 위치를 중심으로 추천했습니다."
+LIMITED_COMPARISON = "환경 데이터를 사용할 수 없어 환경 기반 비교가 제한됩니다. V2 개선 효과를 평가할 수 없습니다."
+SUMMARY = "추천 영역 %d개 → %d개. 동일 순위 중심 이동 최대 %.1fm, 점수 변화 %+d~%+d점. 동일 순위 비교는 동일 물리 영역의 추적이 아니며 점수 차이는 정확도 차이를 뜻하지 않습니다."
 
 
 def reason_codes(behavior: str, kinds: list[str]) -> list[str]:
@@ -278,20 +322,28 @@ def reason_codes(behavior: str, kinds: list[str]) -> list[str]:
     return [BEHAVIOR_CODES[behavior], *(code for kind, code in KIND_CODES.items() if kind in kinds), *quiet]
 
 
-def evidence(area: dict, most: int = 3) -> list[str]:
-    """Codes of what contributed most; kinds count that won in member cells, not any nearby."""
-    found = [(area["values"]["distance"], "DISTANCE_FROM_LAST_SEEN")]
-    for part, field, prefix in (("behavior_environment", "behavior_kind", "BEHAVIOR_NEAR_"), ("corridor", "corridor_kind", "CORRIDOR_NEAR_")):
+def plain_reason(behavior: str, kinds: list[str]) -> str:
+    place = next((phrase for kind, phrase in PLACE_PHRASES.items() if kind in kinds), PLAIN_PHRASE)
+    return f"{BEHAVIOR_PHRASES[behavior]} 및 {place}을 고려한 우선 수색 영역입니다."
+
+
+def evidence(area: dict, behavior: str, most: int = 3) -> tuple[list[str], str]:
+    """Codes and sentences of what contributed most; kinds count that won in member cells, not any nearby."""
+    found = [(area["values"]["distance"], "DISTANCE_FROM_LAST_SEEN", DISTANCE_SENTENCE)]
+    for part, field, prefix, what in (("behavior_environment", "behavior_kind", "BEHAVIOR_NEAR_", BEHAVIOR_PART), ("corridor", "corridor_kind", "CORRIDOR_NEAR_", CORRIDOR_PART)):
         sums: dict[str, float] = {}
         for m in area["members"]:
             if kind := getattr(m, field):
                 sums[kind] = sums.get(kind, 0.0) + getattr(m, part)
         if sums:
-            found.append((area["values"][part], prefix + min(sums, key=lambda k: (-round(sums[k], 9), k))))
+            kind = min(sums, key=lambda k: (-round(sums[k], 9), k))
+            found.append((area["values"][part], prefix + kind, NEAR_SENTENCE.format(behavior=BEHAVIOR_LABELS[behavior], what=what, kind=KIND_LABELS[kind])))
     if {"MAJOR_ROAD", "RAILWAY_BARRIER", "ROAD"} & set(area["kinds"]):
-        found.append((area["values"]["accessibility"], "BARRIER_DISTANCE_CONSIDERED"))
-    codes = [code for _, code in sorted((x for x in found if x[0] > 0), key=lambda x: -x[0])[:most]]
-    return codes if len(codes) >= 2 else [*codes, "LIMITED_ENVIRONMENT_EVIDENCE"]
+        found.append((area["values"]["accessibility"], "BARRIER_DISTANCE_CONSIDERED", BARRIER_SENTENCE))
+    best = sorted((x for x in found if x[0] > 0), key=lambda x: -x[0])[:most]
+    if len(best) < 2:
+        best.append((0.0, "LIMITED_ENVIRONMENT_EVIDENCE", LIMITED_SENTENCE))
+    return [code for _, code, _ in best], " ".join([*(text for _, _, text in best), LAST_SENTENCE])
 
 
 def reason(behavior: Column, kinds: Column) -> Column:
@@ -301,42 +353,88 @@ def reason(behavior: Column, kinds: Column) -> Column:
     return F.concat(fn.lookup(behavior, BEHAVIOR_PHRASES), F.lit(" 및 "), place, F.lit("을 고려한 우선 수색 영역입니다."))
 
 
+def fallback_list(radius: Column, lat: Column, lon: Column) -> Column:
+    """Two circles around the last sighting as an array; points of parts are null."""
+    core = F.least(F.lit(C.MOST_AREA - 100), F.greatest(F.lit(C.LEAST_AREA), F.bround(radius / 4, 0).cast("int")))
+    wide = F.least(F.lit(C.MOST_AREA), F.greatest(core + 100, F.bround(radius / 3, 0).cast("int")))
+    circle = lambda i, r, p, codes, text: F.struct(
+        F.lit(i).alias("rank"), lat.alias("lat"), lon.alias("lon"), r.alias("radius_m"), F.lit(p).alias("priority"),
+        F.lit(None).cast(POINTS).alias("points"), F.array(*map(F.lit, codes)).alias("codes"), F.lit(text).alias("reason"),
+    )
+    return F.array(*(circle(i + 1, r, *x) for i, (r, x) in enumerate(zip((core, wide), FALLBACK_AREAS, strict=True))))
+
+
+POINTS = "struct<" + ",".join(f"{p}:int" for p in C.PARTS) + ">"
+
+
 def fallback(requests: DataFrame) -> DataFrame:
     """Two circles around the last sighting, where there is no map."""
-    core = F.least(F.lit(C.MOST_AREA - 100), F.greatest(F.lit(C.LEAST_AREA), F.bround(F.col("radius") / 4, 0).cast("int")))
-    wide = F.least(F.lit(C.MOST_AREA), F.greatest(core + 100, F.bround(F.col("radius") / 3, 0).cast("int")))
-    both = F.array(*(F.struct(F.lit(i + 1).alias("rank"), r.alias("radius_m"), F.lit(p).alias("priority"), F.array(*map(F.lit, codes)).alias("codes")) for i, (r, (p, codes)) in enumerate(zip((core, wide), FALLBACK_AREAS, strict=True))))
-    return requests.select("request_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.explode(both).alias("a")).select("request_id", "lat", "lon", "a.*")
+    both = fallback_list(F.col("radius"), F.col("latitude"), F.col("longitude"))
+    return requests.select("request_id", F.explode(both).alias("a")).select("request_id", "a.rank", "a.lat", "a.lon", "a.radius_m", "a.priority", "a.codes", "a.reason")
+
+
+def _listed(found: DataFrame, *versions: int) -> DataFrame:
+    """One row for each request: its areas of each version in order, at most three."""
+    area = F.struct("rank", "lat", "lon", "radius_m", "priority", F.struct(*C.PARTS).alias("points"), "codes", "reason")
+    return found.groupBy("request_id").agg(*(F.array_sort(F.collect_list(F.when(F.col("version") == v, area))).alias(f"areas_{v}") for v in versions))
+
+
+def answered(requests: DataFrame, found: DataFrame, versions: tuple[int, ...], failed: DataFrame | None = None) -> DataFrame:
+    """Requests with ``areas_v`` and ``fallback_v`` for each version v.
+
+    The fallback where selection leaves fewer than two areas, and where the map could not be had
+    (``failed``: request_id). Requests are joined once, whatever the versions."""
+    out = requests.join(_listed(found, *versions), "request_id", "left")
+    out = out.withColumn("map_failed", F.lit(False)) if failed is None else out.join(failed.select("request_id").distinct().withColumn("map_failed", F.lit(True)), "request_id", "left").withColumn("map_failed", F.coalesce("map_failed", F.lit(False)))
+    for v in versions:
+        few = F.col("map_failed") | F.col(f"areas_{v}").isNull() | (F.size(f"areas_{v}") < C.LEAST_AREAS)
+        out = out.withColumn(f"fallback_{v}", few)
+        out = out.withColumn(f"areas_{v}", F.when(few, fallback_list(F.col("radius"), F.col("latitude"), F.col("longitude"))).otherwise(F.col(f"areas_{v}")))
+    return out
+
+
+def mapped(requests: DataFrame, failed: DataFrame | None) -> DataFrame:
+    return requests if failed is None else requests.join(failed.select("request_id").distinct(), "request_id", "left_anti")
+
+
+def recommend(requests: DataFrame, features: DataFrame, improved: bool = False, failed: DataFrame | None = None) -> DataFrame:
+    """Areas of every request, a row each; the fallback where there is no map or too few areas."""
+    scored = (score_v2 if improved else score_v1)(with_strengths(grid(mapped(requests, failed)), features))
+    out = answered(requests, select(scored, improved).withColumn("version", F.lit(1)), (1,), failed)
+    return out.select("request_id", F.col("fallback_1").alias("fallback_used"), F.explode("areas_1").alias("a")).select("request_id", "fallback_used", "a.rank", "a.lat", "a.lon", "a.radius_m", "a.priority", "a.codes", "a.reason")
 
 
-def recommend(requests: DataFrame, features: DataFrame, improved: bool = False) -> DataFrame:
-    """Areas of every request; the fallback where selection leaves fewer than two."""
-    scored = (score_v2 if improved else score_v1)(with_strengths(grid(requests), features))
-    found = select(scored, improved).select("request_id", "rank", "lat", "lon", "radius_m", "priority", "codes")
-    enough = found.groupBy("request_id").agg(F.count("*").alias("n")).where(F.col("n") >= C.LEAST_AREAS)
-    found = found.join(enough.select("request_id"), "request_id", "left_semi")
-    return found.unionByName(fallback(requests.join(enough.select("request_id"), "request_id", "left_anti")).select(found.columns))
+def assumptions(hour_known: Column, from_now: Column, fallback_used: Column) -> Column:
+    """What an answer rests on, in order."""
+    hour = F.when(from_now, F.lit(NOW_ASSUMPTION)).when(~hour_known, F.lit(HOUR_ASSUMPTION))
+    return F.array_compact(F.array(hour, F.when(fallback_used, F.lit(FALLBACK_ASSUMPTION))))
 
 
-def compare(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Areas of two versions rank by rank: what moved, what came and what went."""
-    old, new = (df.select("request_id", "rank", F.struct("lat", "lon", "radius_m", "priority", "codes").alias(name)) for df, name in ((before, "old"), (after, "new")))
-    both = old.join(new, ["request_id", "rank"], "full")
+def compare(both: DataFrame) -> DataFrame:
+    """Areas of two versions (see ``answered``) rank by rank: what moved, what came and what went."""
+    rank = F.explode(F.sequence(F.lit(1), F.greatest(F.size("areas_1"), F.size("areas_2"))))
+    rows = both.select("request_id", "areas_1", "areas_2", rank.alias("rank"))
+    rows = rows.select("request_id", "rank", F.get("areas_1", F.col("rank") - 1).alias("old"), F.get("areas_2", F.col("rank") - 1).alias("new"))
     o, n = (lambda f: F.col(f"old.{f}")), (lambda f: F.col(f"new.{f}"))
     empty = F.array().cast("array<string>")
     status = F.when(F.col("old").isNull(), "ADDED").when(F.col("new").isNull(), "REMOVED").otherwise("BOTH")
     shift = F.bround(fn.distance_m(o("lat"), o("lon"), n("lat"), n("lon")), 3)
     extra = lambda a, b: F.when(a.isNull(), empty).when(b.isNull(), a).otherwise(F.array_except(a, b))
-    return both.select(
+    return rows.select(
         "request_id", "rank", status.alias("status"), shift.alias("shift_m"), (n("priority") - o("priority")).alias("score_delta"),
-        o("radius_m").alias("before_radius_m"), n("radius_m").alias("after_radius_m"),
+        *(x for name, of in (("before", o), ("after", n)) for x in (of("lat").alias(f"{name}_lat"), of("lon").alias(f"{name}_lon"), of("radius_m").alias(f"{name}_radius_m"), of("priority").alias(f"{name}_priority"))),
         extra(n("codes"), o("codes")).alias("added"), extra(o("codes"), n("codes")).alias("removed"),
     )
 
 
-def compare_summary(changes: DataFrame) -> DataFrame:
-    zero = F.lit(0)
-    return changes.groupBy("request_id").agg(
-        F.count("before_radius_m").alias("areas_before"), F.count("after_radius_m").alias("areas_after"),
-        F.coalesce(F.max("shift_m"), F.lit(0.0)).alias("most_shift_m"), F.coalesce(F.min("score_delta"), zero).alias("least_delta"), F.coalesce(F.max("score_delta"), zero).alias("most_delta"),
+def compare_summary(both: DataFrame) -> DataFrame:
+    """One row for each request: numbers of areas, largest shift, range of score changes, the summary."""
+    pairs = F.transform(F.slice(F.arrays_zip("areas_1", "areas_2"), 1, F.least(F.size("areas_1"), F.size("areas_2"))), lambda x: F.struct(
+        F.bround(fn.distance_m(x["areas_1"]["lat"], x["areas_1"]["lon"], x["areas_2"]["lat"], x["areas_2"]["lon"]), 3).alias("shift"), (x["areas_2"]["priority"] - x["areas_1"]["priority"]).alias("delta")))
+    rows = both.withColumn("_p", pairs).select(
+        "request_id", (F.col("fallback_1") | F.col("fallback_2")).alias("fallback_used"), F.size("areas_1").alias("areas_before"), F.size("areas_2").alias("areas_after"),
+        F.coalesce(F.array_max("_p.shift"), F.lit(0.0)).alias("most_shift_m"), F.coalesce(F.array_min("_p.delta"), F.lit(0)).alias("least_delta"), F.coalesce(F.array_max("_p.delta"), F.lit(0)).alias("most_delta"),
     )
+    # one place after the point, half-even, as the shift itself has three
+    said = F.format_string(SUMMARY.replace("%.1f", "%s"), "areas_before", "areas_after", F.bround(F.col("most_shift_m"), 1).cast("string"), "least_delta", "most_delta")
+    return rows.withColumn("summary", F.when(F.col("fallback_used"), F.lit(LIMITED_COMPARISON)).otherwise(said))

@@ -7,12 +7,17 @@ from pyspark.sql import DataFrame
 from homeward.operators import areas
 
 
-def compare(requests: DataFrame, features: DataFrame) -> DataFrame:
-    """Both versions of the areas from one join of cells and features, rank by rank."""
-    cells = areas.with_strengths(areas.grid(requests), features)
-    found = []
-    for improved, score in ((False, areas.score_v1), (True, areas.score_v2)):
-        own = areas.select(score(cells), improved).select("request_id", "rank", "lat", "lon", "radius_m", "priority", "codes")
-        rest = areas.fallback(requests.join(own.select("request_id").distinct(), "request_id", "left_anti"))
-        found.append(own.unionByName(rest.select(own.columns)))
-    return areas.compare(*found)
+def both(requests: DataFrame, features: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Each request with the areas of both versions, from one join of cells and features, one
+    grouped map and one join with the requests."""
+    cells = areas.with_strengths(areas.grid(areas.mapped(requests, failed)), features)
+    return areas.answered(requests, areas.select_both(cells), (1, 2), failed)
+
+
+def compare(requests: DataFrame, features: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Rank by rank what the second version changes."""
+    return areas.compare(both(requests, features, failed))
+
+
+def compare_summary(requests: DataFrame, features: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    return areas.compare_summary(both(requests, features, failed))

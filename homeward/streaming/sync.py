@@ -12,15 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from homeward.operators import ingest
+
 
 def upserted(current: DataFrame | None, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The rows of both, of each key the one with the largest version."""
-    every = new if current is None else current.unionByName(new, allowMissingColumns=True)
-    rest = [c for c in every.columns if c not in keys]
-    return every.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*keys, "r.*")
+    return ingest.newest(new if current is None else current.unionByName(new, allowMissingColumns=True), keys, version)
 
 
-def run(spark: SparkSession, source: str, schema, sink: str, dead: str, state: str, usable: Callable[[DataFrame], DataFrame], keys: list[str]) -> None:
+def run(spark: SparkSession, source: str, schema, sink: str, dead: str, state: str, usable: Callable[[DataFrame], DataFrame]) -> None:
     """Reads what is new under ``source``; ``usable`` adds a boolean column ``ok``.
 
     Every batch is one folder of the sink, written anew if the batch is, so a batch that runs
@@ -43,3 +43,9 @@ def table(spark: SparkSession, sink: str, keys: list[str], version: str) -> Data
 
 def watermark(spark: SparkSession, sink: str, version: str):
     return spark.read.parquet(sink).agg(F.max(version)).first()[0]
+
+
+def compacted(spark: SparkSession, sink: str, keys: list[str], version: str, to: str) -> None:
+    """What the batches amount to, written as one batch of another sink: a long history is read
+    once, and later runs go on from the new sink."""
+    table(spark, sink, keys, version).write.mode("overwrite").parquet(f"{to}/batch=0")

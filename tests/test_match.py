@@ -1,5 +1,6 @@
 """Matching: values worked out by hand, and the paths a small table does not take."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,15 +79,48 @@ def test_ties_go_by_the_order_of_scanning(spark):
     assert [r.ordinal for r in got.collect()] == [0, 2, 4, 6]
 
 
+@pytest.mark.parametrize("parts", [(1, 1), (3, 1), (2, 2)])
+def test_blocks_find_what_pairs_find(spark, parts):
+    """Block products against pairs on the JVM, in one block and in several."""
+    pairs = match.without_own(match.scored(asked(spark), gallery(spark)))
+    cols = ["request_id", "gallery_id", "image_rank", "phash_distance", "near_duplicate"]
+    every = {tuple(r) for r in match.top(match.best_per_record(pairs), 3, "image_rank").select(cols).collect()}
+    assert {tuple(r) for r in match.nearest(asked(spark), gallery(spark), 3, parts=parts).select(cols).collect()} == every
+    photos = {tuple(r) for r in match.top(pairs, 3, "image_rank").select(cols).collect()}
+    assert {tuple(r) for r in match.nearest(asked(spark), gallery(spark), 3, per_record=False, parts=parts).select(cols).collect()} == photos
+
+
+def test_random_blocks(spark):
+    rnd = np.random.default_rng(4)
+    hexed = lambda: f"{int(rnd.integers(0, 1 << 63)):016x}"
+    hashes = [hexed() for _ in range(5)]
+    rows = [(i, f"g{i}", str(i // 2), "REPORT" if i % 3 else "SHELTER", i // 2 if i % 3 else None, "dog", rnd.normal(size=3).tolist(), hashes[i % 5] if i % 4 else None, hexed()) for i in range(60)]
+    gal = spark.createDataFrame(rows, "ordinal long, gallery_id string, record_id string, candidate_type string, candidate_report_id long, species string, embedding array<float>, phash_full string, phash_crop string")
+    q = spark.createDataFrame([(i, i * 3, "dog", rnd.normal(size=3).tolist(), hashes[i]) for i in range(5)], "request_id long, report_id long, species string, embedding array<float>, h string")
+    q = q.withColumn("phashes", F.array_compact(F.array(fn.phash_bits(F.col("h"))))).drop("h")
+    cols = ["request_id", "gallery_id", "image_rank", "phash_distance"]
+    expected = {tuple(r) for r in match.top(match.best_per_record(match.without_own(match.scored(q, gal))), 7, "image_rank").select(cols).collect()}
+    assert len(expected) == 35 and {tuple(r) for r in match.nearest(q, gal, 7, parts=(2, 2)).select(cols).collect()} == expected
+
+
+def test_own_photos_are_left_out(spark):
+    gal = gallery(spark).withColumns({"candidate_type": F.lit("REPORT"), "candidate_report_id": F.when(F.col("ordinal") == 5, 9)})
+    got = match.search(asked(spark), gal, 10).collect()
+    assert "dog:2:1" not in {r.gallery_id for r in got} and not any(r.near_duplicate for r in got)
+
+
 def test_many_queries_are_spread(spark, monkeypatch):
-    before = {tuple(r) for r in match.search(asked(spark), gallery(spark), 10).select("request_id", "gallery_id", "image_rank").collect()}
-    monkeypatch.setattr(match, "HELD_QUERIES", 0)
-    assert {tuple(r) for r in match.search(asked(spark), gallery(spark), 10).select("request_id", "gallery_id", "image_rank").collect()} == before
+    cols = ["request_id", "gallery_id", "phash_distance"]
+    before = {tuple(r) for r in match.scored(asked(spark), gallery(spark)).select(cols).collect()}
+    monkeypatch.setattr(match, "HELD_BYTES", 0)
+    assert {tuple(r) for r in match.scored(asked(spark), gallery(spark)).select(cols).collect()} == before
 
 
 def test_decisions(spark):
     got = {r.request_id: r.decision for r in match.decision(asked(spark), match.search(asked(spark), gallery(spark), 1), "image_rank").collect()}
     assert got == {1: "NEAR_DUPLICATE_CANDIDATE", 2: "NO_GALLERY"}
+    far = match.search(asked(spark).withColumn("phashes", F.array().cast("array<bigint>")), gallery(spark), 1)
+    assert [r.decision for r in match.decision(asked(spark), far, "image_rank").where("request_id = 1").collect()] == ["RANKED_CANDIDATES_NEED_HUMAN_REVIEW"]
 
 
 def test_a_missing_signal_is_no_penalty(spark):
@@ -102,15 +136,18 @@ def test_stream_takes_up_where_it_ended(spark, tmp_path):
     schema = "id long, url string, updated_at long"
     usable = lambda df: df.withColumn("ok", F.col("url").isNotNull())
     spark.createDataFrame([(1, "a", 1), (2, None, 2)], schema).write.mode("append").parquet(src)
-    sync.run(spark, src, spark.read.parquet(src).schema, sink, dead, state, usable, ["id"])
+    sync.run(spark, src, spark.read.parquet(src).schema, sink, dead, state, usable)
     spark.createDataFrame([(1, "b", 5), (3, "c", 4)], schema).write.mode("append").parquet(src)
-    sync.run(spark, src, spark.read.parquet(src).schema, sink, dead, state, usable, ["id"])
+    sync.run(spark, src, spark.read.parquet(src).schema, sink, dead, state, usable)
     assert {(r.id, r.url) for r in sync.table(spark, sink, ["id"], "updated_at").collect()} == {(1, "b"), (3, "c")}
     assert [r.id for r in spark.read.parquet(dead).collect()] == [2]
     assert sync.watermark(spark, sink, "updated_at") == 5
+    sync.compacted(spark, sink, ["id"], "updated_at", str(tmp_path / "one"))
+    assert sync.table(spark, str(tmp_path / "one"), ["id"], "updated_at").count() == 2
 
 
 def test_batches_and_summary(spark):
-    got = ingest.batches(spark.range(130), "id", 2).groupBy("part", "batch").count()
-    assert got.agg(F.max("count")).first()[0] <= 2 and got.agg(F.sum("count")).first()[0] == 130
+    for each in (20, 20_000):
+        got = {r.id: r.batch for r in ingest.batches(spark.range(130), "id", 7, each).collect()}
+        assert got == {i: i // 7 for i in range(130)}
     assert ingest.summary(spark.range(5), F.col("id") > 1).first().asDict() == {"seen": 5, "upserted": 3, "skipped": 2}
