@@ -333,10 +333,10 @@ ORACLE_SQL: dict[str, str] = {
     "select_areas": f"{_sources}, {selection(1)} SELECT {_picks}n_cells, {', '.join(C.PARTS)}, array_to_string(kinds, '|') AS kinds, array_to_string(codes, '|') AS codes, reason FROM chosen1",
     "explain_topevidence": f"{_sources}, {selection(2)} SELECT {_picks}{', '.join(C.PARTS)}, array_to_string(codes, '|') AS codes, reason FROM chosen2",
     "recommend_areas": f"{_sources}, {selection(1)}, {_answer(1)} SELECT request_id, fallback_used, rank, round(lat, 5) AS lat, round(lon, 5) AS lon, radius_m, priority, array_to_string(codes, '|') AS codes, reason FROM answer1",
-    "compare_rank_diff": f"{_both}, {_changes} SELECT request_id, rank, status, round(shift_m, 2) AS shift_m, score_delta, before_radius_m, after_radius_m, before_priority, after_priority, round(before_lat, 5) AS before_lat, round(after_lon, 5) AS after_lon, added, removed FROM changes",
+    "compare_rank_diff": f"{_both}, {_changes} SELECT request_id, rank, status, shift_m, score_delta, before_radius_m, after_radius_m, before_priority, after_priority, round(before_lat, 5) AS before_lat, round(after_lon, 5) AS after_lon, added, removed FROM changes",
     "compare_summaries": f"""{_both}, {_changes}, sums AS (SELECT request_id, bool_or(fb1 OR fb2) AS fallback_used, CAST(count(before_radius_m) AS INT) AS areas_before, CAST(count(after_radius_m) AS INT) AS areas_after, coalesce(max(shift_m), 0) AS most_shift_m,
         coalesce(min(score_delta), 0) AS least_delta, coalesce(max(score_delta), 0) AS most_delta FROM changes GROUP BY request_id)
-        SELECT request_id, fallback_used, areas_before, areas_after, round(most_shift_m, 2) AS most_shift_m, least_delta, most_delta, CASE WHEN fallback_used THEN '{areas.LIMITED_COMPARISON}' ELSE printf('{_summary}', CAST(areas_before AS VARCHAR), CAST(areas_after AS VARCHAR), CAST(round_even(most_shift_m, 1) AS VARCHAR), {_signed("least_delta")}, {_signed("most_delta")}) END AS summary FROM sums""",
+        SELECT request_id, fallback_used, areas_before, areas_after, most_shift_m, least_delta, most_delta, CASE WHEN fallback_used THEN '{areas.LIMITED_COMPARISON}' ELSE printf('{_summary}', CAST(areas_before AS VARCHAR), CAST(areas_after AS VARCHAR), CAST(round_even(most_shift_m, 1) AS VARCHAR), {_signed("least_delta")}, {_signed("most_delta")}) END AS summary FROM sums""",
     "metadata_query": f"""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'FOUND' ELSE 'LOST' END AS report_type, {_sexes} AS sex, {_colors} AS colors, CASE WHEN p_partkey % 3 = 0 THEN 37.5::DOUBLE WHEN p_partkey % 3 = 1 THEN 37.25::DOUBLE END AS latitude,
         CASE WHEN p_partkey % 3 = 0 THEN 127.125::DOUBLE WHEN p_partkey % 3 = 1 THEN 127.5::DOUBLE END AS longitude, CASE WHEN p_partkey % 3 = 0 THEN '서울특별시 강남구' WHEN p_partkey % 3 = 1 THEN '경기도 수원시' ELSE '' END AS address,
         CASE WHEN p_partkey % 2 = 0 THEN '2024.01.05' ELSE '2024-02-06' END AS lost_at, '성별 ' || {_sexes} || CASE WHEN {_colors} = '' THEN '' ELSE '; 색상 ' || replace({_colors}, '|', ' ') END || '; ' || p_name AS metadata_text FROM part""",

@@ -279,14 +279,13 @@ def fallback_areas(spark: SparkSession, sf: str) -> DataFrame:
 def compare_rank_diff(spark: SparkSession, sf: str) -> DataFrame:
     rows = plans.compare(d.requests(spark, sf), d.features(spark, sf), _without_map(spark, sf))
     return rows.select(
-        "request_id", "rank", "status", r("shift_m", 2).alias("shift_m"), "score_delta", "before_radius_m", "after_radius_m", "before_priority", "after_priority",
+        "request_id", "rank", "status", "shift_m", "score_delta", "before_radius_m", "after_radius_m", "before_priority", "after_priority",
         r("before_lat").alias("before_lat"), r("after_lon").alias("after_lon"), F.array_join("added", "|").alias("added"), F.array_join("removed", "|").alias("removed"),
     )
 
 
 def compare_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    rows = plans.compare_summary(d.requests(spark, sf), d.features(spark, sf), _without_map(spark, sf))
-    return rows.withColumn("most_shift_m", r("most_shift_m", 2))
+    return plans.compare_summary(d.requests(spark, sf), d.features(spark, sf), _without_map(spark, sf))
 
 
 def _metadata(spark: SparkSession, sf: str) -> DataFrame:
