@@ -24,33 +24,44 @@ def _with_text(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the likelihood ratio keep."""
+    """Documents that the base rules and the likelihood ratio keep.
+
+    Null, empty and blank texts have no words and go. Rows that are repeated are judged alike; null
+    ids and labels without a document change nothing. Without labels the ratio is 0 and the base
+    rules decide. Empty table: no rows. All columns stay, also those named like the operator's."""
     return quality.judge(spark, docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more).
+
+    The least id stays; rows without an id are dropped only as repeats of each other. Null texts count
+    as empty, and texts without words as copies. Empty table: no rows. All columns stay."""
     return simhash.one_of_each(spark, docs).select(docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that stand in more than one place.
 
-    A character of which a byte goes, goes as a whole."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = repeats.without_repeats(spark, docs, PASSAGE_BYTES, carry=carry)
-    # bytes that are left of a cut character become a mark that no UTF-8 text needs, and go
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(F.regexp_replace(F.expr("make_valid_utf8(cast(kept AS STRING))"), "�", ""))
-    return _with_text(found.withColumn("text", text), docs)
+    All copies of a passage go, whole characters only; every other character stays. A null text
+    becomes an empty one. Repeated rows are copies of each other and lose their whole text, from the
+    passage's length on. Empty table: no rows. All columns stay."""
+    safe = {c: f"_carry{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    found = repeats.without_repeats(spark, docs.withColumnsRenamed(safe), PASSAGE_BYTES, carry=tuple(safe.values()), characters=True)
+    found = found.select("doc_id", F.decode("kept", "UTF-8").alias("text"), *(F.col(x).alias(c) for c, x in safe.items()))
+    return _with_text(found, docs)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data."""
+    """All documents, with pseudonyms for personal data. Null and empty texts stay as they are,
+    repeated rows change alike. Empty table: no rows. All columns stay."""
     return _with_text(pii.pseudonymise(docs, PII_KEY), docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and where they stand in sequences of 1024 tokens."""
+    """The pieces of all documents and where they stand in sequences of 1024 tokens. A null or empty
+    text is one piece of one token; repeated rows and rows without an id are each packed. Empty
+    table: no rows."""
     return packing.pack(spark, docs, vocabulary("byte_bpe_50k.json"))
 
 
