@@ -15,9 +15,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Bytes of the passages that op2 counts beside what it removes: a little under 50 words.
+PASSAGE = 256
+
+
 def op2_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.without_repeats(spark, table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = repeats.without_repeats(spark, table(spark, sf_dir, "documents"), passage=PASSAGE)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_bytes", (F.col("n_passages") > 0).alias("has_passage"))
 
 
 #: Of the queries; a real run gets its own from whoever keeps secrets.

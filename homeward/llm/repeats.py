@@ -36,6 +36,8 @@ CELL = 16
 CHUNK, PLACE_BITS = 1 << 19, 21
 #: Different runs of one anchor that are compared at once: a few, or so small a part of all.
 FEW, PART = 64, 1_000_000
+#: Bits that tell which texts need to be looked at again.
+MARKS = 1 << 20
 #: Bytes that one transform holds, but for a larger group.
 BLOCK_BYTES = 1 << 19
 
@@ -56,33 +58,34 @@ def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int, ho
     those of these cells, one by one."""
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     own = np.maximum(sizes - least + 1, 0)
-    ends = np.cumsum(own)
-    if not len(own) or not ends[-1]:
+    if not own.any():
         return none
     size = min(GRAM, least // 2)
     total, _, down = rolling(data)
-    gram = lambda at, n: (total[at + n] - total[at]) * down[at]
-    places = np.arange(len(data) - size + 1)
-    hashed = mixed(gram(places, size))
+    hashed = mixed((total[size:] - total[:-size]) * down[: len(data) - size + 1])
     low = np.uint64((1 << PLACE_BITS) - 1)
-    anchor = (window_least((hashed & ~low) | places.astype(np.uint64), least - size + 1) & low).astype(np.int64)
-    which = np.repeat(np.arange(len(sizes)), own)
-    window = np.repeat(starts - ends + own, own) + np.arange(ends[-1])  # the windows that lie within one text
-    anchor = anchor[window]
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (which[1:] != which[:-1])])
+    anchor = (window_least((hashed & ~low) | np.arange(len(hashed), dtype=np.uint64), least - size + 1) & low).astype(np.int64)
+    # windows that lie within one text; a text's last places have none, so runs of two never touch
+    inside = np.repeat(np.tile([True, False], len(sizes)), np.stack([own, sizes - own], axis=1).ravel())[: len(anchor)]
+    new = inside.copy()
+    new[1:] &= (anchor[1:] != anchor[:-1]) | ~inside[:-1]
     first = np.flatnonzero(new)
-    key, ref = hashed[anchor[first]], anchor[first]
-    count = np.diff(np.append(first, len(window)))
+    which = np.searchsorted(starts, first, "right") - 1
+    count = np.minimum(np.append(first[1:], len(anchor)), (starts + own)[which]) - first
+    ref = anchor[first]
+    key = hashed[ref]
     if hot is None:
-        return window[first], count, key, (ref - window[first]) % 8
-    at = np.flatnonzero(np.repeat(np.isin(key, hot), count))
-    if not len(at):
+        return first, count, key, (ref - first) % 8
+    pick = np.isin(key, hot)
+    if not pick.any():
         return none
-    window, anchor, which = window[at], anchor[at], which[at]
+    window, which = ranges(first[pick], count[pick]), np.repeat(which[pick], count[pick])
+    anchor = anchor[window]
     cell = (anchor - window) // CELL + 1
     # the bytes that all windows of a cell share: from its last possible window on
     ref = anchor - (cell - 1) * CELL
     shared = np.minimum(ref, len(data) - (least - CELL + 1))
+    gram = lambda at, n: (total[at + n] - total[at]) * down[at]
     key = mixed(gram(shared, least - CELL + 1) + ODD * cell.astype(np.uint64))
     if hotter is not None:
         at = np.flatnonzero(np.isin(key, hotter))
@@ -112,13 +115,25 @@ def chunks(texts: list[bytes], least: int) -> Iterator[tuple[list[int], list[int
 ROWS = "key bigint, c1 bigint, c2 bigint, doc_id bigint, th bigint, n int, phase int, m bigint, ats array<int>"
 
 
-def segments(docs: DataFrame, least: int, hot: list[int] | None = None, hotter: list[int] | None = None) -> DataFrame:
+def marks(rows: DataFrame) -> np.ndarray:
+    """A bit for each value of ``th`` modulo MARKS, set for those in ``rows``: which texts need to be
+    looked at again. A text more costs time and changes nothing, so the bits may be few."""
+    found = rows.select(F.pmod("th", F.lit(MARKS)).cast("int").alias("i")).distinct().toArrow()  # at most MARKS numbers
+    out = np.zeros(MARKS, bool)
+    out[found.column("i").to_numpy()] = True
+    return np.packbits(out, bitorder="little")
+
+
+def segments(docs: DataFrame, least: int, hot: list[int] | None = None, hotter: list[int] | None = None, only: np.ndarray | None = None) -> DataFrame:
     """A row for each distinct run of a part of a text: its key, the hash of its bytes (128
-    bits), its windows and phase, how often it occurs there and where."""
+    bits), its windows and phase, how often it occurs there and where. ``only``: see ``marks``."""
     hot_, hotter_ = (None if x is None else np.array(x, np.int64).view(np.uint64) for x in (hot, hotter))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if only is not None:
+                i = batch.column("th").to_numpy() & np.int64(MARKS - 1)
+                batch = batch.filter(pa.array((only[i >> 3] >> (i & 7).astype(np.uint8) & 1).astype(bool)))
             for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 for which, places, parts in chunks([t or b"" for t in texts], least):
@@ -314,72 +329,133 @@ def compared(reps: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     return cut.mapInArrow(giving_back(run), FOUND)
 
 
-KEPT = "n_bytes bigint, n_removed bigint, n_spans bigint, starts array<int>, ends array<int>, kept binary"
-
-
-def without_repeats(spark: SparkSession, docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
-    """The columns ``carry``, doc_id, n_bytes, n_removed, n_spans, starts and ends of what is removed, and ``kept``.
-
-    Every byte in a stretch of ``least`` bytes (a multiple of 8) that begins at another place too
-    goes, in all copies; texts are judged as they came. A null text is an empty one. Repeated
-    rows are copies of each other, each with a row; ids may be null. Empty table: no rows; other
-    columns are ignored.
-    """
-    if least % 8 or least < 16:
-        raise ValueError("least must be a multiple of 8, at least 16")
-    scratch = scratch or Scratch(spark, "repeats")
-    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)))
-    kinds_ = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    rows, hot = None, None
+def found_windows(spark: SparkSession, src: DataFrame, least: int, scratch: Scratch, name: str, only: np.ndarray | None = None) -> DataFrame:
+    """(d, t, hits) of each text that has windows which begin elsewhere too."""
+    rows, hot, hotter = None, None, None
     for level in range(3):
-        scratch.written(segments(src, least, *([hot] if level else []), *([hotter] if level == 2 else [])), f"all{level}")
-        new = scratch.written(met_again(spark.read.parquet(scratch.path(f"all{level}"))), f"rows{level}")
-        scratch.drop(f"all{level}")
+        every, met = f"{name}all{level}", f"{name}rows{level}"
+        scratch.written(segments(src, least, *([hot] if level else [None]), hotter if level == 2 else None, only), every)
+        new = scratch.written(met_again(spark.read.parquet(scratch.path(every))), met)
+        scratch.drop(every)
         crowd = crowded(new) if level < 2 else []
         scratch.release()
         if crowd:
-            out = spark.createDataFrame([(k,) for k in crowd], "key bigint")
-            new = new.join(F.broadcast(out), "key", "left_anti").select(new.columns)
+            out = F.broadcast(spark.createDataFrame([(k,) for k in crowd], "key bigint"))  # see ``crowded``
+            only = marks(new.join(out, "key", "left_semi"))
+            new = new.join(out, "key", "left_anti").select(new.columns)
         rows = new if rows is None else rows.unionByName(new)
         if not crowd:
             break
         hot, hotter = (crowd, None) if level == 0 else (hot, crowd)
-    runs_ = scratch.written(distinct(rows), "runs")
+    runs_ = scratch.written(distinct(rows), f"{name}runs")
     keys = runs_.groupBy("key").agg(F.sum("m").alias("all"), F.count("*").alias("kinds"))
     several = keys.where("kinds > 1").select(F.col("key").alias("k"))
     found = compared(runs_.join(several, F.col("key") == F.col("k")).drop("k"), src, least)
     twice = runs_.where("m > 1").select("key", "c1", "c2", F.array(F.lit(0)).alias("froms"), F.array(F.col("n") - 1).alias("tos"))
-    found = scratch.written(found.unionByName(twice), "found")
+    found = scratch.written(found.unionByName(twice), f"{name}found")
+    scratch.drop(f"{name}runs")
     f = found.select(F.col("key").alias("k"), F.col("c1").alias("a"), F.col("c2").alias("b"), "froms", "tos")
     hits = rows.join(f, (F.col("key") == F.col("k")) & (F.col("c1") == F.col("a")) & (F.col("c2") == F.col("b")))
-    per = hits.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("ats", "froms", "tos")).alias("hits"))
-    joined = src.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "hits", *(f"_{i}" for i in range(len(carry))))
+    return hits.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("ats", "froms", "tos")).alias("hits"))
+
+
+SPANS = "d bigint, t bigint, n_passages bigint, n_passage_bytes bigint, longest bigint"
+
+
+def spans(found: DataFrame, least: int) -> DataFrame:
+    """Of each text the stretches that its windows make up: how many, their bytes, the longest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for hits in batch.column("hits").to_pylist():
+                begin, end = covered(hits, least)
+                out.append((len(begin), int((end - begin).sum()), int((end - begin).max())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([r[i] for r in out], pa.int64()) for i in range(3))], [f.split()[0] for f in SPANS.split(", ")])
+
+    return found.select("d", "t", "hits").mapInArrow(giving_back(run), SPANS)
+
+
+def covered(hits: list[dict], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each stretch that the windows of ``hits`` cover."""
+    begin, end = [], []
+    for h in hits:
+        ats = np.array(h["ats"], np.int64)[:, None]
+        begin.append((ats + np.array(h["froms"], np.int64)).ravel())
+        end.append((ats + np.array(h["tos"], np.int64) + least).ravel())
+    begin, end = np.concatenate(begin), np.concatenate(end)
+    order = np.argsort(begin, kind="stable")
+    begin, upto = begin[order], np.maximum.accumulate(end[order])
+    new = np.concatenate([[True], begin[1:] > upto[:-1]])
+    return begin[new], upto[np.append(np.flatnonzero(new)[1:] - 1, len(begin) - 1)]
+
+
+KEPT = "n_bytes bigint, n_removed bigint, n_spans bigint, starts array<int>, ends array<int>, kept binary, n_passages bigint, n_passage_bytes bigint"
+
+
+def without_repeats(
+    spark: SparkSession, docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), passage: int | None = None, characters: bool = False, scratch: Scratch | None = None
+) -> DataFrame:
+    """The columns ``carry``, doc_id, n_bytes, n_removed, n_spans, starts and ends of what is removed,
+    ``kept``, n_passages and n_passage_bytes.
+
+    Every byte in a stretch of ``least`` bytes (a multiple of 8) that begins at another place too
+    goes, in all copies; texts are judged as they came. With ``characters`` a character of which a
+    byte goes, goes as a whole, so what is kept is UTF-8. ``passage``, a shorter length, counts the
+    stretches of that many bytes that stand elsewhere too (0 without it), and ``least`` is then
+    looked for in texts that have such a stretch of its length only.
+
+    A null text is an empty one. Repeated rows are copies of each other, each with a row; ids may be
+    null. Empty table: no rows; other columns are ignored, and may have any names.
+    """
+    if any(n % 8 or n < 16 for n in (least, passage or least)) or (passage or 0) > least:
+        raise ValueError("lengths must be multiples of 8, at least 16; a passage no longer than the stretches that go")
+    scratch = scratch or Scratch(spark, "repeats")
+    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)))
+    kinds_ = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    slim = src.select("doc_id", "th", "text")
+    if passage:
+        told = scratch.written(spans(found_windows(spark, slim, passage, scratch, "passages-"), passage), "spans")
+        for step in ("rows0", "rows1", "rows2", "found"):
+            scratch.drop(f"passages-{step}")
+        only = marks(told.where(F.col("longest") >= least).select(F.col("t").alias("th")))
+        per = found_windows(spark, slim, least, scratch, "", only).withColumnsRenamed({"d": "d2", "t": "t2"})
+        per = told.join(per, F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")), "left").select("d", "t", "hits", "n_passages", "n_passage_bytes")
+    else:
+        per = found_windows(spark, slim, least, scratch, "").withColumns({c: F.lit(0).cast("bigint") for c in ("n_passages", "n_passage_bytes")})
+    joined = src.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
+    joined = joined.select("doc_id", "text", "hits", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_passages", "n_passage_bytes")), *(f"_{i}" for i in range(len(carry))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 out = []
                 for t, hits in zip(part.column("text").to_pylist(), part.column("hits").to_pylist(), strict=True):
-                    out.append(removed(t, hits or [], least))
+                    out.append(removed(t, hits or [], least, characters))
                 kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 2 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)), *part.columns[3:]], ["doc_id", *(f.split()[0] for f in KEPT.split(", ")), *(f"_{i}" for i in range(len(carry)))])
 
     return joined.mapInArrow(giving_back(cut), "doc_id bigint, " + KEPT + kinds_).withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry)})
 
 
-def removed(text: bytes, hits: list[dict], least: int) -> tuple:
+def removed(text: bytes, hits: list[dict], least: int, characters: bool = False) -> tuple:
     """Counts, spans and what is left of a text without the windows of its hits."""
     if not hits:
         return len(text), 0, 0, [], [], text
-    begin, end = [], []
-    for h in hits:
-        ats = np.array(h["ats"], np.int64)[:, None]
-        begin.append((ats + np.array(h["froms"], np.int64)).ravel())
-        end.append((ats + np.array(h["tos"], np.int64) + least).ravel())
-    edges = np.zeros(len(text) + 1, np.int64)
-    np.add.at(edges, np.concatenate(begin), 1)
-    np.add.at(edges, np.concatenate(end), -1)
-    gone = np.cumsum(edges[:-1]) > 0
-    starts, lasts = stretches(np.flatnonzero(gone))
-    return len(text), int(gone.sum()), len(starts), starts, [x + 1 for x in lasts], np.frombuffer(text, np.uint8)[~gone].tobytes()
+    begin, end = (x.tolist() for x in covered(hits, least))
+    if characters:
+        inner = lambda i: i < len(text) and text[i] & 0xC0 == 0x80
+        wide: list[list[int]] = []
+        for a, b in zip(begin, end, strict=True):
+            while inner(a) and a:
+                a -= 1
+            while inner(b):
+                b += 1
+            if wide and a <= wide[-1][1]:
+                wide[-1][1] = max(b, wide[-1][1])
+            else:
+                wide.append([a, b])
+        begin, end = [a for a, _ in wide], [b for _, b in wide]
+    kept = b"".join(text[a:b] for a, b in zip([0, *end], [*begin, len(text)], strict=True))
+    return len(text), len(text) - len(kept), len(begin), begin, end, kept

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -60,6 +61,71 @@ def test_lm_is_a_distribution(spark, order):
         assert sum(10 ** (p[f"a b {w}"] - p["a b"]) for w in [*vocabulary, "unseen"]) + 10**end == pytest.approx(1)
 
 
+def plain_model(texts, order, rounds=12, enough=1e-4):
+    """The model in plain numbers: scores of all texts, and what may follow each seen context."""
+    fold = {i: zlib.crc32(str(i).encode()) % 10 for i, _ in texts}
+    streams = {i: ["<"] * (order - 1) + t.lower().split() + [">"] for i, t in texts}
+    grams = lambda s, k: [tuple(s[j - k + 1 : j + 1]) for j in range(order - 1, len(s))]
+
+    def counts(folds):
+        own = [s for i, s in streams.items() if fold[i] in folds]
+        made = [Counter(g for s in own for g in grams(s, k)) for k in range(1, order + 1)]
+        return made, sum(made[0].values()), len(made[0]), len(own)
+
+    def estimate(context, word, model):
+        made, n, v, docs = model
+        out, bucket = [1 / (v + 1), made[0][(word,)] / max(n, 1)], 0
+        for k in range(2, order + 1):
+            before = tuple(context[-(k - 1) :])
+            seen = docs if set(before) == {"<"} else made[k - 2][before]
+            out.append(made[k - 1][(*before, word)] / seen if seen else 0.0)
+            if seen:
+                bucket = (k - 2) * lm.LAST_BUCKET + min(int(math.log2(seen)) + 1, lm.LAST_BUCKET)
+        return bucket, out
+
+    allowed = lm.usable(order)
+    weights = allowed / allowed.sum(axis=1, keepdims=True)
+    kept = counts(set(range(2, 10)))
+    points = [estimate(s[:j], s[j], kept) for i, s in streams.items() if fold[i] == 1 for j in range(order - 1, len(s))]
+    last = None
+    for _ in range(rounds if points else 0):
+        sums, likely = np.zeros(weights.shape), 0.0
+        for b, e in points:
+            share = weights[b] * np.array(e)
+            likely += math.log(share.sum())
+            sums[b] += share / share.sum()
+        fresh = np.where(sums.sum(axis=1, keepdims=True) > 0, sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-300), weights)
+        fresh = np.where(allowed, np.maximum(fresh, lm.LEAST_WEIGHT), 0)
+        weights = fresh / fresh.sum(axis=1, keepdims=True)
+        likely /= len(points)
+        if last is not None and likely - last < enough:
+            break
+        last = likely
+    model = counts(set(range(1, 10)))
+
+    def p(context, word):
+        bucket, e = estimate(context, word, model)
+        return float(weights[bucket] @ np.array(e))
+
+    scores = {i: sum(math.log10(p(s[:j], s[j])) for j in range(order - 1, len(s))) for i, s in streams.items()}
+    words = [w for (w,) in model[0][0]]
+    sums = [sum(p(c, w) for w in [*words, "never seen"]) for c in {tuple(s[j - order + 1 : j]) for s in streams.values() for j in range(order - 1, len(s))}]
+    return scores, sums
+
+
+@pytest.mark.parametrize(("order", "fan", "part_bytes"), [(2, 1024, 8 << 20), (3, 1024, 8 << 20), (3, 8, 100)])
+def test_lm_scores_by_hand(spark, order, fan, part_bytes, monkeypatch):
+    """Also where blocks send to groups of parts, in chunks."""
+    monkeypatch.setattr(lm, "FAN", fan)
+    monkeypatch.setattr(lm, "PART_BYTES", part_bytes)
+    rnd = random.Random(4)
+    texts = [(i, " ".join(rnd.choice("a bb ccc dd e f".split()) if rnd.random() < 0.9 else f"rare{rnd.randint(0, 30)}" for _ in range(rnd.randint(0, 12)))) for i in range(150)]
+    scores, sums = plain_model(texts, order)
+    assert sums == pytest.approx([1.0] * len(sums))  # what ships is a distribution, whatever came before
+    got = {r.doc_id: r.score for r in lm.scores(spark, spark.createDataFrame(texts, "doc_id long, text string"), order).collect()}
+    assert got == pytest.approx(scores, rel=1e-4)
+
+
 def test_lm_learns(spark):
     texts = [(i, " ".join(["the cat sat", "on the mat"][(i + j) % 2] for j in range(20))) for i in range(300)]
     got = lm.scores(spark, spark.createDataFrame(texts, "doc_id long, text string")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
@@ -105,6 +171,33 @@ def test_repeats_of_random_texts(spark, monkeypatch):
         assert got == dict(enumerate(repeated_bytes([t.encode() for _, t in rows], 48)))
 
 
+@pytest.mark.parametrize("few", [1, 64])
+def test_passages_and_repeats_in_one(spark, monkeypatch, few):
+    """The longer length is looked for in fewer texts, and nothing of it is lost."""
+    monkeypatch.setattr(repeats, "FEW", few)
+    rnd = random.Random(15)
+    parts = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(20, 120))) for _ in range(14)]
+    texts = ["".join(rnd.choice(parts) if rnd.random() < 0.6 else "".join(rnd.choice("efgh") for _ in range(60)) for _ in range(rnd.randint(0, 5))) for _ in range(80)]
+    got = {r.doc_id: r for r in repeats.without_repeats(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 64, passage=32).collect()}
+    raw = [t.encode() for t in texts]
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for i, r in got.items()} == dict(enumerate(repeated_bytes(raw, 64)))
+    assert {i: (r.n_passage_bytes, r.n_passages) for i, r in got.items()} == {i: r[1:3] for i, r in enumerate(repeated_bytes(raw, 32))}
+    assert any(r.n_passages > r.n_spans for r in got.values())
+
+
+def test_characters_go_whole(spark):
+    rnd = random.Random(3)
+    signs = "日本語é😀a\ufffd"
+    shared = "".join(rnd.choice(signs) for _ in range(40))
+    texts = ["".join(rnd.choice(signs) for _ in range(30)) + shared[k : 40 - k] + "".join(rnd.choice(signs) for _ in range(30)) for k in range(4)]
+    for r in repeats.without_repeats(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 32, characters=True).collect():
+        own = texts[r.doc_id].encode()
+        exact = repeated_bytes([t.encode() for t in texts], 32)[r.doc_id]
+        assert exact[1] <= r.n_removed <= exact[1] + 6 * exact[2] and r.n_removed > 0
+        kept = bytes(r.kept).decode()  # whole characters only
+        assert kept.encode() == b"".join(own[a:b] for a, b in zip([0, *r.ends], [*r.starts, len(own)], strict=True))
+
+
 def test_prefixes_by_increasing_value():
     rnd = np.random.default_rng(2)
     x = np.concatenate([rnd.integers(1, 4, 200), [0]])
@@ -225,6 +318,48 @@ def test_winnowing_rules(spark):
         assert not places and not words or max(gaps) <= winnow.WINDOW
 
 
+def plain_winnowing(text, k=5, window=8):
+    """place:hash of each chosen run of words, and the chosen hashes, by the rules alone."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def chained(values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), seed)
+        return signed(seed)
+
+    words = [signed(xxhash.xxh64_intdigest(w, 42)) for w in WHITE.findall(text.encode())]
+    grams = [chained(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [chained(words)] if words else []
+    chosen = []
+    for at in range(max(1, len(grams) - window + 1) if grams else 0):
+        least = min(h >> 28 for h in grams[at : at + window])
+        place = max(i for i in range(at, min(at + window, len(grams))) if grams[i] >> 28 == least)  # the rightmost of equals
+        if (place, least) not in chosen:
+            chosen.append((place, least))
+    return " ".join(f"{i}:{(h & (1 << 36) - 1):x}" for i, h in chosen), {h for _, h in chosen}
+
+
+def test_winnowing_by_hand(spark, docs, rows):
+    rnd = random.Random(12)
+    more = [(100 + i, " ".join(rnd.choice("a b c".split()) for _ in range(rnd.randint(0, 40)))) for i in range(30)]
+    df = spark.createDataFrame([*rows, *more], "doc_id long, text string")
+    got = winnow.edited_fingerprints(df, Scratch(spark, "t")).collect()
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    ordered = sorted([*rows, *more], key=lambda r: (r[0] is None, -(r[0] or 0)))
+    texts = {i: t or "" for i, t in ordered if i is not None and i != 6}  # two rows have the id 6, in the order of their hashes
+    by_id_ = {r.doc_id: r for r in got if r.doc_id in texts}
+    for (i, t), (j, u) in zip(ordered, [*ordered[1:], ordered[0]], strict=True):
+        if i not in texts or i == 1 or j == 1:  # the very long one is too long for the plain way
+            continue
+        t, u = t or "", u or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + u[:half]
+        own, changed, following = plain_winnowing(t), plain_winnowing(edited), plain_winnowing(u)
+        r = by_id_[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (own[0], changed[0])
+        assert (r.near_edited, r.near_next) == pytest.approx((alike(own[1], changed[1]), alike(own[1], following[1])))
+
+
 def test_a_shared_run_shares_a_fingerprint(spark):
     run = " ".join(f"s{i}" for i in range(winnow.K + winnow.WINDOW - 1))
     rows = [(1, f"{' '.join(f'x{i}' for i in range(50))} {run} tail"), (2, f"other words {run} {' '.join(f'y{i}' for i in range(70))}")]
@@ -474,7 +609,8 @@ def test_components(spark):
     assert {r.node: r.root for r in got.collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 200: 100, 300: 100}
 
 
-def test_one_of_each(spark, docs, empty):
+def test_one_of_each(spark, docs, rows, empty):
+    rows_ = rows
     rnd = random.Random(4)
     words = [f"w{rnd.randint(0, 9999)}" for _ in range(400)]
     near = [*words[:200], "changed", *words[201:]]
@@ -484,7 +620,14 @@ def test_one_of_each(spark, docs, empty):
     assert sorted(r.doc_id for r in got.collect()) == [3, 4, 6]
     kept = simhash.one_of_each(spark, docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["3", "5", "6", "None", "1", "2", "9", "10", "11", "12"])
+    # of the rows with an id one of each text and of each group stays; those without an id stay
+    some = sorted({(i, t or "") for i, t in rows_ if i is not None})
+    pairs, root = alike_pairs([t for _, t in some]), list(range(len(some)))
+    for _ in some:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    expected = sorted(str(some[i][0]) for i in set(root)) + ["None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(expected) and "9" not in expected
     assert simhash.one_of_each(spark, empty).count() == 0
 
 
@@ -637,6 +780,44 @@ def test_damaged_archives_say_where(cut):
     assert found[-1]["problem"] and all(r["problem"] is None for r in found[:-1])
 
 
+def test_reading_goes_on_behind_damage(spark):
+    one = warc.arc_record(1, "http://a", "20240102030405", b"x" * 50, 0)
+    long = b"http://b 0.0.0.0 20240102030405 text/html 999999\nyy\n"
+    whole = warc.arc_head(1, "20240102030405") + one + b"what is this\n" + one + long + warc.arc_record(1, "http://c", "20240102030405", b"z", 0)
+    found = list(warc.read_arc(whole))
+    assert [r.get("url") or r["problem"] for r in found] == ["http://a", "not a record line", "http://a", "cut short", "http://c"]
+    arcs = spark.createDataFrame([(bytearray(zlib.compress(whole)),)], "arc binary")
+    assert sorted(r.problem.rsplit(" at ")[0] for r in warc.problems(arcs).collect()) == ["cut short", "not a record line"]
+
+
+def test_archives_are_warc_files(spark):
+    """Any bytes, a gzip member for each record, a description first; long and short files alike."""
+    rnd = random.Random(9)
+    bodies = [bytes(rnd.randrange(256) for _ in range(n)) for n in (0, 1, 700, 5000)] + [b"\xff\xfe\x00", b"a" * (17 << 20)]
+    blocks = [b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\n\r\n" % i + b for i, b in enumerate(bodies)]
+    whole = warc.arc_head(2, "20240102030405") + b"".join(warc.arc_record(2, f"http://{i}", "20240102030405", b, 0) for i, b in enumerate(blocks))
+    arcs = spark.createDataFrame([(bytearray(zlib.compress(whole)),)], "arc binary")
+    for size in (1, 1 << 24):
+        scratch = Scratch(spark, "t")
+        warc.write_archives(warc.convert(arcs, archive_bytes=size), scratch.path("w"))
+        names = sorted(Path(scratch.path("w").removeprefix("file://")).glob("part-*"))
+        assert len(names) == (len(bodies) if size == 1 else 1) and all(n.name.endswith(".warc.gz") for n in names)
+        payloads = {}
+        for n in names:
+            blob, members = n.read_bytes(), []
+            while blob:
+                z = zlib.decompressobj(31)
+                members.append(z.decompress(blob))
+                blob = z.unused_data
+            members = [m for m in members if m]
+            assert members[0].startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+            for m in members[1:]:
+                [(head, block)] = warc.read_warc(iter([m]))
+                payloads[int(warc.header(block, "X-Page-Id"))] = block.split(b"\r\n\r\n", 1)[1]
+        assert payloads == dict(enumerate(bodies))
+        assert {r.page_id: r.payload_bytes for r in warc.read_archives(spark, scratch.path("w")).collect()} == {i: len(b) for i, b in enumerate(bodies)}
+
+
 # --- op10
 
 
