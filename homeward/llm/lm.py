@@ -10,7 +10,9 @@ How the counts get to where they are needed: documents are dealt into blocks of
 sends each of its distinct n-grams once, as a 64-bit hash with its own count, to one of as many
 parts; a part adds up what the blocks sent and answers each block in the order it asked. So a
 frequent word costs a number per block, not per occurrence, no part knows more than its share of
-the n-grams, and nothing is gathered on the driver but the mixture weights.
+the n-grams, and nothing is gathered on the driver but the mixture weights. Beyond FAN parts a block
+sends to groups of parts, where what some blocks sent is added up before it goes on to the parts,
+and answers come back the same way: so a block makes FAN rows at most, however large the input.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ FOLDS = 10
 HELD_OUT, DELETED = 0, 1
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 8 << 20
+#: Parts, or groups of parts, that a block sends to at most.
+FAN = 1024
 STATS = -(1 << 31)
 LAST_BUCKET = 40
 LEAST_WEIGHT = 1e-6
@@ -85,18 +89,39 @@ def blocked(docs: DataFrame, key: str, text: str, blocks: int) -> DataFrame:
     return docs.select(block.alias("block"), F.col(key).cast("long").alias("id"), of.alias("fold"), body.alias("text"))
 
 
-def dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in the order of their part and, in it, of their low bits; where each part's
-    begin."""
-    own = (keys >> np.uint64(40)).astype(np.int64) % parts
-    order = np.argsort((own.astype(np.uint64) << np.uint64(40)) | (keys & LOW))
-    return order, np.searchsorted(own[order], np.arange(parts + 1))
+class Routes:
+    """Which part each n-gram belongs to, and which group of neighbouring parts; a group is one part
+    while there are few."""
 
+    def __init__(self, parts: int, fan: int):
+        self.parts, self.each = parts, 1
+        if parts > fan:
+            self.each = -(-parts // fan)
+        self.groups = -(-parts // self.each)
 
-def shortened(keys: np.ndarray, k: int) -> bytes:
+    def part(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(40)).astype(np.int64) % self.parts
+
+    def dealt(self, keys: np.ndarray, each: int, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in the order of their part and, in it, of their low bits; where each of the
+        ``n`` groups of ``each`` parts from ``first`` on begins."""
+        own = self.part(keys)
+        order = np.argsort((own.astype(np.uint64) << np.uint64(40)) | (keys & LOW))
+        return order, np.searchsorted(own[order] // each, np.arange(first, first + n + 1))
+
+    def by_group(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.dealt(keys, self.each, 0, self.groups)
+
+    def by_part(self, keys: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of keys of one group, by its parts."""
+        return self.dealt(keys, 1, group * self.each, self.each)
+
+
+def shortened(keys: np.ndarray, k: int, whole: bool = False) -> bytes:
     """Sorted keys in few bytes: words in full, longer n-grams by their low 40 bits (the part says
-    more about the others), as steps of 4 bytes where all steps fit."""
-    if k == 1:
+    more about the others; keys of a group of parts are ``whole``), as steps of 4 bytes where all
+    steps fit."""
+    if k == 1 or whole:
         return b"\0" + keys.tobytes()
     steps = np.diff(keys & LOW, prepend=np.uint64(0))
     return b"\1" + steps.astype("<u4").tobytes() if int(steps.max()) < 1 << 32 else b"\0" + (keys & LOW).tobytes()
@@ -110,8 +135,8 @@ ASKED = "part int, ord int, block int, keys binary, kept binary, deleted binary"
 ANSWERED = "part int, ord int, block int, kept binary, deleted binary"
 
 
-def asked(docs: DataFrame, order: int, parts: int) -> DataFrame:
-    """What each block sends to each part: its distinct n-grams and how often it trains on them."""
+def asked(docs: DataFrame, order: int, routes: Routes) -> DataFrame:
+    """What each block sends to each group: its distinct n-grams and how often it trains on them."""
 
     def ask(group: pa.Table) -> pa.Table:
         block = group.column("block")[0].as_py()
@@ -124,11 +149,11 @@ def asked(docs: DataFrame, order: int, parts: int) -> DataFrame:
             keys, inverse = np.unique(found.grams(k), return_inverse=True)
             deleted = np.bincount(inverse[of == DELETED], minlength=len(keys))
             kept = np.bincount(inverse[(of != HELD_OUT) & (of != DELETED)], minlength=len(keys))
-            by, edge = dealt(keys, parts)
-            for p in range(parts):
+            by, edge = routes.by_group(keys)
+            for p in range(routes.groups):
                 at = by[edge[p] : edge[p + 1]]
                 if len(at):
-                    rows.append((p, k, block, shortened(keys[at], k), narrowed(kept[at]), narrowed(deleted[at])))
+                    rows.append((p, k, block, shortened(keys[at], k, routes.each > 1), narrowed(kept[at]), narrowed(deleted[at])))
         return table_of(rows, ASKED)
 
     return docs.groupBy("block").applyInArrow(then_back(ask), ASKED)
@@ -176,15 +201,68 @@ def answered(sent: DataFrame) -> DataFrame:
     return sent.groupBy("ord", "part").applyInArrow(then_back(answer), ANSWERED)
 
 
-def counted(found: Block, order: int, parts: int, answers: pa.Table, total: bool) -> list[np.ndarray]:
+def together(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys of some rows (whole ones), the place of each row's keys among them, and
+    their sums."""
+    keys = [lengthened(x) for x in group.column("keys").to_pylist()]
+    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = []
+    for name in ("kept", "deleted"):
+        own = np.concatenate([widened(x, len(ks)) for x, ks in zip(group.column(name).to_pylist(), keys, strict=True)])
+        sums.append(np.bincount(inverse, own, len(every)).astype(np.int64))  # exact below 2 ** 53
+    return every, inverse, sums
+
+
+def by_way_of_groups(sent: DataFrame, routes: Routes, chunks: int, scratch: Scratch) -> DataFrame:
+    """``answered`` for blocks that send to groups of parts. In a group the rows of some blocks (a
+    chunk) are added up, ask the group's parts as one, and are answered from that."""
+    of = F.pmod(F.xxhash64("block"), F.lit(chunks)).cast("int")
+    sent = scratch.written(sent.withColumn("chunk", of), "sent")
+
+    def ask(rows: pa.Table) -> pa.Table:
+        group, k, chunk = (rows.column(c)[0].as_py() for c in ("part", "ord", "chunk"))
+        every, _, (kept, deleted) = together(rows)
+        by, edge = routes.by_part(every, group)
+        out = []
+        for i in range(routes.each):
+            at = by[edge[i] : edge[i + 1]]
+            if len(at):
+                out.append((group * routes.each + i, k, chunk, shortened(every[at], k), narrowed(kept[at]), narrowed(deleted[at])))
+        return table_of(out, ASKED)
+
+    found = scratch.written(answered(sent.groupBy("ord", "part", "chunk").applyInArrow(then_back(ask), ASKED)), "found")
+
+    def back(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return table_of([], ANSWERED)
+        group, k = rows.column("part")[0].as_py(), rows.column("ord")[0].as_py()
+        every, inverse, _ = together(rows)
+        by, edge = routes.by_part(every, group)
+        sums = np.zeros((2, len(every)), np.int64)
+        for p, kept, deleted in zip(*(answers.column(c).to_pylist() for c in ("part", "kept", "deleted")), strict=True):
+            at = by[edge[p - group * routes.each] : edge[p - group * routes.each + 1]]
+            sums[0, at], sums[1, at] = widened(kept, len(at)), widened(deleted, len(at))
+        out, at = [], 0
+        for block, ks in zip(rows.column("block").to_pylist(), rows.column("keys").to_pylist(), strict=True):
+            own = inverse[at : at + (n := len(lengthened(ks)))]
+            out.append((group, k, block, narrowed(sums[0][own]), narrowed(sums[1][own])))
+            at += n
+        return table_of(out, ANSWERED)
+
+    to = found.where(f"block <> {STATS}").withColumns({"chunk": F.col("block"), "part_group": F.floor(F.col("part") / routes.each).cast("int")})
+    answers = sent.groupBy("ord", "part", "chunk").cogroup(to.groupBy("ord", "part_group", "chunk")).applyInArrow(then_back(back), ANSWERED)
+    return answers.unionByName(found.where(f"block = {STATS}"))
+
+
+def counted(found: Block, order: int, routes: Routes, answers: pa.Table, total: bool) -> list[np.ndarray]:
     """By order, how often the n-gram that ends at each token was counted, from the answers to a block."""
     by_part = {(k, p): (a, b) for k, p, a, b in zip(*(answers.column(c).to_pylist() for c in ("ord", "part", "kept", "deleted")), strict=True)}
     out = []
     for k in range(1, order + 1):
         keys, inverse = np.unique(found.grams(k), return_inverse=True)
-        by, edge = dealt(keys, parts)
+        by, edge = routes.by_group(keys)
         sums = np.zeros(len(keys), np.int64)
-        for p in range(parts):
+        for p in range(routes.groups):
             at = by[edge[p] : edge[p + 1]]
             if len(at):
                 kept, deleted = by_part[k, p]
@@ -279,9 +357,11 @@ def scores(spark: SparkSession, docs: DataFrame, order: int = 2, rounds: int = 1
     """
     scratch = scratch or Scratch(spark, "lm")
     size = input_bytes(docs, text)
-    blocks, parts = pieces(size, BLOCK_BYTES, 48), pieces(size, PART_BYTES, 64)
+    blocks, routes = pieces(size, BLOCK_BYTES, 48), Routes(pieces(size, PART_BYTES, 64), FAN)
     src = blocked(docs, key, text, blocks)
-    answers = scratch.written(answered(asked(src, order, parts)), "answers")
+    sent = asked(src, order, routes)
+    chunks = pieces(size // routes.groups, PART_BYTES, 1)
+    answers = scratch.written(answered(sent) if routes.each == 1 else by_way_of_groups(sent, routes, chunks, scratch), "answers")
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(4, np.int64)
@@ -306,7 +386,7 @@ def scores(spark: SparkSession, docs: DataFrame, order: int = 2, rounds: int = 1
         if not left.num_rows:
             return table_of([], "points binary")
         own, found, folds = block_of(left)
-        bucket, est = estimates(found, counted(found, order, parts, right, False), n_kept, v_kept, docs_kept)
+        bucket, est = estimates(found, counted(found, order, routes, right, False), n_kept, v_kept, docs_kept)
         use = np.repeat(folds, found.sizes) == DELETED
         rows = np.concatenate([bucket[use, None], est[use]], axis=1).astype("<f4")
         return table_of([(rows.tobytes(),)] if len(rows) else [], "points binary")
@@ -321,7 +401,7 @@ def scores(spark: SparkSession, docs: DataFrame, order: int = 2, rounds: int = 1
         if not left.num_rows:
             return table_of([], RESULT)
         own, found, folds = block_of(left)
-        grams = counted(found, order, parts, right, True)
+        grams = counted(found, order, routes, right, True)
         bucket, est = estimates(found, grams, n_all, v_all, docs_all)
         c, at = grams[0], found.first()
         base = np.add.reduceat(np.log10((c + 0.1) / (n_all + 0.1 * (v_all + 1))), at)
