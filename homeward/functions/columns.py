@@ -231,3 +231,8 @@ def event_time(day: Column, hour: Column, now: Column, zone: str = "Asia/Seoul")
     noon = at(F.lit(12))
     local_day = F.to_date(F.from_utc_timestamp(F.to_utc_timestamp(now, F.current_timezone()), zone))
     return F.when(hour.isNotNull(), at(hour)).when((local_day == day) & (now < noon), now).otherwise(noon)
+
+
+def utc_now() -> Column:
+    """The present second as text with its zone, of the query's start."""
+    return F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))

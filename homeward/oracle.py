@@ -103,6 +103,8 @@ CELLS = f"""{REQUESTS}, cells AS (
     latitude + degrees(i.i * 200 / {_f(C.EARTH_M)}) AS lat, longitude + degrees(j.j * 200 / ({_f(C.EARTH_M)} * cos(radians(latitude)))) AS lon
   FROM requests r, (SELECT unnest(range(-15, 16))::INT AS i) i, (SELECT unnest(range(-15, 16))::INT AS j) j
   WHERE sqrt((i.i * 200.0 * i.i * 200.0 + j.j * 200.0 * j.j * 200.0)::DOUBLE) <= radius)"""
+#: For what meets nothing: all events ask.
+EVERY_REQUEST, EVERY_CELL = (x.replace(f" WHERE event_id % {ASK} = 0", "") for x in (REQUESTS, CELLS))
 _kinds = "[" + ", ".join(f"'{k}'" for k in C.KINDS) + "]"
 #: Features are copied to the coarse cells around their own, so equal keys find all that is near.
 NEAR = f"""{CELLS}, features AS (
@@ -305,9 +307,9 @@ ORACLE_SQL: dict[str, str] = {
     "rerank_full": f"WITH {POOL} SELECT request_id, record_id, image_rank, round(ranking, 5) AS ranking, rank FROM final",
     "wire_results": f"""WITH {POOL} SELECT request_id, rank, candidate_type AS "candidateType", CASE WHEN candidate_type = 'SHELTER' THEN record_id END AS "desertionNo", candidate_report_id AS "candidateReportId", round(visual, 5) AS "visualScore",
         round(ranking, 5) AS "finalScore", round(distance_km, 3) AS "distanceKm", CAST(phash_distance AS INT) AS "phashDistance", near_duplicate AS "nearDuplicate", gallery_id AS "galleryId" FROM final""",
-    "behavior_radius": f"WITH {REQUESTS} SELECT request_id, behavior, radius, limited FROM requests",
+    "behavior_radius": f"WITH {EVERY_REQUEST} SELECT request_id, behavior, radius, limited FROM requests",
     "event_hours": "SELECT event_id, round(CASE WHEN event_id % 4 <> 0 THEN date_diff('second', date_trunc('day', ts) + to_hours(event_id % 24), TIMESTAMP '2026-10-29 12:00:00') ELSE date_diff('second', date_trunc('day', ts) + to_hours(12), TIMESTAMP '2026-10-29 12:00:00') END / 3600.0, 3) AS hours FROM events",
-    "grid_generate": f"WITH {CELLS} SELECT request_id, row, col, round(lat, 6) AS lat, round(lon, 6) AS lon, round(distance_m, 3) AS distance_m FROM cells",
+    "grid_generate": f"WITH {EVERY_CELL} SELECT request_id, row, col, round(lat, 6) AS lat, round(lon, 6) AS lon, round(distance_m, 3) AS distance_m FROM cells",
     "osm_classify": """SELECT event_id, concat_ws('|', CASE WHEN event_id % 8 = 0 OR event_id % 5 = 2 THEN 'BUILDING_RESIDENTIAL' END, CASE WHEN event_id % 5 = 1 THEN 'COMMERCIAL' END, CASE WHEN event_id % 7 = 0 THEN 'FOOTPATH' END,
         CASE WHEN event_id % 5 = 0 OR event_id % 10 = 0 THEN 'GREEN_SPACE' END, CASE WHEN event_id % 7 = 1 THEN 'MAJOR_ROAD' END, CASE WHEN event_id % 9 = 0 THEN 'RAILWAY_BARRIER' END, CASE WHEN event_id % 7 = 2 THEN 'ROAD' END, CASE WHEN event_id % 6 = 0 THEN 'WATER' END) AS kinds FROM events""",
     "cell_feature_range_join": f"WITH {NEAR} SELECT request_id, row, col, count(*) AS n, round(min(away_m), 3) AS nearest_m FROM near GROUP BY ALL",
@@ -319,7 +321,7 @@ ORACLE_SQL: dict[str, str] = {
     "contributions_largest_remainder": f"""WITH RECURSIVE {CANDIDATES}, parts AS ({_all_parts}),
         r AS (SELECT *, floor(value) AS whole, row_number() OVER (PARTITION BY request_id, cluster_row, cluster_col ORDER BY round(value - floor(value), 9) DESC, place) AS n, priority - sum(floor(value)) OVER (PARTITION BY request_id, cluster_row, cluster_col) AS rest FROM parts)
         SELECT request_id, CAST(cluster_row AS INT) AS cluster_row, CAST(cluster_col AS INT) AS cluster_col, part, CAST(whole + CASE WHEN n <= rest THEN 1 ELSE 0 END AS INT) AS points FROM r""",
-    "fallback_areas": f"""WITH {REQUESTS} SELECT request_id, 1 AS rank, {_core} AS radius_m, 50 AS priority, 'ENVIRONMENT_FALLBACK|LAST_SEEN_LOCATION' AS codes FROM requests
+    "fallback_areas": f"""WITH {EVERY_REQUEST} SELECT request_id, 1 AS rank, {_core} AS radius_m, 50 AS priority, 'ENVIRONMENT_FALLBACK|LAST_SEEN_LOCATION' AS codes FROM requests
         UNION ALL SELECT request_id, 2, least({C.MOST_AREA}, greatest({_core} + 100, CAST(round_even(radius / 3, 0) AS INT))), 40, 'ENVIRONMENT_FALLBACK|EXPANDED_SEARCH_RADIUS' FROM requests""",
     "cache_reuse": f"WITH {GALLERY} SELECT gallery_id, vec_id % 3 <> 1 AND vec_id % 5 <> 0 AS hit FROM gallery",
     "incremental_since": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS updated FROM orders WHERE CAST(o_orderdate AS DATE) > (SELECT max(CAST(o_orderdate AS DATE)) - 30 FROM orders)",

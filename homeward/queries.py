@@ -188,7 +188,7 @@ def wire_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def behavior_radius(spark: SparkSession, sf: str) -> DataFrame:
-    return d.requests(spark, sf).select("request_id", "behavior", "radius", "limited")
+    return d.requests(spark, sf, every=True).select("request_id", "behavior", "radius", "limited")
 
 
 def event_hours(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,7 +199,7 @@ def event_hours(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grid_generate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = areas.grid(d.requests(spark, sf))
+    rows = areas.grid(d.requests(spark, sf, every=True))
     return rows.select("request_id", "row", "col", r("lat", 6).alias("lat"), r("lon", 6).alias("lon"), r("distance_m", 3).alias("distance_m"))
 
 
@@ -273,7 +273,7 @@ def recommend_areas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fallback_areas(spark: SparkSession, sf: str) -> DataFrame:
-    return areas.fallback(d.requests(spark, sf)).select("request_id", "rank", "radius_m", "priority", F.array_join("codes", "|").alias("codes"))
+    return areas.fallback(d.requests(spark, sf, every=True)).select("request_id", "rank", "radius_m", "priority", F.array_join("codes", "|").alias("codes"))
 
 
 def compare_rank_diff(spark: SparkSession, sf: str) -> DataFrame:

@@ -41,9 +41,10 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search-area requests: a query set of the events."""
-    rows = table(spark, sf_dir, "events").where(F.col("event_id") % ASK == 0).selectExpr(
+def requests(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Search-area requests: a query set of the events, or all of them where they meet nothing."""
+    events = table(spark, sf_dir, "events")
+    rows = (events if every else events.where(F.col("event_id") % ASK == 0)).selectExpr(
         "event_id AS request_id", "37.5665D + ((event_id * 7919) % 2000 - 1000) / 5000.0D AS latitude", "126.978D + ((event_id * 104729) % 1999 - 1000) / 5000.0D AS longitude",
         "CASE event_id DIV 50 % 3 WHEN 0 THEN '소형' WHEN 1 THEN '중형' ELSE '대형' END AS size", "CAST(1 + event_id DIV 50 % 90 AS DOUBLE) AS hours",
         """named_struct('activityLevel', CASE user_id % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' END,

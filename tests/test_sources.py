@@ -168,3 +168,10 @@ def test_only_the_last_keyword_of_a_category_is_shown(spark):
 def test_spaces_are_trimmed_whatever_the_place(spark):
     df = spark.createDataFrame([(["a0", "b1", " c "],)], "l array<string>").select(fn.split_tags(F.array_join("l", ","), fn.tag_names(), F.lit(False)).alias("t"))
     assert list(df.first().t) == ["a0", "b1", "c"]
+
+
+def test_now_is_utc(spark):
+    from datetime import datetime, timezone
+
+    got = datetime.fromisoformat(spark.range(1).select(fn.utc_now()).first()[0])
+    assert abs((datetime.now(timezone.utc) - got).total_seconds()) < 60
