@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Sub-groups of a group at most, whose counts one task adds up.
+SUBS = 1 << 17
+
+
 def numbered(df: DataFrame, group: str, order: list[str], rows: int, out: str, each: int = 20_000) -> DataFrame:
     """Numbers 0, 1, ... within each ``group`` as ``out``, using built-in functions only.
 
     A group is dealt over sub-groups by a hash of ``order``, so many that the whole table has
-    about ``each`` rows in one: a group with a third of all rows is spread like any other.
+    about ``each`` rows in one (SUBS sub-groups at most, which then have more and are sorted on
+    disk): a group with a third of all rows is spread like any other.
     Where a sub-group starts follows from the counts of those before it, of which there is one
     row each. Rows equal in ``order`` get different numbers, in either order.
     """
-    parts = max(16, -(-rows // each))
+    parts = max(16, min(SUBS, -(-rows // each)))
     sub = F.pmod(F.xxhash64(*order), F.lit(parts))
     df = df.withColumn("_sub", sub)
     counts = df.groupBy(group, "_sub").agg(F.count("*").alias("_n"))

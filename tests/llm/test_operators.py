@@ -8,10 +8,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from datetime import date, timedelta
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -260,6 +262,73 @@ def test_other_kinds(spark):
     assert changed(spark, text, key="other")[0] != got
 
 
+def plain_feistel(symbols, sizes, key, kind):
+    n, left = len(symbols), len(symbols) // 2
+
+    def moved(half, of, other, step):
+        hexed = hashlib.sha512("|".join([key, kind, str(step), str(n), ",".join(map(str, other))]).encode()).hexdigest()
+        return [(x + int(hexed[i % 32 * 4 : i % 32 * 4 + 4], 16)) % max(size, 1) for i, (x, size) in enumerate(zip(half, of, strict=True))]
+
+    a, b = symbols[:left], symbols[left:]
+    for step in range(10):
+        if step % 2 == 0:
+            a = moved(a, sizes[:left], b, step)
+        else:
+            b = moved(b, sizes[left:], a, step)
+    return a + b
+
+
+def plain_permuted(text, key, kind, classes):
+    own = [next((k for k in classes if c in k), None) for c in text]
+    moved = plain_feistel([k.index(c) if k else 0 for c, k in zip(text, own, strict=True)], [len(k) if k else 1 for k in own], key, kind)
+    return "".join(k[m] if k else c for c, k, m in zip(text, own, moved, strict=True))
+
+
+def test_pseudonyms_by_hand(spark):
+    """Every kind as its rules have it, in plain numbers."""
+    rnd, key = random.Random(21), "a key"
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    check = lambda body: next(c for c in "0123456789" if luhn(body + c))
+    number = lambda t: int("".join(str(int(c, 36)) for c in t))
+    before, expected = [], []
+    for _ in range(12):
+        body = "4" + digits(14)
+        new = plain_permuted(body, key, "card", pii.CLASSES[:1])
+        before.append(body + check(body))
+        expected.append(new + check(new))
+        body = digits(18)
+        land = f"DE{98 - number(body + 'DE00') % 97:02}"
+        new = plain_permuted(body, key, "iban", [pii.CLASSES[0], pii.CLASSES[2]])
+        before.append(land + body)
+        expected.append(f"DE{98 - number(new + 'DE00') % 97:02}{new}")
+        parts = [rnd.randint(0, 255) for _ in range(4)]
+        before.append(".".join(map(str, parts)))
+        expected.append(".".join(map(str, plain_feistel(parts, [256] * 4, key, "ip"))))
+        name = "".join(rnd.choice("abcXYZ019._é") for _ in range(7))
+        before.append(f"m{name}@mail.example")
+        expected.append(f"{plain_permuted('m' + name, key, 'email', pii.CLASSES)}@mail.example")
+        phone = digits(10)
+        new = plain_permuted(phone, key, "phone", pii.CLASSES[:1])
+        before.append(f"({phone[:3]}) {phone[3:6]}-{phone[6:]}")
+        expected.append(f"({new[:3]}) {new[3:6]}-{new[6:]}")
+        area = rnd.choice([x for x in range(1, 900) if x != 666])
+        group, serial = rnd.randint(1, 99), rnd.randint(1, 9999)
+        x = plain_feistel([area - (2 if area > 666 else 1), group - 1, serial - 1], [898, 99, 9999], key, "ssn")
+        before.append(f"{area:03}-{group:02}-{serial:04}")
+        expected.append(f"{x[0] + (2 if x[0] >= 665 else 1):03}-{x[1] + 1:02}-{x[2] + 1:04}")
+        start, a, b = rnd.choice(pii.CENTURIES)
+        n = rnd.randrange(a * b)
+        x = plain_feistel([n // b, n % b], [a, b], key, f"date{start}")
+        day = lambda k: (date.fromisoformat(start) + timedelta(days=k)).isoformat()  # noqa: B023, E731
+        before.append(day(n))
+        expected.append(day(x[0] * b + x[1]))
+        secret = "".join(rnd.choice("0123456789abcdef") for _ in range(31)) + "f"
+        before.append(secret.upper())
+        expected.append(plain_permuted(secret, key, "secret", [pii.HEX_LOW]).upper())
+    got = changed(spark, *(f"x {v} y" for v in before), key=key)
+    assert got == [f"x {v} y" for v in expected]
+
+
 def test_values_with_more_behind_or_before(spark):
     """Numbers and words beside a card or an IBAN do not hide it, and equal values stay linked."""
     card, bank = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
@@ -598,6 +667,19 @@ def test_every_link_lies_under_a_top_node(n):
         assert any(not differ & m for m in masks)
 
 
+def test_groups_are_never_parted():
+    rnd = random.Random(7)
+    for _ in range(200):
+        rows = sorted((rnd.randint(0, 2), rnd.randint(0, 2), rnd.randint(0, 99)) for _ in range(rnd.randint(0, 25)))
+        cuts = sorted(rnd.randint(0, len(rows)) for _ in range(rnd.randint(0, 8)))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in p], pa.int64()) for i in range(3)], list("abc")) for p in parts]
+        got = [list(zip(*(c.tolist() for c in g), strict=True)) for g in simhash.whole_groups(iter(batches), 2)]
+        assert [r for g in got for r in g] == rows
+        seen = [{r[:2] for r in g} for g in got if g]
+        assert sum(map(len, seen)) == len({r[:2] for r in rows})
+
+
 def test_gray_rank():
     codes = np.array([i ^ (i >> 1) for i in range(1000)], np.uint64)
     assert simhash.gray_rank(codes).tolist() == list(range(1000))
