@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of a table at most, whose counts one task adds up.
+RANGES = 1 << 17
+
+
 def reuse(records: DataFrame, cache: DataFrame) -> DataFrame:
     """Records with what the cache has for the same id, url and species; ``hit`` tells which."""
     c = cache.select(F.col("gallery_id").alias("c_id"), F.col("image_url").alias("c_url"), F.col("species").alias("c_species"), F.col("embedding").alias("c_embedding"))
@@ -33,8 +37,8 @@ def batches(rows: DataFrame, key: str, size: int, each: int = 20_000) -> DataFra
     """``rows`` with ``batch``: slices of ``size`` in the order of ``key``, as one sequence.
 
     Rows are dealt by ranges of the key; where a range begins follows from the counts of those
-    before it (one row a range), so no task orders the table."""
-    parts = max(1, -(-planned_rows(rows) // each))
+    before it (one row a range, RANGES at most), so no task orders the table."""
+    parts = max(1, min(RANGES, -(-rows.count() // each)))
     dealt = rows.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
     dealt = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -44,10 +48,6 @@ def batches(rows: DataFrame, key: str, size: int, each: int = 20_000) -> DataFra
     return out.withColumn("batch", F.floor((F.col("_start") + F.col("_at")) / size).cast("long")).drop("_part", "_at", "_p", "_start")
 
 
-def planned_rows(rows: DataFrame) -> int:
-    return rows.count()
-
-
 def text_batches(rows: DataFrame, role: str, text: str, size: int = 32) -> DataFrame:
     """The different texts of each role once, in batches of ``size``: what a text encoder is given."""
     return batches(rows.select(role, F.trim(text).alias(text)).where(F.col(text) != "").distinct().withColumn("_k", F.struct(role, text)), "_k", size).drop("_k")
