@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import gc
 import math
@@ -38,12 +40,18 @@ class Scratch:
     """Intermediate tables of one query, in the shared folder.
 
     Writing a table cuts the lineage: a lost executor costs the tasks of one step. Once a
-    table is written, the shuffle files of the step behind it are released.
+    table is written, the shuffle files of the step behind it are released. A result may read
+    tables until it is written itself, so the folder goes when the driver ends, or with ``clear``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/homeward/{name}-{uuid.uuid4().hex}"
+        ended(spark, self.root)
+
+    def clear(self) -> None:
+        """All tables go; results that read them must have been written."""
+        deleted(self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration(), self.root)
 
     def path(self, step: str) -> str:
         return f"{self.root}/{step}"
@@ -62,9 +70,28 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(self.path(step))
 
     def drop(self, step: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(step))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        deleted(self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration(), self.path(step))
+
+
+def deleted(jvm, conf, path: str) -> None:
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+_folders: list[tuple] = []
+
+
+def ended(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the driver ends."""
+    if not _folders:
+        atexit.register(_delete_folders)
+    _folders.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
+
+
+def _delete_folders() -> None:
+    while _folders:
+        with contextlib.suppress(Exception):  # the JVM may have ended before; its folder is then left to whoever cleans the store
+            deleted(*_folders.pop())
 
 
 def input_bytes(df: DataFrame, text: str) -> int:

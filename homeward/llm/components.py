@@ -13,8 +13,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
 
     Each round hangs every node's larger neighbours on its least one, then its smaller ones; the
     longest path shrinks by a factor. Edges only ever become fewer. Each round is written, so a
-    lost executor costs one step; no neighbourhood is gathered in one place, as minima are
-    aggregated before the shuffle and joined back.
+    lost executor costs one step. Minima are aggregated before the shuffle; the edges of a node with
+    very many neighbours do meet its minimum under one key, in a join whose partitions Spark splits.
     """
     at = scratch.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
     mark, step = None, 0

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from homeward.llm.common import fresh
+
 ROUNDS = 10
 #: Characters that a pseudonym keeps within their class; any other character stays.
 CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"]
@@ -237,12 +239,16 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "n_values") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and the number of values replaced as ``found``.
 
-    All rows and the other columns stay. A null text stays null, with 0 values; texts without
-    personal data stay as they are, byte for byte. Repeated rows change alike.
+    All rows and the other columns stay, whatever their names; a column named as ``found`` is
+    replaced. A null text stays null, with 0 values, an empty one empty; texts without personal
+    data stay as they are, byte for byte; very long ones are searched whole. Repeated rows change
+    alike, null ids change nothing, an empty table gives an empty one.
     """
-    values, new, looks, cols = "_pii_values", "_pii_new", "_pii_looks", docs.columns
-    df = docs.withColumns({f"_pii_{k}": valid_values(F.col(text), k) for k in LENGTHS})
-    df = df.withColumn(looks, scanned({k: F.col(f"_pii_{k}") for k in LENGTHS}))
+    cols = docs.columns
+    values, new, looks = (fresh(f"_pii_{c}", cols) for c in ("values", "new", "looks"))
+    own = {k: fresh(f"_pii_{k}", cols) for k in LENGTHS}
+    df = docs.withColumns({own[k]: valid_values(F.col(text), k) for k in LENGTHS})
+    df = df.withColumn(looks, scanned({k: F.col(own[k]) for k in LENGTHS}))
     df = df.withColumn(values, F.regexp_extract_all(F.col(text), F.col(looks), F.lit(0)))
     df = df.withColumn(new, F.when(F.size(values) > 0, F.transform(values, lambda m: pseudonym(m, key))))
     between = F.split(F.col(text), F.col(looks), -1)
