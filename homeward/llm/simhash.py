@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm.common import Scratch, giving_back, slices
+from homeward.llm.common import Scratch, fresh, giving_back, slices
 from homeward.llm.components import components
 
 SEED = 42
@@ -30,6 +30,8 @@ FAN = 16
 CHUNK = 1 << 20
 #: Texts of a bucket that are first held against all others; so many times more in each further round.
 HEADS = 8
+#: A fingerprint is hot if more than one row in so many has it.
+HOT = 1000
 #: Text in which frequent shingles are looked for.
 SAMPLE_BYTES = 1 << 24
 
@@ -158,6 +160,29 @@ def linked(fps: np.ndarray, radius: int) -> np.ndarray:
     return rooted(labels)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, cut where the first ``n`` change, so that no group is parted.
+
+    What is held is put together once, when a batch ends the group that it belongs to."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [c.to_numpy() for c in batch.columns]
+        last = np.ones(batch.num_rows, bool)  # rows of the last group, which may go on
+        for c in new[:n]:
+            last &= c == c[-1]
+        start = int(np.argmax(last))
+        goes_on = not held or all(h[-1] == c[0] for h, c in zip(held[-1][:n], new[:n], strict=True))
+        if start or not goes_on:
+            held.append([c[:start] for c in new])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        held.append([c[start:] for c in new])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def links(fps: DataFrame, radius: int, n: int) -> DataFrame:
     """(t, a, b): links that connect whatever distinct fingerprints ``fp`` of one ``t`` are connected.
 
@@ -186,33 +211,21 @@ def links(fps: DataFrame, radius: int, n: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array((of // np.uint64(len(masks))).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["t", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = [batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            m, key, _ = held
-            open_ = np.flatnonzero((m != m[-1]) | (key != key[-1]))  # the last group may go on
-            if len(open_):
-                end = int(open_[-1]) + 1
-                yield search(*(x[:end] for x in held))
-                held = [x[end:] for x in held]
-        if len(held[0]):
-            yield search(*held)
+        for m, key, fp in whole_groups(batches, 2):
+            yield search(m.astype(np.int64), key, fp.view(np.uint64))
 
     return dealt.mapInArrow(giving_back(run), "t int, a bigint, b bigint")
 
 
 def classes(found: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """(fp, component_id) of the distinct fingerprints of ``found`` (doc_id, fp)."""
-    own = scratch.written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    """(fp, component_id, n) of the distinct fingerprints of ``found`` (doc_id, fp); n rows have it."""
+    own = scratch.written(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     n = own.count()
     cc = components(scratch.written(links(own.select(F.lit(0).alias("t"), "fp"), radius, n).select("a", "b"), "links"), scratch)
     named = cc.join(own, F.col("node") == F.col("fp"))
     roots = named.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "r")
     named = named.join(roots, F.col("root") == F.col("r")).select(F.col("node"), "component")
-    return own.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    return own.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component_id"), "n")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -224,8 +237,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, radi
     """
     scratch = scratch or Scratch(spark, "simhash")
     found = scratch.written(fingerprints(docs, shingle, key, text), "fps")
-    named = classes(found, radius, scratch).withColumnRenamed("fp", "f")
-    return found.join(named, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = scratch.written(classes(found, radius, scratch).withColumnRenamed("fp", "f"), "named")
+    # a fingerprint that very many rows have (copies, texts without words) is no key of the join:
+    # there are at most HOT such, and every task may hold them
+    total = found.count()
+    hot = F.broadcast(named.where(F.col("n") * HOT > total).select(F.col("f").alias("h"), F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot")))
+    rows = found.join(hot, F.col("fp") == F.col("h"), "left")
+    shown = lambda c: ("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col(c).alias("component_id"))
+    rest = rows.where("is_hot IS NULL").select("doc_id", "fp").join(named, F.col("fp") == F.col("f"))
+    return rest.select(*shown("component_id")).unionByName(rows.where("is_hot").select(*shown("hot_id")))
 
 
 def sketches(docs: DataFrame, shingle: int, tables: int, verify: int, key: str, text: str) -> DataFrame:
@@ -346,18 +366,8 @@ def buckets(dealt: DataFrame, over: int = 1) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(token[starts]), *(pa.ListArray.from_arrays(offsets, pa.array(x[at])) for x in (th, n, pos, root))], ["token", "ths", "ns", "poss", "roots"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = [c.to_numpy() for c in batch.columns]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            end = int(np.searchsorted(held[0], held[0][-1]))  # the last token may go on
-            if end:
-                yield gathered(*(x[:end] for x in held))
-                held = [x[end:] for x in held]
-        if held is not None:
-            yield gathered(*held)
+        for columns in whole_groups(batches, 1):
+            yield gathered(*columns)
 
     return dealt.select("token", "th", "n", "pos", "root").mapInArrow(giving_back(run), BUCKET)
 
@@ -479,6 +489,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 5, similari
     lost = member.join(first, F.col("root") == F.col("r")).where(F.col("node") != F.col("first.node")).select(F.col("node").alias("l"))
     rows = found.select("id", "th").join(texts.select(F.col("node").alias("h"), "least_id"), F.col("th") == F.col("h")).join(lost, F.col("th") == F.col("l"), "left")
     out = rows.where(F.col("id").isNull() | (F.col("id") != F.col("least_id")) | F.col("l").isNotNull()).select(F.col("id").alias("_i"), F.col("th").alias("_h")).distinct()
-    kept = docs.withColumn("_th", F.xxhash64(body))
-    kept = kept.join(out, F.col(key).cast("long").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")), "left_anti")
-    return kept.dropDuplicates([key, "_th"]).drop("_th")
+    th, i, h = (fresh(c, docs.columns) for c in ("_th", "_i", "_h"))
+    kept = docs.withColumn(th, F.xxhash64(body))
+    out = out.withColumnsRenamed({"_i": i, "_h": h})
+    kept = kept.join(out, F.col(key).cast("long").eqNullSafe(F.col(i)) & (F.col(th) == F.col(h)), "left_anti")
+    return kept.dropDuplicates([key, th]).drop(th)
