@@ -366,7 +366,7 @@ def round_trip(spark: SparkSession, pages: DataFrame, date: str = "2024010100000
     arcs = scratch.written(to_arc(pages, date), "arc")
     write_archives(convert(arcs, least, scratch=scratch), scratch.path("warc"))
     scratch.release()
-    found = read_archives(spark, scratch.path("warc"))
+    found = scratch.written(read_archives(spark, scratch.path("warc")), "read")
     to = found.where("record_type = 'response'").groupBy(F.col("rid").alias("r")).agg(F.max("page_id").alias("refers_to"))
     own = found.where("record_type = 'revisit'").join(to, F.col("to_rid") == F.col("r"))
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
