@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Raw text bytes that one step of a Python worker holds as Python objects.
 SLICE_BYTES = 4 << 20
+#: Bits that tell which texts need to be looked at again.
+MARKS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,6 +131,21 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
     yield batch.slice(start)
 
 
+def marks(rows: DataFrame) -> np.ndarray:
+    """A bit for each value of ``th`` modulo MARKS, set for those in ``rows``: which texts need to be
+    looked at again. A text more costs time and changes nothing, so the bits may be few."""
+    found = rows.select(F.pmod("th", F.lit(MARKS)).cast("int").alias("i")).distinct().toArrow()  # at most MARKS numbers
+    out = np.zeros(MARKS, bool)
+    out[found.column("i").to_numpy()] = True
+    return np.packbits(out, bitorder="little")
+
+
+def marked(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows whose ``th`` has its bit in ``marks``."""
+    i = batch.column("th").to_numpy() & np.int64(MARKS - 1)
+    return batch.filter(pa.array((bits[i >> 3] >> (i & 7).astype(np.uint8) & 1).astype(bool)))
+
+
 def giving_back(run):
     """``run`` over Arrow batches, giving free memory back to the system when a task ends. Workers
     are used again by later tasks, and what an idle one holds is missing to the others."""

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm.common import Scratch, giving_back, slices
+from homeward.llm.common import Scratch, giving_back, marked, marks, slices
 from homeward.llm.hashing import ODD, mixed, rolling
 
 LEAST = 400
@@ -36,8 +36,6 @@ CELL = 16
 CHUNK, PLACE_BITS = 1 << 19, 21
 #: Different runs of one anchor that are compared at once: a few, or so small a part of all.
 FEW, PART = 64, 1_000_000
-#: Bits that tell which texts need to be looked at again.
-MARKS = 1 << 20
 #: Bytes that one transform holds, but for a larger group.
 BLOCK_BYTES = 1 << 19
 
@@ -115,15 +113,6 @@ def chunks(texts: list[bytes], least: int) -> Iterator[tuple[list[int], list[int
 ROWS = "key bigint, c1 bigint, c2 bigint, doc_id bigint, th bigint, n int, phase int, m bigint, ats array<int>"
 
 
-def marks(rows: DataFrame) -> np.ndarray:
-    """A bit for each value of ``th`` modulo MARKS, set for those in ``rows``: which texts need to be
-    looked at again. A text more costs time and changes nothing, so the bits may be few."""
-    found = rows.select(F.pmod("th", F.lit(MARKS)).cast("int").alias("i")).distinct().toArrow()  # at most MARKS numbers
-    out = np.zeros(MARKS, bool)
-    out[found.column("i").to_numpy()] = True
-    return np.packbits(out, bitorder="little")
-
-
 def segments(docs: DataFrame, least: int, hot: list[int] | None = None, hotter: list[int] | None = None, only: np.ndarray | None = None) -> DataFrame:
     """A row for each distinct run of a part of a text: its key, the hash of its bytes (128
     bits), its windows and phase, how often it occurs there and where. ``only``: see ``marks``."""
@@ -131,10 +120,7 @@ def segments(docs: DataFrame, least: int, hot: list[int] | None = None, hotter:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if only is not None:
-                i = batch.column("th").to_numpy() & np.int64(MARKS - 1)
-                batch = batch.filter(pa.array((only[i >> 3] >> (i & 7).astype(np.uint8) & 1).astype(bool)))
-            for part in slices(batch, "text"):
+            for part in slices(batch if only is None else marked(batch, only), "text"):
                 texts = part.column("text").to_pylist()
                 for which, places, parts in chunks([t or b"" for t in texts], least):
                     sizes = np.array([len(p) for p in parts], np.int64)

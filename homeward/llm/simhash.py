@@ -21,14 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm.common import Scratch, fresh, giving_back, slices
+from homeward.llm.common import Scratch, fresh, giving_back, marked, marks, slices
 from homeward.llm.components import components
 
 SEED = 42
 FAN = 16
 #: Pairs of fingerprints compared at once.
 CHUNK = 1 << 20
-#: Texts of a bucket that are first held against all others; so many times more in each further round.
+#: After the first text of a bucket, so many are held against all others; so many times more in each
+#: further round.
 HEADS = 8
 #: A fingerprint is hot if more than one row in so many has it.
 HOT = 1000
@@ -278,16 +279,17 @@ def sketches(docs: DataFrame, shingle: int, tables: int, verify: int, key: str,
     return src.mapInArrow(giving_back(run), "id bigint, th bigint, size bigint, fps array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(th, own): the distinct hashes of the shingles of ``t``."""
+def shingle_sets(docs: DataFrame, size: int, only: np.ndarray) -> DataFrame:
+    """(th, own): the distinct hashes of the shingles of ``t``, for texts that have their bit in ``only``
+    (see ``marks``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(marked(batch, only), "t"):
                 found = [sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles(t, size)}) for t in part.column("t").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("th"), pa.array(found, pa.list_(pa.int64()))], ["th", "own"])
 
-    return docs.mapInArrow(giving_back(run), "th bigint, own array<bigint>")
+    return docs.select("th", "t").mapInArrow(giving_back(run), "th bigint, own array<bigint>")
 
 
 def least_shared(n: np.ndarray, share: float) -> np.ndarray:
@@ -409,14 +411,17 @@ def close_pairs(found: DataFrame, similarity: float, low: int, high: int) -> Dat
 
 def alike(rows: DataFrame, pairs: DataFrame, size: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
     """Those of ``pairs`` (a, b) of texts whose shingles have a Jaccard similarity of ``similarity``."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    sets = scratch.written(shingle_sets(rows.join(ends, F.col("th") == F.col("h")).select("th", "t").dropDuplicates(["th"]), size), f"{name}_sets")
+    ends = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), f"{name}_ends")
+    # texts are picked where they are read, by a bit each, and only their sets are shuffled
+    sets = shingle_sets(rows, size, marks(ends)).join(ends, "th", "left_semi").dropDuplicates(["th"])
+    sets = scratch.written(sets, f"{name}_sets")
     one, two = (sets.select(F.col("th").alias(f"h{c}"), F.col("own").alias(f"own{c}")) for c in "ab")
     both = F.size(F.array_intersect("owna", "ownb"))
     every = F.size("owna") + F.size("ownb") - both
     held = pairs.join(one, F.col("a") == F.col("ha")).join(two, F.col("b") == F.col("hb"))
     out = scratch.written(held.where(both >= F.lit(similarity) * every).select("a", "b"), name)
     scratch.drop(f"{name}_sets")
+    scratch.drop(f"{name}_ends")
     return out
 
 
@@ -433,15 +438,15 @@ def similar(rows: DataFrame, seeds: DataFrame, size: int, similarity: float, scr
 
     ``seeds`` are pairs to try first, each ``a`` once and no ``b`` an ``a``. Then all texts that
     share one of their rarest shingles meet in that shingle's bucket, which pairs of
-    ``similarity`` cannot avoid. In each, a few texts are held against all others, then eight
-    times as many and so on; buckets all of whose texts are connected by then are left out, so a
-    large group of copies does not cost its square.
+    ``similarity`` cannot avoid. In each, one text is held against all others, then a few, then
+    eight times as many and so on; buckets all of whose texts are connected by then are left out,
+    so a large group of copies costs little more than one pair for each of them.
     """
     found = alike(rows, seeds, size, similarity, scratch, "alike0")
     roots = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
     dealt = prefixes(rows, size, similarity, common_shingles(rows, size)).withColumn("root", F.col("th"))
     open_ = scratch.written(buckets(dealt), "buckets0")
-    low, high, step = 0, HEADS, 0
+    low, high, step = 0, 1, 0
     while not open_.isEmpty():
         step += 1
         near = scratch.written(rooted_pairs(close_pairs(open_, similarity, low, high), roots), f"pairs{step}")
@@ -454,7 +459,7 @@ def similar(rows: DataFrame, seeds: DataFrame, size: int, similarity: float, scr
         each = each.select("token", F.col("x.ths").alias("th"), F.col("x.ns").alias("n"), F.col("x.poss").alias("pos"))
         each = each.join(roots, F.col("th") == F.col("node"), "left").withColumn("root", F.coalesce("root", "th"))
         open_ = scratch.written(buckets(each, high), f"buckets{step}")
-        low, high = high, high * max(HEADS, 2)
+        low, high = high, high * max(HEADS, 2)  # 1, 8, 64 ...
     return found
 
 
