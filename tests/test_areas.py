@@ -76,6 +76,15 @@ def test_range_join_is_the_theta_join(spark):
     assert got and got == sorted((r.request_id, round(r.latitude, 9)) for r in every.collect())
 
 
+def test_range_join_is_never_a_broadcast(spark):
+    """Sizes before explode seem small enough for one, the exploded features are not."""
+    cells = spark.range(10).selectExpr("id AS request_id", "0 AS row", "0 AS col", f"{AT[0]}D + id * 1e-6D AS lat", f"{AT[1]}D + id * 1e-6D AS lon")
+    features = spark.range(10).selectExpr(f"{AT[0]}D + id * 1e-6D AS latitude", f"{AT[1]}D + id * 1e-6D AS longitude", "array('ROAD') AS kinds")
+    plan = areas.near(cells, features)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert areas.near(cells, features).count() == 100
+
+
 def test_strength_falls_with_distance(spark):
     cells = spark.createDataFrame([(1, 0, 0, *AT)], "request_id long, row int, col int, lat double, lon double")
     for metres, strength in ((0, 1.0), (75, 0.75), (150, 0.5), (225, 0.25), (299.999, 0.0)):
