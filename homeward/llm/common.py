@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import ctypes
 import gc
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from homeward.shared import deleted, ended, shared_dir
+
 #: Raw text bytes that one step of a Python worker holds as Python objects.
 SLICE_BYTES = 4 << 20
 #: Bits that tell which texts need to be looked at again.
@@ -28,17 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured (tests)."""
-    found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="homeward-")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Intermediate tables of one query, in the shared folder.
 
@@ -76,27 +63,6 @@ class Scratch:
         deleted(self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration(), self.path(step))
 
 
-def deleted(jvm, conf, path: str) -> None:
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).delete(at, True)
-
-
-_folders: list[tuple] = []
-
-
-def ended(spark: SparkSession, path: str) -> None:
-    """Has a folder deleted when the driver ends."""
-    if not _folders:
-        atexit.register(_delete_folders)
-    _folders.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
-
-
-def _delete_folders() -> None:
-    while _folders:
-        with contextlib.suppress(Exception):  # the JVM may have ended before; its folder is then left to whoever cleans the store
-            deleted(*_folders.pop())
-
-
 def input_bytes(df: DataFrame, text: str) -> int:
     """Catalyst's size of a file scan; sources without one are measured."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from homeward.shared import held
 
 #: Ranges of a table at most, whose counts one task adds up.
 RANGES = 1 << 17
@@ -37,10 +38,12 @@ def batches(rows: DataFrame, key: str, size: int, each: int = 20_000) -> DataFra
     """``rows`` with ``batch``: slices of ``size`` in the order of ``key``, as one sequence.
 
     Rows are dealt by ranges of the key; where a range begins follows from the counts of those
-    before it (one row a range, RANGES at most), so no task orders the table."""
+    before it (one row a range, RANGES at most), so no task orders the table. Ranges follow a sample
+    that another run of the same plan does not repeat, so rows and counts are read from one table."""
     parts = max(1, min(RANGES, -(-rows.count() // each)))
     dealt = rows.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
     dealt = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
+    dealt = held(dealt, "batches")
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

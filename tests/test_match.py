@@ -151,3 +151,9 @@ def test_batches_and_summary(spark):
         got = {r.id: r.batch for r in ingest.batches(spark.range(130), "id", 7, each).collect()}
         assert got == {i: i // 7 for i in range(130)}
     assert ingest.summary(spark.range(5), F.col("id") > 1).first().asDict() == {"seen": 5, "upserted": 3, "skipped": 2}
+
+
+def test_batches_of_more_rows_than_ranges_are_sampled_from(spark):
+    rows = spark.range(40_000).selectExpr("IF(id % 2 = 0, 'a', 'b') AS role", "sha1(CAST(id AS STRING)) AS text").distinct()
+    got = ingest.batches(rows.selectExpr("*", "struct(role, text) AS k"), "k", 32, 2_000).orderBy("role", "text").collect()
+    assert len(got) == 40_000 and [r.batch for r in got] == [i // 32 for i in range(40_000)]
