@@ -409,8 +409,59 @@ def close_pairs(found: DataFrame, similarity: float, low: int, high: int) -> Dat
     return found.select("ths", "ns", "poss", "roots").mapInArrow(giving_back(run), "a bigint, b bigint").distinct()
 
 
-def alike(rows: DataFrame, pairs: DataFrame, size: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) of texts whose shingles have a Jaccard similarity of ``similarity``."""
+def bitmaps(rows: DataFrame, size: int) -> DataFrame:
+    """(th, n, bits): of each different text of ``rows`` (th, t) its number of shingles, and a bitmap
+    of 0.6 to 1.2 times as many bits; a bit tells whether the number of shingles on it is odd."""
+
+    def bits(own: np.ndarray) -> bytes:
+        width = max(64, 1 << int(np.ceil(np.log2(0.6 * len(own)))))
+        odd = np.bincount((own & np.int64(width - 1)).astype(np.int64), minlength=width) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                sets = hashed_sets(part.column("t").to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([part.column("th"), pa.array([len(x) for x in sets], pa.int32()), pa.array([bits(x) for x in sets], pa.binary())], ["th", "n", "bits"])
+
+    return rows.select("th", "t").mapInArrow(giving_back(run), "th bigint, n int, bits binary").dropDuplicates(["th"])
+
+
+def differing(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """In how many bits the bitmaps of each pair differ; the longer one is folded to the shorter."""
+    widths = np.array([[len(x), len(y)] for x, y in zip(one, two, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(one), np.int64)
+    for w in np.unique(widths, axis=0):
+        at = np.flatnonzero((widths == w).all(axis=1))
+        x, y = (np.frombuffer(b"".join(side[i] for i in at), np.uint64).reshape(len(at), -1, w.min() // 8) for side in (one, two))
+        out[at] = np.bitwise_count(np.bitwise_xor.reduce(x, axis=1) ^ np.bitwise_xor.reduce(y, axis=1)).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def likely(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (a, b) without those that ``bitmaps`` show to be less alike than ``similarity``.
+
+    No pair that is alike is lost: two bitmaps differ in no more bits than two sets in shingles. A
+    bitmap has a thirtieth or less of the bytes of a set, so most pairs end before sets are moved."""
+    held = pairs
+    for c in "ab":
+        held = held.join(maps.select(F.col("th").alias(f"h{c}"), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")), F.col(c) == F.col(f"h{c}"))
+    held = held.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9).select("a", "b", "na", "nb", "bitsa", "bitsb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            near = differing(batch.column("bitsa").to_pylist(), batch.column("bitsb").to_pylist()) <= n * ((1 - similarity) / (1 + similarity)) + 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return held.mapInArrow(run, "a bigint, b bigint")
+
+
+def alike(rows: DataFrame, pairs: DataFrame, maps: DataFrame, size: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
+    """Those of ``pairs`` (a, b) of texts whose shingles have a Jaccard similarity of ``similarity``.
+
+    ``maps``: the texts' ``bitmaps``."""
+    pairs = scratch.written(likely(pairs, maps, similarity), f"{name}_likely")
     ends = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), f"{name}_ends")
     # texts are picked where they are read, by a bit each, and only their sets are shuffled
     sets = shingle_sets(rows, size, marks(ends)).join(ends, "th", "left_semi").dropDuplicates(["th"])
@@ -420,8 +471,8 @@ def alike(rows: DataFrame, pairs: DataFrame, size: int, similarity: float, scrat
     every = F.size("owna") + F.size("ownb") - both
     held = pairs.join(one, F.col("a") == F.col("ha")).join(two, F.col("b") == F.col("hb"))
     out = scratch.written(held.where(both >= F.lit(similarity) * every).select("a", "b"), name)
-    scratch.drop(f"{name}_sets")
-    scratch.drop(f"{name}_ends")
+    for step in ("likely", "ends", "sets"):
+        scratch.drop(f"{name}_{step}")
     return out
 
 
@@ -442,7 +493,8 @@ def similar(rows: DataFrame, seeds: DataFrame, size: int, similarity: float, scr
     eight times as many and so on; buckets all of whose texts are connected by then are left out,
     so a large group of copies costs little more than one pair for each of them.
     """
-    found = alike(rows, seeds, size, similarity, scratch, "alike0")
+    maps = scratch.written(bitmaps(rows, size), "bitmaps")
+    found = alike(rows, seeds, maps, size, similarity, scratch, "alike0")
     roots = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
     dealt = prefixes(rows, size, similarity, common_shingles(rows, size)).withColumn("root", F.col("th"))
     open_ = scratch.written(buckets(dealt), "buckets0")
@@ -450,7 +502,7 @@ def similar(rows: DataFrame, seeds: DataFrame, size: int, similarity: float, scr
     while not open_.isEmpty():
         step += 1
         near = scratch.written(rooted_pairs(close_pairs(open_, similarity, low, high), roots), f"pairs{step}")
-        found = found.unionByName(alike(rows, near, size, similarity, scratch, f"alike{step}"))
+        found = found.unionByName(alike(rows, near, maps, size, similarity, scratch, f"alike{step}"))
         large = open_.where(F.size("ths") > high)
         if large.isEmpty():
             break

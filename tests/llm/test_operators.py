@@ -734,6 +734,25 @@ def test_truncated_and_appended_copies_go(spark):
     assert got == {10 * i for i in range(60)}
 
 
+def test_bitmaps_lose_no_pair_that_is_alike(spark):
+    rnd = random.Random(31)
+    texts = [""]
+    for n in (1, 4, 6, 40, 130, 430, 900):
+        words = [f"w{rnd.randrange(1000)}" for _ in range(n)]
+        texts += [" ".join(words[: max(1, int(n * share))]) for share in (1, 0.95, 0.85, 0.75, 0.4)]
+        texts.append(" ".join(f"v{rnd.randrange(1000)}" for _ in range(n)))
+    texts = sorted(set(texts))
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "th long, t binary")
+    pairs = spark.createDataFrame([(i, j) for i in range(len(texts)) for j in range(i)], "a long, b long")
+    left = {tuple(r) for r in simhash.likely(pairs, simhash.bitmaps(rows, 5), 0.8).collect()}
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    share = lambda x, y: len(x & y) / max(1, len(x | y))
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if share(sets[i], sets[j]) >= 0.8}
+    assert near and near <= left
+    # of the others those go that have little in common
+    assert not [p for p in left - near if share(*(sets[i] for i in p)) < 0.4 and max(len(sets[i]) for i in p) > 20]
+
+
 @pytest.mark.parametrize("heads", [1, 8])
 def test_exact_join_connects_all_pairs(spark, monkeypatch, heads):
     monkeypatch.setattr(simhash, "HEADS", heads)
