@@ -411,7 +411,7 @@ def close_pairs(found: DataFrame, similarity: float, low: int, high: int) -> Dat
 
 def bitmaps(rows: DataFrame, size: int) -> DataFrame:
     """(th, n, bits): of each different text of ``rows`` (th, t) its number of shingles, and a bitmap
-    of 0.6 to 1.2 times as many bits; a bit tells whether the number of shingles on it is odd."""
+    of 0.6 to 1.2 times as many bits, at least 64; a bit tells whether the number of shingles on it is odd."""
 
     def bits(own: np.ndarray) -> bytes:
         width = max(64, 1 << int(np.ceil(np.log2(0.6 * len(own)))))
@@ -442,7 +442,8 @@ def likely(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
     """``pairs`` (a, b) without those that ``bitmaps`` show to be less alike than ``similarity``.
 
     No pair that is alike is lost: two bitmaps differ in no more bits than two sets in shingles. A
-    bitmap has a thirtieth or less of the bytes of a set, so most pairs end before sets are moved."""
+    bitmap of 30 shingles or more has at most a thirtieth of the bytes of their set, so pairs that
+    it rejects end before sets are moved."""
     held = pairs
     for c in "ab":
         held = held.join(maps.select(F.col("th").alias(f"h{c}"), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")), F.col(c) == F.col(f"h{c}"))
