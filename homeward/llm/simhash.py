@@ -33,8 +33,10 @@ CHUNK = 1 << 20
 HEADS = 8
 #: A fingerprint is hot if more than one row in so many has it.
 HOT = 1000
-#: Text in which frequent shingles are looked for.
-SAMPLE_BYTES = 1 << 24
+#: Frequent shingles are looked for in one text of so many, and in so many bytes at least.
+SAMPLE_EVERY, SAMPLE_BYTES = 4, 1 << 24
+#: So many of them are held by each task at most, eight bytes each.
+COMMON = 1 << 19
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -302,11 +304,13 @@ def hashed_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return [np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, size)] or [0], np.uint64).view(np.int64)) for t in texts]
 
 
-def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
+def common_shingles(rows: DataFrame, size: int, scratch: Scratch) -> np.ndarray:
     """Hashes of frequent shingles, the most frequent last, judged by a sample of ``rows`` (th, t).
 
-    They only decide in which order shingles are taken, so any sample will do."""
-    every = max(1, (rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // SAMPLE_BYTES)
+    They only decide in which order shingles are taken, so any sample will do. It grows with ``rows``:
+    in one of a fixed size a shingle that a fixed part of all texts has is met as often however many
+    texts there are, and a bucket of texts would grow with their number before it is known."""
+    every = min(SAMPLE_EVERY, max(1, (rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // SAMPLE_BYTES))
     sample = rows.where(F.pmod("th", F.lit(every)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,9 +318,16 @@ def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
             for part in slices(batch, "t"):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashed_sets(part.column("t").to_pylist(), size)))], ["h"])
 
-    counted = sample.select("t").mapInArrow(giving_back(run), "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n >= 4")
-    found = counted.orderBy(F.desc("n"), "h").limit(1 << 16).collect()
-    return np.array([r.h for r in reversed(found)], np.int64)
+    counted = sample.select("t").mapInArrow(giving_back(run), "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
+    counted = scratch.written(counted, "common")
+    # as many as may be held, from the most frequent on: numbers of texts, not the shingles, are put in order
+    numbers = counted.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("shingles")).orderBy(F.desc("n")).collect()
+    held = np.cumsum([r.shingles for r in numbers]) if numbers else np.zeros(0, np.int64)
+    least = next((r.n for r, all_ in zip(reversed(numbers), held[::-1].tolist(), strict=True) if all_ <= COMMON), 1 << 62)
+    found = counted.where(F.col("n") >= least).toArrow()
+    scratch.drop("common")
+    h, n = (found.column(c).to_numpy() for c in ("h", "n"))
+    return h[np.lexsort((h, n))]
 
 
 def prefixes(rows: DataFrame, size: int, similarity: float, common: np.ndarray) -> DataFrame:
@@ -374,6 +385,23 @@ def buckets(dealt: DataFrame, over: int = 1) -> DataFrame:
     return dealt.select("token", "th", "n", "pos", "root").mapInArrow(giving_back(run), BUCKET)
 
 
+def of_other_texts(found: DataFrame) -> DataFrame:
+    """Of all buckets that hold the same texts, the one of the token that comes first.
+
+    No pair is lost: shingles have one order in all texts, so the token that comes first in one of
+    these texts does in each, and where it stands allows for most."""
+    same = found.groupBy("ths").agg(F.min_by(F.struct("token", "ns", "poss", "roots"), F.get("poss", F.lit(0))).alias("x"))
+    return same.select("x.token", "ths", "x.ns", "x.poss", "x.roots")
+
+
+def rooted_buckets(found: DataFrame, roots: DataFrame, over: int) -> DataFrame:
+    """``buckets`` of the texts of ``found`` under their ``roots`` (node, root)."""
+    each = found.select("token", F.explode(F.arrays_zip("ths", "ns", "poss")).alias("x"))
+    each = each.select("token", F.col("x.ths").alias("th"), F.col("x.ns").alias("n"), F.col("x.poss").alias("pos"))
+    each = each.join(roots, F.col("th") == F.col("node"), "left").withColumn("root", F.coalesce("root", "th"))
+    return buckets(each, over)
+
+
 def close_pairs(found: DataFrame, similarity: float, low: int, high: int) -> DataFrame:
     """(a, b): in each bucket, the texts at the places from ``low`` to ``high`` with all behind
     them, if they have different roots, and their numbers of shingles and the token's places
@@ -490,15 +518,17 @@ def similar(rows: DataFrame, seeds: DataFrame, size: int, similarity: float, scr
 
     ``seeds`` are pairs to try first, each ``a`` once and no ``b`` an ``a``. Then all texts that
     share one of their rarest shingles meet in that shingle's bucket, which pairs of
-    ``similarity`` cannot avoid. In each, one text is held against all others, then a few, then
+    ``similarity`` cannot avoid; of buckets of the same texts there is one. In each, one text is held against all others, then a few, then
     eight times as many and so on; buckets all of whose texts are connected by then are left out,
     so a large group of copies costs little more than one pair for each of them.
     """
     maps = scratch.written(bitmaps(rows, size), "bitmaps")
     found = alike(rows, seeds, maps, size, similarity, scratch, "alike0")
     roots = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    dealt = prefixes(rows, size, similarity, common_shingles(rows, size)).withColumn("root", F.col("th"))
-    open_ = scratch.written(buckets(dealt), "buckets0")
+    dealt = prefixes(rows, size, similarity, common_shingles(rows, size, scratch)).withColumn("root", F.col("th"))
+    each = scratch.written(of_other_texts(buckets(dealt)), "sets0")
+    open_ = scratch.written(rooted_buckets(each, roots, 1), "buckets0")
+    scratch.drop("sets0")
     low, high, step = 0, 1, 0
     while not open_.isEmpty():
         step += 1
@@ -508,10 +538,7 @@ def similar(rows: DataFrame, seeds: DataFrame, size: int, similarity: float, scr
         if large.isEmpty():
             break
         roots = scratch.written(components(found, scratch, f"joined{step}-"), f"roots{step}")
-        each = large.select("token", F.explode(F.arrays_zip("ths", "ns", "poss")).alias("x"))
-        each = each.select("token", F.col("x.ths").alias("th"), F.col("x.ns").alias("n"), F.col("x.poss").alias("pos"))
-        each = each.join(roots, F.col("th") == F.col("node"), "left").withColumn("root", F.coalesce("root", "th"))
-        open_ = scratch.written(buckets(each, high), f"buckets{step}")
+        open_ = scratch.written(rooted_buckets(large, roots, high), f"buckets{step}")
         low, high = high, high * max(HEADS, 2)  # 1, 8, 64 ...
     return found
 

@@ -753,6 +753,35 @@ def test_bitmaps_lose_no_pair_that_is_alike(spark):
     assert not [p for p in left - near if share(*(sets[i] for i in p)) < 0.4 and max(len(sets[i]) for i in p) > 20]
 
 
+def met(spark, monkeypatch, texts):
+    """The texts of each bucket of the first round of ``similar``."""
+    seen, pairs = [], simhash.close_pairs
+
+    def seeing(found, similarity, low, high):
+        if low == 0:
+            seen.extend(tuple(r.ths) for r in found.collect())
+        return pairs(found, similarity, low, high)
+
+    monkeypatch.setattr(simhash, "close_pairs", seeing)
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "th long, t binary")
+    simhash.similar(rows, spark.createDataFrame([], "a long, b long"), 5, 0.8, Scratch(spark, "t")).collect()
+    return seen
+
+
+def test_texts_that_share_many_shingles_meet_in_one_bucket(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{passage} " + " ".join(f"t{k}x{i}" for i in range(10)) for k in range(6)]
+    seen = met(spark, monkeypatch, texts)
+    assert tuple(range(6)) in seen and len(seen) == len(set(seen))
+
+
+def test_frequent_shingles_are_known_however_many_texts_there_are(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE_BYTES", 1)  # as if there were very many texts
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{passage} " + " ".join(f"t{k}x{i}" for i in range(60)) for k in range(60)]
+    assert met(spark, monkeypatch, texts) == []  # there are enough rare ones of each
+
+
 @pytest.mark.parametrize("heads", [1, 8])
 def test_exact_join_connects_all_pairs(spark, monkeypatch, heads):
     monkeypatch.setattr(simhash, "HEADS", heads)
