@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homeward.llm import packing, pii, quality, repeats, simhash
-from homeward.llm.common import Scratch, table
+from homeward.llm.common import Scratch, small_batches, table
 from homeward.llm.queries import PII_KEY, vocabulary
 
 #: Bytes of a passage that may stand only once; 50 words have more.
@@ -29,6 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null, empty and blank texts have no words and go. Rows that are repeated are judged alike; null
     ids and labels without a document change nothing. Without labels the ratio is 0 and the base
     rules decide. Empty table: no rows. All columns stay, also those named like the operator's."""
+    small_batches(spark)
     return quality.judge(spark, docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
 
 
@@ -37,6 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The least id stays; rows without an id are dropped only as repeats of each other. Null texts count
     as empty, and texts without words as copies. Empty table: no rows. All columns stay."""
+    small_batches(spark)
     return simhash.one_of_each(spark, docs).select(docs.columns)
 
 
@@ -46,6 +48,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     All copies of a passage go, whole characters only; every other character stays. A null text
     becomes an empty one. Repeated rows are copies of each other and lose their whole text, from the
     passage's length on. Empty table: no rows. All columns stay."""
+    small_batches(spark)
     safe = {c: f"_carry{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     found = repeats.without_repeats(spark, docs.withColumnsRenamed(safe), PASSAGE_BYTES, carry=tuple(safe.values()), characters=True)
     found = found.select("doc_id", F.decode("kept", "UTF-8").alias("text"), *(F.col(x).alias(c) for c, x in safe.items()))
@@ -62,6 +65,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and where they stand in sequences of 1024 tokens. A null or empty
     text is one piece of one token; repeated rows and rows without an id are each packed. Empty
     table: no rows."""
+    small_batches(spark)
     return packing.pack(spark, docs, vocabulary("byte_bpe_50k.json"))
 
 

@@ -97,6 +97,17 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
     yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have SLICE_BYTES at most, or less where it says so.
+
+    Spark's own bound is 64 MB, so a partition of texts can be one batch, which the executor and
+    the Python worker both hold whole, for each core. A step takes SLICE_BYTES of it anyway."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if held > SLICE_BYTES:
+        spark.conf.set(key, SLICE_BYTES)
+
+
 def marks(rows: DataFrame) -> np.ndarray:
     """A bit for each value of ``th`` modulo MARKS, set for those in ``rows``: which texts need to be
     looked at again. A text more costs time and changes nothing, so the bits may be few."""

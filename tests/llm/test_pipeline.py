@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from homeward.llm.common import Scratch
+from homeward.llm.common import SLICE_BYTES, Scratch, small_batches
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +88,31 @@ def test_odd_rows_and_none(spark, docs, rows):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages["best_fit_packing"].count()
+
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "simhash_near_dedup", "suffix_array_dedup", "best_fit_packing"])
+def test_workers_get_small_batches(spark, docs, name):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["size", "n"])
+
+    spark.conf.unset(BATCH)
+    dict(corpus_pipeline.STAGES)[name](spark, docs.drop("n_chars"), SF)
+    texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("0123456789abcdef"), 256).alias("t"))  # 16 MB in one partition
+    found = texts.mapInArrow(sizes, "size bigint, n bigint").collect()
+    assert sum(r.n for r in found) == 4000 and max(r.size for r in found) <= 1.1 * SLICE_BYTES
+
+
+def test_smaller_batches_stay(spark):
+    try:
+        for given, then in (("1m", "1m"), ("64m", str(SLICE_BYTES))):
+            spark.conf.set(BATCH, given)
+            small_batches(spark)
+            assert spark.conf.get(BATCH) == then
+    finally:
+        spark.conf.unset(BATCH)
