@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,9 +49,10 @@ class Scratch:
 
     def release(self) -> None:
         """Lets go of the shuffle files of finished jobs, which otherwise stay until the driver
-        happens to collect its garbage."""
+        happens to collect its garbage, and of the driver's free native memory."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        trimmed(self.spark)
 
     def written(self, df: DataFrame, step: str) -> DataFrame:
         schema = df.schema
@@ -63,6 +65,24 @@ class Scratch:
         deleted(self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration(), self.path(step))
 
 
+def trimmed(spark: SparkSession) -> str:
+    """Has the driver's JVM give free native memory back to the system; what it says of that.
+
+    Each of its hundreds of threads allocates from one of many arenas of the C library, which keep
+    what compilers, codecs and broadcasts have freed. Nothing happens on a JVM that cannot do so."""
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    args = new(jvm.Object, 4)
+    try:
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = new(jvm.Object, 0), new(jvm.String, 0)
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # by the interface's method: the class behind it is not open to others
+        methods = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods()
+        return str(next(m for m in methods if m.getName() == "invoke").invoke(beans, args))
+    except Py4JError:
+        return ""
+
+
 def input_bytes(df: DataFrame, text: str) -> int:
     """Catalyst's size of a file scan; sources without one are measured."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -19,12 +19,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     at = scratch.written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
     mark, step = None, 0
     while True:
-        both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # edges point downwards, a > b, so what is less than a node stands in its own rows
+        least = at.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        large = at.join(least, F.col("b") == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(least, F.col("a") == F.col("u"))
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        # each node has one row with its minimum, which gives the node itself
+        small = large.join(least, F.col("a") == F.col("u")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         step += 1
         at = scratch.written(small.distinct(), f"{name}{step}")
         scratch.drop(f"{name}{step - 1}")

@@ -19,8 +19,8 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from homeward.llm import components, hashing, lm, packing, pii, quality, ranks, repeats, sharding, simhash, tokens, warc, winnow
-from homeward.llm.common import Scratch
+from homeward.llm import common, components, hashing, lm, packing, pii, quality, ranks, repeats, sharding, simhash, tokens, warc, winnow
+from homeward.llm.common import Scratch, trimmed
 
 WHITE = re.compile(rb"[^\x20\x09-\x0D]+")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -691,6 +691,31 @@ def test_components(spark):
     assert {r.node: r.root for r in got.collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 200: 100, 300: 100}
 
 
+def test_components_rounds_stay_small(spark, monkeypatch):
+    """A round's plan reads the edges four times; the driver holds the plans, and their stages, of all rounds."""
+    written, scans = Scratch.written, []
+    monkeypatch.setattr(Scratch, "written", lambda self, df, step: (scans.append(df._jdf.queryExecution().executedPlan().toString().count("FileScan")), written(self, df, step))[1])
+    rnd = random.Random(8)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(999, i) for i in range(900, 960)]
+    least = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"))
+    assert {r.node: r.root for r in got.collect()} == least
+    assert len(scans) > 2 and max(scans) <= 4
+
+
+def test_driver_gives_native_memory_back(spark, monkeypatch):
+    if not trimmed(spark):
+        pytest.skip("this JVM has no System.trim_native_heap")
+    said = []
+    monkeypatch.setattr(common, "trimmed", lambda spark: said.append(trimmed(spark)))
+    Scratch(spark, "t").written(spark.range(3), "x")
+    assert said and all(x.startswith("Trim native heap:") for x in said)
+
+
 def test_one_of_each(spark, docs, rows, empty):
     rows_ = rows
     rnd = random.Random(4)
