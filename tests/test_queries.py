@@ -57,3 +57,10 @@ def test_entry(spark):
 def test_range_join_has_no_nested_loop(spark):
     plan = own.cell_feature_range_join(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("name", ["compare_rank_diff"])
+def test_no_pairs_of_cells_and_features(spark, name):
+    """Cells and features meet in one grouped map, not in a join whose pairs grow with the square."""
+    plan = own.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroups") == 1 and "bcol" not in plan and "FlatMapGroups" not in plan
