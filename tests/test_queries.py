@@ -59,7 +59,7 @@ def test_range_join_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-@pytest.mark.parametrize("name", ["compare_rank_diff", "eligible_cells"])
+@pytest.mark.parametrize("name", ["compare_rank_diff", "eligible_cells", "score_v1"])
 def test_no_pairs_of_cells_and_features(spark, name):
     """Cells and features meet in one grouped map, not in a join whose pairs grow with the square."""
     plan = own.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
